@@ -94,8 +94,9 @@ def passive_summary(sightings: DataFrame, answered: DataFrame, configured: int,
     found = per.agg(F.count(F.lit(1)).alias("distinct_names"),
                     F.count_if(F.col("lo") == F.col("hi")).alias("uncorrelated_count"))
     ok = answered.agg(F.countDistinct("source").alias("sources_succeeded"))
-    return (found.join(ok)  # two one-row frames
-            .withColumn("sources_failed", F.lit(configured) - F.col("sources_succeeded"))
+    both = found.unionByName(ok, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("distinct_names", "uncorrelated_count", "sources_succeeded")])
+    return (both.withColumn("sources_failed", F.lit(configured) - F.col("sources_succeeded"))
             .withColumn("credibility", vote_credibility(F.col("sources_succeeded"), F.lit(configured))))
 
 

@@ -65,10 +65,9 @@ def interval_pairs(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi
              .withColumn("__last", F.expr(f"shiftright({hi}, __lv)"))
              .withColumn("__blk", F.explode(F.sequence(F.col("__first"), F.col("__last"))))
              .drop("__first", "__last"))
-    sizes = F.broadcast(filed.select("__lv").distinct().agg(F.collect_set("__lv").alias("__lvs")))
+    sizes = [r[0] for r in filed.select("__lv").distinct().collect()]  # block sizes: at most 64 rows
     probes = (points.select(point).where(F.col(point).isNotNull()).distinct()
-              .join(sizes)  # one row of at most 64 sizes
-              .withColumn("__lv", F.explode("__lvs")).drop("__lvs")
+              .withColumn("__lv", F.explode(F.array(*[F.lit(x) for x in sizes]).cast("array<int>")))
               .withColumn("__blk", F.expr(f"shiftright({point}, __lv)")))
     return (probes.join(filed, ["__lv", "__blk"]).where(F.col(point).between(F.col(lo), F.col(hi)))
             .drop("__lv", "__blk"))

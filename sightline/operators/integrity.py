@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions.keys import rfc3339
-from sightline.operators.skew import bucketed_lag, time_bucket
+from sightline.operators.skew import ROWS_PER_BUCKET, bucketed_lag, with_bucket
 
 
 def length_prefixed(*cols: Column) -> Column:
@@ -37,17 +37,17 @@ def audit_hash() -> Column:
                                   F.col("detail_json")).cast("binary"), 256)
 
 
-def evidence_links(evidence: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def evidence_links(evidence: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Every record with link_ok and hash_ok."""
-    e = bucketed_lag(evidence, ["case_id"], ["captured_at", "id"], time_bucket("captured_at", bucket_seconds),
-                     {"expected_prev": "record_hash"}, {"expected_prev": F.lit(fixed.GENESIS_HASH)})
+    e = bucketed_lag(evidence, ["case_id"], ["captured_at", "id"], {"expected_prev": "record_hash"},
+                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, rows_per_bucket)
     return (e.withColumn("link_ok", F.col("prev_hash") == F.col("expected_prev"))
             .withColumn("hash_ok", F.col("record_hash") == evidence_hash()))
 
 
-def verify_evidence(evidence: DataFrame, blobs: DataFrame | None = None, bucket_seconds: int = 86400) -> DataFrame:
+def verify_evidence(evidence: DataFrame, blobs: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per case: checked, ok, first_break (record id), problem, head, blobs_missing."""
-    links = evidence_links(evidence, bucket_seconds)
+    links = evidence_links(evidence, rows_per_bucket)
     if blobs is not None:
         links = verify_blobs(links, blobs)
         altered, missing = F.col("blob_state") == "altered", F.col("blob_state") == "missing"
@@ -74,19 +74,19 @@ def verify_blobs(evidence: DataFrame, blobs: DataFrame) -> DataFrame:
                         .when(F.col("__sha") == F.col("sha256"), "present").otherwise("altered")).drop("__sha")
 
 
-def audit_links(audit: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def audit_links(audit: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Global chain order on seq. Rows are cut into seq ranges; each range's first row
     meets the last hash of the range before through a table with one row per range."""
-    a = bucketed_lag(audit, [], ["seq"], F.floor(F.col("seq") / bucket_rows),
-                     {"expected_prev": "hash"}, {"expected_prev": F.lit(fixed.GENESIS_HASH)})
+    a = bucketed_lag(audit, [], ["seq"], {"expected_prev": "hash"},
+                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, rows_per_bucket)
     return (a.withColumn("link_ok", F.col("prev_hash") == F.col("expected_prev"))
             .withColumn("hash_ok", F.col("hash") == audit_hash()))
 
 
-def verify_audit(audit: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def verify_audit(audit: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row: entries, ok, broken_at_seq, reason, head_hash."""
     reason = F.when(~F.col("link_ok"), "prev_hash does not match previous head").when(~F.col("hash_ok"), "hash mismatch")
-    v = audit_links(audit, bucket_rows).withColumn("__p", reason).agg(
+    v = audit_links(audit, rows_per_bucket).withColumn("__p", reason).agg(
         F.count(F.lit(1)).alias("entries"),
         F.min(F.when(F.col("__p").isNotNull(), F.struct("seq", F.col("__p").alias("reason")))).alias("b"),
         F.max_by("hash", "seq").alias("head"))
@@ -100,14 +100,14 @@ def chain_heads(evidence: DataFrame) -> DataFrame:
         F.max_by("record_hash", F.struct("captured_at", "id")).alias("head"), F.count(F.lit(1)).alias("records"))
 
 
-def record_at(evidence: DataFrame, case_id: str, k: int, bucket_seconds: int = 86400) -> DataFrame:
+def record_at(evidence: DataFrame, case_id: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Record at zero-based position k of one case.
 
-    The position is found from counts per time bucket, then only the bucket that holds
-    it is ranked.
+    The position is found from counts per range of captured_at, then only the range that
+    holds it is ranked.
     """
     from pyspark.sql import Window
-    rows = evidence.where(F.col("case_id") == case_id).withColumn("__b", time_bucket("captured_at", bucket_seconds))
+    rows = with_bucket(evidence.where(F.col("case_id") == case_id), "captured_at", rows_per_bucket)
     counts = rows.groupBy("case_id", "__b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("case_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     target = (counts.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))

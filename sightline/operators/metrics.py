@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sightline.functions.grades import host_unhealthy
-from sightline.operators.skew import bucketed_lag, bucketed_running, time_bucket
+from sightline.operators.skew import ROWS_PER_BUCKET, bucketed_lag, bucketed_running
 
 
 def store_stats(graph: Mapping[str, DataFrame]) -> DataFrame:
@@ -77,7 +77,8 @@ def request_metrics(log: DataFrame, by: list[str], rollup: bool = False) -> Data
         F.sum(F.col("retries").cast("long")).alias("retries"), F.sum("duration_ms").alias("duration_ms"))
 
 
-def host_health(log: DataFrame, threshold: int = 5, gap_seconds: int = 60, bucket_seconds: int = 86400) -> DataFrame:
+def host_health(log: DataFrame, threshold: int = 5, gap_seconds: int = 60,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Runs of consecutive failures per host: start, end, length, whether the run opens the breaker.
 
     A success or more than ``gap_seconds`` since the last failure ends a run. Run numbers
@@ -85,35 +86,31 @@ def host_health(log: DataFrame, threshold: int = 5, gap_seconds: int = 60, bucke
     """
     order = ["ts", "event_id"]
     rows = log.select("host", *order, host_unhealthy(F.col("status")).alias("bad"))
-    rows = bucketed_lag(rows, ["host"], order, time_bucket("ts", bucket_seconds),
-                        {"prev_bad": "bad", "prev_ts": "ts"},
-                        {"prev_bad": F.lit(None).cast("boolean"), "prev_ts": F.lit(None).cast("timestamp")})
+    rows = bucketed_lag(rows, ["host"], order, {"prev_bad": "bad", "prev_ts": "ts"},
+                        {"prev_bad": F.lit(None).cast("boolean"), "prev_ts": F.lit(None).cast("timestamp")},
+                        rows_per_bucket)
     gap = (F.unix_micros("ts") - F.unix_micros("prev_ts")) > gap_seconds * 1_000_000
     starts = F.col("bad") & (~F.coalesce("prev_bad", F.lit(False)) | F.coalesce(gap, F.lit(True)))
-    runs = bucketed_running(rows, ["host"], order, time_bucket("ts", bucket_seconds), {"run": starts.cast("long")})
+    runs = bucketed_running(rows, ["host"], order, {"run": starts.cast("long")}, rows_per_bucket=rows_per_bucket)
     return (runs.where("bad").groupBy("host", "run").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("failures"))
         .withColumn("opens", F.col("failures") >= threshold))
 
 
-def rate_violations(log: DataFrame, limit: int, period_seconds: int, keys: list[str] = ["host"],
-                    order: list[str] = ["ts", "event_id"], bucket_seconds: int | None = None) -> DataFrame:
-    """Requests that bring the count of the last period above ``limit``.
+def rate_violations(log: DataFrame, limit: int, period_seconds: int, keys: list[str] | None = None,
+                    carry: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Requests that bring the count of the last period (both ends in) above ``limit``.
 
-    Rows are cut into time buckets; a row close enough to the end of its bucket is also
-    copied into the next one as halo, so every look-back is complete inside one bucket
-    and a busy host is spread over as many tasks as it has buckets.
+    Every request is one arrival now and one departure just after the period, so the
+    count in the period is a running sum. It is taken in two levels over balanced time
+    ranges: a busy host, or a burst, is spread over as many tasks as it needs.
     """
-    width = bucket_seconds or max(3600, 4 * period_seconds)
-    us, w = F.unix_micros(F.col("ts")), width * 1_000_000
-    b = F.floor(us / w)
-    near_end = (us - b * w) >= (w - period_seconds * 1_000_000)
-    spread = F.explode(F.when(near_end, F.array(F.struct(b.alias("b"), F.lit(False).alias("halo")),
-                                                F.struct((b + 1).alias("b"), F.lit(True).alias("halo"))))
-                       .otherwise(F.array(F.struct(b.alias("b"), F.lit(False).alias("halo")))))
-    rows = log.select(*keys, *order, spread.alias("s")).withColumn("__us", F.unix_micros("ts"))
-    frame = (Window.partitionBy(*keys, "s.b").orderBy("__us")
-             .rangeBetween(-period_seconds * 1_000_000, Window.currentRow))
-    counted = rows.withColumn("in_period", F.count(F.lit(1)).over(frame))
-    return (counted.where(~F.col("s.halo") & (F.col("in_period") > limit))
-            .select(*keys, *order, "in_period"))
+    keys, carry = keys or ["host"], carry or ["event_id"]
+    us = F.unix_micros(F.col("ts"))
+    move = F.explode(F.array(
+        F.struct(us.alias("at"), F.lit(1).alias("d")),
+        F.struct((us + period_seconds * 1_000_000 + 1).alias("at"), F.lit(-1).alias("d"))))
+    moves = log.select(*keys, *carry, "ts", move.alias("m")).select(*keys, *carry, "ts", "m.at", "m.d")
+    run = bucketed_running(moves, keys, ["at"], {"in_period": F.col("d").cast("long")}, peers=True,
+                           rows_per_bucket=rows_per_bucket)
+    return run.where((F.col("d") == 1) & (F.col("in_period") > limit)).select(*keys, *carry, "ts", "in_period")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_SLOT = 2_000_000
@@ -50,56 +51,71 @@ def _order(cols: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in cols]
 
 
-def bucketed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                 values: dict[str, str], defaults: dict[str, Column] | None = None) -> DataFrame:
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 20_000
+
+
+def with_bucket(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "__b") -> DataFrame:
+    """Number the ranges of ``col`` so that each holds about ``rows_per_bucket`` rows.
+
+    Cut points are approximate quantiles (one mergeable sketch, at most MAX_BUCKETS
+    numbers on the driver), so a burst gets more buckets instead of one large one.
+    Equal values always share a bucket and buckets follow the order of ``col``.
+    """
+    kind = dict(df.dtypes)[col]
+    number = F.unix_micros(F.col(col)) if kind == "timestamp" else F.col(col)
+    df = df.withColumn("__num", number.cast("double"))
+    n = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
+    if n <= 1:
+        return df.withColumn(out, F.lit(0.0)).drop("__num")
+    cuts = df.approxQuantile("__num", [i / n for i in range(1, n)], 1.0 / (4 * n))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="__num", outputCol=out, handleInvalid="keep")
+    return cutter.transform(df).drop("__num")
+
+
+def bucketed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
+                 defaults: dict[str, Column] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Previous row's values per key in ``order``; ``values`` maps new name to source column.
 
-    ``bucket`` must be non-decreasing in ``order`` (a floor of the leading order column).
-    Only the first row of each bucket looks across: it takes the last row of the
-    previous non-empty bucket from a table with one row per (key, bucket).
+    Only the first row of each bucket looks across: it takes the last row of the previous
+    non-empty bucket from a table with one row per (key, bucket). Without keys that table
+    has one row per million input rows, which one task can order.
     """
     defaults = defaults or {}
-    d = df.withColumn("__b", bucket)
+    cut = with_bucket(df, order[0], rows_per_bucket)
     inside = Window.partitionBy(*keys, "__b").orderBy(*_order(order))
     rec = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    d = d.withColumn("__prev", F.lag(rec).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    tails = df.withColumn("__b", bucket).groupBy(*keys, "__b").agg(
-        F.max_by(rec, F.struct(*order)).alias("__tail"))
-    across = Window.partitionBy(*keys).orderBy("__b") if keys else Window.partitionBy(F.lit(0)).orderBy("__b")
+    d = cut.withColumn("__prev", F.lag(rec).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    tails = cut.groupBy(*keys, "__b").agg(F.max_by(rec, F.struct(*order)).alias("__tail"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
     carry = tails.select(*keys, "__b", F.lag("__tail").over(across).alias("__carry"))
     joined = d.join(carry, [*keys, "__b"], "left")
     for new in values:
         prev = F.when(F.col("__first"), F.col("__carry")[new]).otherwise(F.col("__prev")[new])
-        seen = F.when(F.col("__first"), F.col("__carry").isNotNull()).otherwise(True)
+        seen = ~F.col("__first") | F.col("__carry").isNotNull()
         joined = joined.withColumn(new, F.when(seen, prev).otherwise(defaults.get(new, F.lit(None))))
     return joined.drop("__b", "__prev", "__first", "__carry")
 
 
-def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                     sums: dict[str, Column], maxes: dict[str, Column] | None = None) -> DataFrame:
-    """Inclusive running sums and maxima per key, in two levels (see :func:`bucketed_lag`)."""
-    maxes = maxes or {}
-    d = df.withColumn("__b", bucket)
-    for i, expr in enumerate([*sums.values(), *maxes.values()]):
+def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
+                     peers: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Inclusive running sums per key, in two levels (see :func:`bucketed_lag`).
+
+    With ``peers`` rows that tie on the (single) order column all see the sum including every tie.
+    """
+    d = with_bucket(df, order[0], rows_per_bucket)
+    for i, expr in enumerate(sums.values()):
         d = d.withColumn(f"__v{i}", expr)
-    names = [*sums, *maxes]
-    agg = [(F.sum if n in sums else F.max)(f"__v{i}").alias(f"__t{i}") for i, n in enumerate(names)]
-    totals = d.groupBy(*keys, "__b").agg(*agg)
-    base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = base.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__b", *[
-        (F.sum if n in sums else F.max)(f"__t{i}").over(before).alias(f"__c{i}") for i, n in enumerate(names)])
-    inside = Window.partitionBy(*keys, "__b").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    for i, n in enumerate(names):
-        d = d.withColumn(n, (F.sum if n in sums else F.max)(f"__v{i}").over(inside))
+    totals = d.groupBy(*keys, "__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(sums))])
+    before = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carry = totals.select(*keys, "__b", *[F.sum(f"__t{i}").over(before).alias(f"__c{i}") for i in range(len(sums))])
+    inside = Window.partitionBy(*keys, "__b").orderBy(*_order(order))
+    inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, 0)
+    for i, n in enumerate(sums):
+        d = d.withColumn(n, F.sum(f"__v{i}").over(inside))
     d = d.join(carry, [*keys, "__b"], "left")
-    for i, n in enumerate(names):
-        if n in sums:
-            d = d.withColumn(n, F.col(n) + F.coalesce(F.col(f"__c{i}"), F.lit(0)))
-        else:
-            d = d.withColumn(n, F.greatest(F.col(n), F.col(f"__c{i}")))
-    return d.drop("__b", *[f"__v{i}" for i in range(len(names))], *[f"__c{i}" for i in range(len(names))])
-
-
-def time_bucket(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / seconds)
+    for i, n in enumerate(sums):
+        d = d.withColumn(n, F.col(n) + F.coalesce(F.col(f"__c{i}"), F.lit(0)))
+    return d.drop("__b", *[f"__v{i}" for i in range(len(sums))], *[f"__c{i}" for i in range(len(sums))])

@@ -193,7 +193,7 @@ _GEO = "^(-?\\d{1,3}(?:\\.\\d+)?),\\s*(-?\\d{1,3}(?:\\.\\d+)?)(@\\d+)?$"
 def geo(v: Column, aids: Aids | None = None) -> Column:
     def of(lat: Column, lon: Column) -> Column:
         return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.concat(
-            F.format_string("%.6f,%.6f", lat, lon), F.regexp_extract(v, _GEO, 3)))
+            F.format_string("%.6f,%.6f", F.bround(lat, 6), F.bround(lon, 6)), F.regexp_extract(v, _GEO, 3)))
 
     return let(F.regexp_extract(v, _GEO, 1).try_cast("double"), F.regexp_extract(v, _GEO, 2).try_cast("double"), of)
 

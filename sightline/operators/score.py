@@ -149,8 +149,8 @@ def explain(obs: DataFrame, now, cfg: ScoreConfig | None = None) -> DataFrame:
     group_lines = best.select(
         "subject", F.concat(F.lit("1"), F.col("grp")).alias("line_no"),
         F.format_string("group %-24s w=%.4f from %s (age %s, %d observation(s) collapsed)",
-                        "grp", "w", "top.source_text", _age_text(age), "n").alias("line"))
-    f4 = lambda c: F.format_string("%.4f", c)
+                        "grp", F.bround("w", 4), "top.source_text", _age_text(age), "n").alias("line"))
+    f4 = lambda c: F.format_string("%.4f", F.bround(c, 4))
     summary = total.select("subject", F.explode(F.array(
         F.struct(F.lit("2").alias("line_no"), F.concat(
             F.lit("noisy-OR over "), F.col("n_groups"), F.lit(" independent group(s) = "),

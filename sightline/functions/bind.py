@@ -20,3 +20,14 @@ def let(*args) -> Column:
         return F.transform(F.array(cols_t[0]), lambda x: fn(x)).getItem(0)
     packed = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(cols_t)])
     return F.transform(F.array(packed), lambda s: fn(*[s[f"f{i}"] for i in range(len(cols_t))])).getItem(0)
+
+
+def whole_number(text: Column, dtype: str = "long") -> Column:
+    """Unsigned digits as a number, NULL otherwise. The shape test comes first because a
+    failing cast is caught as an exception, which costs far more than a pattern."""
+    width = 9 if dtype == "int" else 18
+    return F.when(text.rlike("^[0-9]{1,%d}$" % width), text.cast(dtype))
+
+
+def decimal_number(text: Column) -> Column:
+    return F.when(text.rlike("^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"), text.cast("double"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import net
-from sightline.functions.bind import let
+from sightline.functions.bind import decimal_number, let, whole_number
 from sightline.functions.udfs import NON_ASCII, evm_checksum_column, idna_column, nfc_column
 
 # ASCII and Unicode white space, as a trim of either side
@@ -35,7 +35,7 @@ def trim_text(v: Column) -> Column:
 
 
 def _non_empty(v: Column) -> Column:
-    return let(v, lambda x: F.when(x != "", x))
+    return F.nullif(v, F.lit(""))
 
 
 def strip_url_parts(v: Column) -> Column:
@@ -82,7 +82,8 @@ def ip(v: Column, aids: Aids | None = None) -> Column:
             let(net.ip_key(unported), net.key_text)))
 
     inner = F.when(v.startswith("["), F.regexp_extract(v, "^\\[([^\\]]+)\\]", 1)).otherwise(v)
-    return let(F.regexp_replace(inner, "(?<=.)%.*$", ""), of)
+    slow = let(F.regexp_replace(inner, "(?<=.)%.*$", ""), of)
+    return F.when(net.is_v4(v), v).when(v.rlike("[:%\\[]"), slow)
 
 
 def _valid_host(host: Column) -> Column:
@@ -91,8 +92,11 @@ def _valid_host(host: Column) -> Column:
 
 def host_name(host: Column) -> Column:
     """ASCII lower-case host, or the canonical address when it is one."""
-    return let(host, lambda h: let(net.ip_key(h), lambda k: F.when(k.isNotNull(), net.key_text(k))
-                                   .when(_valid_host(h), h)))
+    def of(h: Column) -> Column:
+        six = let(net.ip_key(h), lambda k: F.when(k.isNotNull(), net.key_text(k)).when(_valid_host(h), h))
+        return F.when(h.contains(":"), six).when(_valid_host(h), h)
+
+    return let(host, of)
 
 
 def domain(v: Column, aids: Aids | None = None) -> Column:
@@ -102,8 +106,8 @@ def domain(v: Column, aids: Aids | None = None) -> Column:
 
 
 def cidr(v: Column, aids: Aids | None = None) -> Column:
-    return let(net.prefix_struct(v), lambda p: F.when(
-        p.isNotNull(), F.concat(net.key_text(p["key"]), F.lit("/"), p["bits"].cast("string"))))
+    return F.when(v.contains("/"), let(net.prefix_struct(v), lambda p: F.when(
+        p.isNotNull(), F.concat(net.key_text(p["key"]), F.lit("/"), p["bits"].cast("string")))))
 
 
 def widen_to_cidr(v: Column) -> Column:
@@ -113,8 +117,8 @@ def widen_to_cidr(v: Column) -> Column:
 
 
 def asn(v: Column, aids: Aids | None = None) -> Column:
-    n = F.regexp_extract(v, "^(?i)as(\\d{1,10})$", 1).try_cast("long")
-    return let(n, lambda x: F.when(x.between(1, 4294967295), F.concat(F.lit("AS"), x.cast("string"))))
+    n = whole_number(F.regexp_extract(v, "^(?i)as(\\d{1,10})$", 1))
+    return F.when(n.between(1, 4294967295), F.concat(F.lit("AS"), n.cast("string")))
 
 
 def strip_tracking(query: Column) -> Column:
@@ -135,23 +139,24 @@ def url(v: Column, aids: Aids | None = None) -> Column:
     host_raw = F.regexp_replace(F.regexp_extract(whole, _URL, 2), "^\\[|\\]$", "")
     ascii_host = plain_aids(host_raw, v).host if aids is None else F.regexp_replace(aids.host, "^\\[|\\]$", "")
 
-    def of(whole: Column, host: Column) -> Column:
-        def part(i: int) -> Column:
-            return F.regexp_extract(whole, _URL, i)
+    # one pass of the pattern, then a split on a byte no URL may hold
+    pieces = F.split(F.regexp_replace(whole, _URL, "$1\x01$3\x01$4\x01$5\x01"), "\x01")
 
-        default = F.create_map(*[F.lit(x) for kv in fixed.DEFAULT_PORTS.items() for x in kv])
-        scheme = F.lower(part(1))
-        port_part = let(part(3), lambda p: F.when((p == "") | (F.coalesce(default[scheme], F.lit("")) == p), "")
-                        .otherwise(F.concat(F.lit(":"), p)))
-        path = let(part(4), lambda p: F.when(p == "", "/").otherwise(p))
-        query = let(strip_tracking(F.regexp_replace(part(5), "^\\?", "")),
-                    lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-        shown = let(net.ip_key(host), lambda k: F.when(k.isNotNull(), net.key_text(k)).otherwise(host))
-        text = F.concat(scheme, F.lit("://"), F.regexp_extract(whole, _USERINFO, 1), shown, port_part, path, query)
-        ok = whole.rlike(_URL) & (host != "") & ~whole.rlike("[\\x00-\\x20\\x7F]")
-        return F.when(ok, text)
+    def of(p: Column, host: Column) -> Column:
+        scheme = F.lower(p[0])
+        default = F.lit(None).cast("string")
+        for name, number in fixed.DEFAULT_PORTS.items():
+            default = F.when(scheme == name, number).otherwise(default)
+        port_part = F.when((p[1] == "") | F.coalesce(default == p[1], F.lit(False)), "").otherwise(F.concat(F.lit(":"), p[1]))
+        path = F.when(p[2] == "", "/").otherwise(p[2])
+        query = F.when(p[3] == "", "").otherwise(let(strip_tracking(F.regexp_replace(p[3], "^\\?", "")), lambda q: F.when(
+            q == "", "").otherwise(F.concat(F.lit("?"), q))))
+        shown = F.when(host.contains(":"), let(net.ip_key(host), lambda k: F.when(
+            k.isNotNull(), net.key_text(k)).otherwise(host))).otherwise(host)
+        return F.when((F.size(p) == 5) & (host != ""), F.concat(
+            scheme, F.lit("://"), F.regexp_extract(whole, _USERINFO, 1), shown, port_part, path, query))
 
-    return let(whole, ascii_host, of)
+    return F.when(~whole.rlike("[\\x00-\\x20\\x7F]"), let(pieces, ascii_host, of))
 
 
 def email(v: Column, aids: Aids | None = None) -> Column:
@@ -161,7 +166,7 @@ def email(v: Column, aids: Aids | None = None) -> Column:
         host = domain(name) if aids is None else host_name(aids.host)
         return let(local, lambda x: F.when((x != "") & ~x.rlike("[ \\t]"), F.concat(x, F.lit("@"), host)))
 
-    return let(strip_url_parts(v), of)
+    return F.when(v.contains("@"), let(strip_url_parts(v), of))
 
 
 def account(v: Column, aids: Aids | None = None) -> Column:
@@ -176,7 +181,7 @@ def account(v: Column, aids: Aids | None = None) -> Column:
 
 def phone(v: Column, aids: Aids | None = None) -> Column:
     e164 = F.concat(F.lit("+"), F.regexp_replace(v, "\\P{Nd}", ""))
-    return let(e164, lambda x: F.when(x.rlike("^\\+[1-9][0-9]{6,14}$"), x))
+    return F.when(e164.rlike("^\\+[1-9][0-9]{6,14}$"), e164)
 
 
 def nfc_text(v: Column, aids: Aids | None = None) -> Column:
@@ -191,15 +196,20 @@ _GEO = "^(-?\\d{1,3}(?:\\.\\d+)?),\\s*(-?\\d{1,3}(?:\\.\\d+)?)(@\\d+)?$"
 
 
 def geo(v: Column, aids: Aids | None = None) -> Column:
-    def of(lat: Column, lon: Column) -> Column:
+    def six_places(text: Column, x: Column) -> Column:  # the sign of a negative zero stays
+        return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.format_string("%.6f", F.bround(F.abs(x), 6)))
+
+    def of(a: Column, b: Column) -> Column:
+        lat, lon = decimal_number(a), decimal_number(b)
         return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.concat(
-            F.format_string("%.6f,%.6f", F.bround(lat, 6), F.bround(lon, 6)), F.regexp_extract(v, _GEO, 3)))
+            six_places(a, lat), F.lit(","), six_places(b, lon), F.regexp_extract(v, _GEO, 3)))
 
-    return let(F.regexp_extract(v, _GEO, 1).try_cast("double"), F.regexp_extract(v, _GEO, 2).try_cast("double"), of)
+    return let(F.regexp_extract(v, _GEO, 1), F.regexp_extract(v, _GEO, 2), of)
 
 
 def hex_text(v: Column, aids: Aids | None = None) -> Column:
-    return let(F.regexp_replace(F.lower(v), "^0x", ""), lambda h: F.when(h.rlike("^[0-9a-f]+$"), h))
+    h = F.regexp_replace(F.lower(v), "^0x", "")
+    return F.when(h.rlike("^[0-9a-f]+$"), h)
 
 
 def digest(v: Column, aids: Aids | None = None) -> Column:
@@ -218,9 +228,9 @@ _CVE = "^(?i)cve-(\\d{4})-(\\d{4,7})$"
 
 
 def cve(v: Column, aids: Aids | None = None) -> Column:
-    year = F.regexp_extract(v, _CVE, 1).try_cast("int")
-    num = F.regexp_extract(v, _CVE, 2).try_cast("int")
-    return let(year, num, lambda y, n: F.when(y.between(1999, 2999), F.format_string("CVE-%04d-%04d", y, n)))
+    year = whole_number(F.regexp_extract(v, _CVE, 1), "int")
+    num = whole_number(F.regexp_extract(v, _CVE, 2), "int")
+    return F.when(year.between(1999, 2999), F.format_string("CVE-%04d-%04d", year, num))
 
 
 def wallet(v: Column, aids: Aids | None = None) -> Column:
@@ -232,8 +242,8 @@ def wallet(v: Column, aids: Aids | None = None) -> Column:
                 .when(bitcoin, F.concat(F.lit("bitcoin:"), low))
                 .when(chain != "", F.concat(chain, F.lit(":"), low)))
 
-    return let(F.lower(F.regexp_extract(v, "(?s)^([^:]+):", 1)),
-               F.lower(trim_text(F.regexp_replace(v, "(?s)^[^:]+:", ""))), of)
+    return F.when(v.rlike("^[^:]+:|^[0-9A-Za-z]{8,128}$"), let(
+        F.lower(F.regexp_extract(v, "(?s)^([^:]+):", 1)), F.lower(trim_text(F.regexp_replace(v, "(?s)^[^:]+:", ""))), of))
 
 
 def transaction(v: Column, aids: Aids | None = None) -> Column:

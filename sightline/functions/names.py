@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, net
-from sightline.functions.bind import let
+from sightline.functions.bind import let, whole_number
 
 # --- F1, F2: public suffixes -----------------------------------------------------
 
@@ -175,7 +175,7 @@ def parse_reg_date(col: Column) -> Column:
 
 def _reg_date(s: Column, col: Column) -> Column:
     # two-digit years: 69-99 are the twentieth century, 00-68 the twenty-first
-    yy = F.regexp_extract(s, "^(\\d{2}-[A-Za-z]{3}-)(\\d{2})$", 2).try_cast("int")
+    yy = whole_number(F.regexp_extract(s, "^(\\d{2}-[A-Za-z]{3}-)(\\d{2})$", 2), "int")
     wide = F.concat(F.regexp_extract(s, "^(\\d{2}-[A-Za-z]{3}-)(\\d{2})$", 1),
                     F.when(yy >= 69, "19").otherwise("20"), F.lpad(yy.cast("string"), 2, "0"))
     return F.when(~withheld(col), F.coalesce(_parse(s, _REG_SHAPES), _parse(wide, [_REG_SHAPES[15]])))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sightline.functions.bind import let
+from sightline.functions.bind import let, whole_number
 
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = f"^{OCTET}(\\.{OCTET}){{3}}$"
@@ -21,9 +21,11 @@ def is_v4(v: Column) -> Column:
 
 
 def v4_key(v: Column) -> Column:
-    """8 hex digits of a valid dotted quad."""
-    return F.lower(F.array_join(
-        F.transform(F.split(v, "\\."), lambda o: F.lpad(F.hex(o.cast("long")), 2, "0")), ""))
+    """8 hex digits of a valid dotted quad; plain arithmetic, so it stays in generated code."""
+    parts = F.split(v, "\\.")
+    octet = [F.get(parts, F.lit(i)).cast("long") for i in range(4)]
+    number = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
+    return F.lower(F.lpad(F.hex(number), 8, "0"))
 
 
 def v4_text(key: Column) -> Column:
@@ -78,11 +80,13 @@ def v6_text(key: Column) -> Column:
 
 
 def ip_key(v: Column) -> Column:
-    """Hex key of either family; a v4-mapped v6 literal is keyed as v4."""
-    def of(x: Column) -> Column:
-        six = let(v6_key(x), lambda k: F.when(k.startswith("0" * 20 + "ffff"), F.substring(k, 25, 8)).otherwise(k))
-        return F.when(is_v4(x), v4_key(x)).when(x.contains(":"), six)
-    return let(v, of)
+    """Hex key of either family; a v4-mapped v6 literal is keyed as v4.
+
+    Pass a plain column: the common v4 case is then evaluated without any lambda.
+    """
+    six = let(v, lambda x: let(v6_key(x), lambda k: F.when(
+        k.startswith("0" * 20 + "ffff"), F.substring(k, 25, 8)).otherwise(k)))
+    return F.when(is_v4(v), v4_key(v)).when(v.contains(":"), six)
 
 
 def key_text(key: Column) -> Column:
@@ -93,21 +97,19 @@ def family(key: Column) -> Column:
     return F.when(F.length(key) == 8, 4).when(F.length(key) == 32, 6)
 
 
-def mask_key(key: Column, bits: Column) -> Column:
-    """Keep the first ``bits`` bits of a hex key, zero the rest, same width."""
-    def of(k: Column, n: Column) -> Column:
-        whole = F.floor(n / 4).cast("int")
-        nibble = F.conv(F.substring(k, whole + 1, F.lit(1)), 16, 10).cast("int")
-        keep = F.when(n % 4 == 1, 8).when(n % 4 == 2, 12).when(n % 4 == 3, 14).otherwise(0)
-        part = F.when(n % 4 > 0, F.lower(F.hex(nibble.bitwiseAND(keep).cast("long")))).otherwise("")
-        return F.rpad(F.concat(F.substring(k, F.lit(1), whole), part), F.length(k), F.lit("0"))
-    return let(key, bits, of)
+def mask_key(k: Column, n: Column) -> Column:
+    """Keep the first ``n`` bits of a hex key, zero the rest, same width. Pass plain columns."""
+    whole = F.floor(n / 4).cast("int")
+    nibble = F.conv(F.substring(k, whole + 1, F.lit(1)), 16, 10).cast("int")
+    keep = F.when(n % 4 == 1, 8).when(n % 4 == 2, 12).when(n % 4 == 3, 14).otherwise(0)
+    part = F.when(n % 4 > 0, F.lower(F.hex(nibble.bitwiseAND(keep).cast("long")))).otherwise("")
+    return F.rpad(F.concat(F.substring(k, F.lit(1), whole), part), F.length(k), F.lit("0"))
 
 
 def prefix_struct(cidr: Column) -> Column:
     """``a.b.c.d/n`` or v6 to struct(family, bits, key); NULL when malformed. Host bits cleared."""
     addr = F.regexp_extract(cidr, "^([^/]+)/\\d{1,3}$", 1)
-    bits = F.regexp_extract(cidr, "/(\\d{1,3})$", 1).try_cast("int")
+    bits = whole_number(F.regexp_extract(cidr, "/(\\d{1,3})$", 1), "int")
     raw = let(addr, lambda a: F.when(a.contains(":"), v6_key(a)).when(is_v4(a), v4_key(a)))
     return let(raw, bits, lambda k, n: F.when(
         k.isNotNull() & n.isNotNull() & (n <= F.length(k) * 4),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
-from sightline.functions.bind import let
+from sightline.functions.bind import decimal_number, let, whole_number
 
 
 def pivot_tags(tags: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
@@ -19,8 +19,8 @@ def pivot_tags(tags: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame
 def _ratio(text: Column) -> Column:
     """``n/d`` or a decimal; zero denominator is NULL."""
     def of(p: Column) -> Column:
-        den = F.element_at(p, 2).try_cast("double")
-        num = F.element_at(p, 1).try_cast("double")
+        den = decimal_number(F.get(p, F.lit(1)))
+        num = decimal_number(F.get(p, F.lit(0)))
         return F.when(F.size(p) == 1, num).when(den != 0, num / den)
     return let(F.split(F.trim(text), "/"), of)
 
@@ -60,7 +60,7 @@ def _instant(local: Column, offset: Column) -> Column:
     when = F.coalesce(*[F.when(local.rlike(rx), F.try_to_timestamp(local, F.lit(f))) for rx, f in _SHAPES])
 
     def of(t: Column, digits: Column) -> Column:
-        hh, mm = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+        hh, mm = whole_number(F.substring(digits, 1, 2), "int"), whole_number(F.substring(digits, 3, 2), "int")
         sign = F.when(offset.startswith("-"), -1).otherwise(1)
         ok = (F.length(digits) == 4) & (hh <= 14) & (mm <= 59)
         return F.when(ok, F.timestamp_micros(F.unix_micros(t) - sign * (hh * 3600 + mm * 60).cast("long") * 1_000_000))
@@ -94,7 +94,7 @@ def thumbnail_check(tags: DataFrame) -> DataFrame:
     """Thumbnail and image proportions; a difference above 0.01 is a low finding."""
     p = pivot_tags(tags, {"w": ("ifd0", "ImageWidth"), "h": ("ifd0", "ImageLength"),
                           "tw": ("ifd1", "ImageWidth"), "th": ("ifd1", "ImageLength")})
-    n = {c: F.col(c).try_cast("double") for c in ("w", "h", "tw", "th")}
+    n = {c: decimal_number(F.col(c)) for c in ("w", "h", "tw", "th")}
     p = p.where((n["h"] > 0) & (n["th"] > 0)).withColumn("image_aspect", n["w"] / n["h"]) \
          .withColumn("thumbnail_aspect", n["tw"] / n["th"])
     bad = F.abs(F.col("image_aspect") - F.col("thumbnail_aspect")) > 0.01

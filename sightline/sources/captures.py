@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sightline.functions.bind import whole_number
+
 
 def parse_cdx(df: DataFrame, col: str = "raw") -> DataFrame:
     """(original, stamp, status) per capture; a document without ``original`` gives no rows."""
@@ -19,7 +21,7 @@ def parse_cdx(df: DataFrame, col: str = "raw") -> DataFrame:
     def present(name: str) -> Column:
         return F.when(F.array_contains("h", name), at(name))
     return (rows.select(*keep, at("original").alias("original"), F.coalesce(present("timestamp"), F.lit("")).alias("stamp"),
-                        F.coalesce(present("statuscode").try_cast("int"), F.lit(0)).alias("status"))
+                        F.coalesce(whole_number(F.trim(present("statuscode")), "int"), F.lit(0)).alias("status"))
             .where(F.col("original").isNotNull()))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, net
-from sightline.functions.bind import let
+from sightline.functions.bind import decimal_number, let, whole_number
 
 GEO_A = ("success BOOLEAN, country_code STRING, region STRING, city STRING, latitude DOUBLE, longitude DOUBLE, "
          "connection STRUCT<asn: STRING, org: STRING, isp: STRING>")
@@ -44,7 +44,7 @@ def normalise_geo(df: DataFrame, provider_col: str = "provider", col: str = "raw
     d = (d.withColumn("a", F.when(F.col("__s") == "a", F.from_json("__raw", GEO_A)))
          .withColumn("b", F.when(F.col("__s") == "b", F.from_json("__raw", GEO_B)))
          .withColumn("c", F.when(F.col("__s") == "c", F.from_json("__raw", GEO_C))))
-    loc = lambda i: F.regexp_extract(_t("b.loc"), "^\\s*([^,]+?)\\s*,\\s*([^,]+?)\\s*$", i).try_cast("double")
+    loc = lambda i: decimal_number(F.regexp_extract(_t("b.loc"), "^\\s*([^,]+?)\\s*,\\s*([^,]+?)\\s*$", i))
     point_b = let(loc(1), loc(2), lambda la, lo: F.when(la.between(-90, 90) & lo.between(-180, 180), F.struct(la.alias("lat"), lo.alias("lon"))))
     pair = lambda la, lo: F.when(F.col(la).isNotNull() & F.col(lo).isNotNull(), F.struct(F.col(la).alias("lat"), F.col(lo).alias("lon")))
     org_b = F.when(_t("b.org").rlike("^(?i)as") & _t("b.org").contains(" "),
@@ -124,7 +124,7 @@ def normalise_dns(df: DataFrame, col: str = "raw", question_type: str = "rrtype"
             .when(t == "TXT", unquote_txt(d))
             .when((t == "CAA") & F.trim(d).rlike("^\\S+\\s+\\S+\\s+\\S+$"),
                   F.regexp_replace(F.trim(d), "^\\S+\\s+(\\S+)\\s+(\\S+)$", "$1;$2")).otherwise(d))
-    pref = F.when(t.isin("MX", "SRV") & two, F.coalesce(F.regexp_extract(F.trim(d), "^(\\d+)", 1).try_cast("int"), F.lit(0))).otherwise(0)
+    pref = F.when(t.isin("MX", "SRV") & two, F.coalesce(whole_number(F.regexp_extract(F.trim(d), "^(\\d+)", 1), "int"), F.lit(0))).otherwise(0)
     out = a.select(*keep, "status", F.when(F.col("a").isNotNull(), strip(F.col("a.name"))).alias("name"), "type",
                    F.when(F.col("a.TTL") > 0, F.col("a.TTL")).otherwise(0).alias("ttl"), pref.alias("pref"), data.alias("data"),
                    F.col("a").isNotNull().alias("answered"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import names, net
-from sightline.functions.bind import let
+from sightline.functions.bind import let, whole_number
 
 
 def normal_key(k: Column) -> Column:
@@ -246,8 +246,8 @@ def read_bootstrap(df: DataFrame, kind: str, col: str = "raw") -> DataFrame:
     if kind in ("ipv4", "ipv6"):
         return rows.withColumn("prefix", F.col("key")).where(net.prefix_struct(F.col("key")).isNotNull())
     if kind == "asn":
-        lo = F.trim(F.regexp_extract("key", "^([^-]+)", 1)).try_cast("long")
-        hi = F.when(F.col("key").contains("-"), F.trim(F.regexp_extract("key", "-(.*)$", 1)).try_cast("long")).otherwise(lo)
+        lo = whole_number(F.trim(F.regexp_extract("key", "^([^-]+)", 1)))
+        hi = F.when(F.col("key").contains("-"), whole_number(F.trim(F.regexp_extract("key", "-(.*)$", 1)))).otherwise(lo)
         return rows.withColumn("lo", lo).withColumn("hi", hi).where(
             (F.col("lo") > 0) & (F.col("hi") >= F.col("lo")) & (F.col("hi") <= 4294967295))
     return rows.withColumnRenamed("key", "tld") if kind == "dns" else rows

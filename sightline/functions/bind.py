@@ -31,3 +31,8 @@ def whole_number(text: Column, dtype: str = "long") -> Column:
 
 def decimal_number(text: Column) -> Column:
     return F.when(text.rlike("^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"), text.cast("double"))
+
+
+def trim_ws(col: Column | str) -> Column:
+    """Trim every ASCII white-space character, not blanks only."""
+    return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(" \t\n\r\x0b\x0c"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, net
-from sightline.functions.bind import let, whole_number
+from sightline.functions.bind import let, trim_ws, whole_number
 
 # --- F1, F2: public suffixes -----------------------------------------------------
 
@@ -44,7 +44,7 @@ def suffix_length(name: Column, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) ->
 
 
 def _host(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), "\\.$", "")
+    return F.regexp_replace(F.lower(trim_ws(name)), "\\.$", "")
 
 
 def _split(name: Column, rules: Sequence[str]) -> Column:
@@ -117,22 +117,22 @@ def names_under(df: DataFrame, domain: str, col: str = "name") -> DataFrame:
 def dn_component(dn: Column, key: str) -> Column:
     """Value of one distinguished-name key; escaped commas stay inside the value."""
     pieces = F.regexp_extract_all(dn, F.lit("((?:\\\\.|[^,\\\\])+)"), 1)
-    pieces = F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, "(?s)\\\\(.)", "$1")))
-    mine = F.filter(pieces, lambda p: F.upper(F.trim(F.regexp_extract(p, "^([^=]*)=", 1))) == key.upper())
+    pieces = F.transform(pieces, lambda p: trim_ws(F.regexp_replace(p, "(?s)\\\\(.)", "$1")))
+    mine = F.filter(pieces, lambda p: F.upper(trim_ws(F.regexp_extract(p, "^([^=]*)=", 1))) == key.upper())
     mine = F.filter(mine, lambda p: p.contains("="))
-    return F.array_join(F.transform(mine, lambda p: F.trim(F.regexp_replace(p, "^[^=]*=", ""))), ", ")
+    return F.array_join(F.transform(mine, lambda p: trim_ws(F.regexp_replace(p, "^[^=]*=", ""))), ", ")
 
 
 def issuer_label(friendly: Column, dn: Column) -> Column:
     """Published name, else organisation, else common name, else empty."""
     def blank(c: Column) -> Column:
-        return let(F.trim(c), lambda x: F.when(x != "", x))
+        return let(trim_ws(c), lambda x: F.when(x != "", x))
 
     return F.coalesce(blank(friendly), blank(dn_component(dn, "O")), blank(dn_component(dn, "CN")), F.lit(""))
 
 
 def serial(col: Column) -> Column:
-    return F.regexp_replace(F.upper(F.trim(col)), "[: ]", "")
+    return F.regexp_replace(F.upper(trim_ws(col)), "[: ]", "")
 
 
 # --- F6, F7, F8: stamps and dates ------------------------------------------------------
@@ -170,7 +170,7 @@ _REG_SHAPES = [
 
 def parse_reg_date(col: Column) -> Column:
     """Registration date in any of the published layouts; NULL when withheld or unreadable."""
-    return let(F.trim(F.regexp_replace(F.trim(col), "(?<=.)\\(.*$", "")), lambda s: _reg_date(s, col))
+    return let(trim_ws(F.regexp_replace(trim_ws(col), "(?<=.)\\(.*$", "")), lambda s: _reg_date(s, col))
 
 
 def _reg_date(s: Column, col: Column) -> Column:
@@ -190,7 +190,7 @@ _RDAP_SHAPES = [
 
 
 def parse_registry_date(col: Column) -> Column:
-    return _parse(F.trim(col), _RDAP_SHAPES)
+    return _parse(trim_ws(col), _RDAP_SHAPES)
 
 
 # --- F9: withheld values and addresses ---------------------------------------------------
@@ -204,7 +204,7 @@ def _any_of(low: Column, words: Sequence[str]) -> Column:
 
 
 def withheld(col: Column) -> Column:
-    return F.coalesce(_any_of(F.lower(F.trim(col)), fixed.REDACTION_MARKERS), F.lit(False))
+    return F.coalesce(_any_of(F.lower(trim_ws(col)), fixed.REDACTION_MARKERS), F.lit(False))
 
 
 def masked(col: Column) -> Column:
@@ -215,12 +215,12 @@ def masked(col: Column) -> Column:
 
 def extract_email(col: Column) -> Column:
     """The whole value as an address, lower-cased; NULL if masked or decorated in any way."""
-    v = F.trim(col)
+    v = trim_ws(col)
     return F.when(~masked(v) & v.rlike("^[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}$"), F.lower(v))
 
 
 def placeholder(col: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    low = F.lower(trim_ws(F.coalesce(col, F.lit(""))))
     return (low == "") | low.isin(fixed.CARD_PLACEHOLDERS)
 
 
@@ -248,7 +248,7 @@ def hold_severity(status: Column, registry: bool = True) -> Column:
 def response_class(text: Column, thick: Column) -> Column:
     """blank / rate-limited / empty answer / thick / thin."""
     low = F.lower(text)
-    return (F.when(F.trim(low) == "", "blank")
+    return (F.when(trim_ws(low) == "", "blank")
             .when(_any_of(low, fixed.RATE_LIMIT_MARKERS), "rate_limited")
             .when(_any_of(low, fixed.EMPTY_ANSWER_MARKERS), "empty")
             .when(thick, "thick").otherwise("thin"))
@@ -256,7 +256,7 @@ def response_class(text: Column, thick: Column) -> Column:
 
 def referral_host(col: Column) -> Column:
     """host:port of a referral; NULL for blank or a label without a dot."""
-    h = F.lower(F.trim(col))
+    h = F.lower(trim_ws(col))
     h = F.regexp_replace(F.regexp_replace(h, "^.*?://", ""), "(?<=.)[/?#].*$", "")
     return let(h, lambda x: let(F.when(x.contains(":"), x).otherwise(F.concat(x, F.lit(":43"))),
                                 lambda full: F.when((x != "") & full.contains("."), full)))

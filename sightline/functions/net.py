@@ -1,8 +1,8 @@
 """IP address and prefix expressions, all in built-ins.
 
-An address is carried as a fixed-width hex key: 8 digits for v4, 32 for v6. A
-prefix is carried as (family, bits, masked key), so containment of an address in a
-prefix becomes an equi-join on the masked key.
+An address is parsed to a fixed-width hex key: 8 digits for v4, 32 for v6. For joins
+the key becomes two 64-bit halves and a prefix becomes (family, bits, masked halves),
+so containment of an address in a prefix is an equi-join on integers.
 """
 
 from __future__ import annotations
@@ -106,6 +106,29 @@ def mask_key(k: Column, n: Column) -> Column:
     return F.rpad(F.concat(F.substring(k, F.lit(1), whole), part), F.length(k), F.lit("0"))
 
 
+def halves(key: Column) -> Column:
+    """Hex key as struct(hi, lo) of signed 64-bit integers; v4 sits in ``lo``. Pass a plain column."""
+    four = F.length(key) == 8
+    hi = F.when(four, F.lit(0).cast("long")).otherwise(F.conv(F.substring(key, 1, 16), 16, -10).cast("long"))
+    lo = F.when(four, F.conv(key, 16, 10).cast("long")).otherwise(F.conv(F.substring(key, 17, 16), 16, -10).cast("long"))
+    return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+
+def _high_bits(width: Column) -> Column:
+    """All ones shifted left by ``width`` (0..63)."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), width.cast("int"))
+
+
+def mask_halves(family_: Column, hi: Column, lo: Column, bits: Column) -> Column:
+    """struct(hi, lo) with only the first ``bits`` bits kept; integer arithmetic in generated code."""
+    zero = F.lit(0).cast("long")
+    hi6 = F.when(bits == 0, zero).when(bits < 64, hi.bitwiseAND(_high_bits(F.lit(64) - bits))).otherwise(hi)
+    lo6 = F.when(bits <= 64, zero).otherwise(lo.bitwiseAND(_high_bits(F.lit(128) - bits)))
+    lo4 = lo.bitwiseAND(_high_bits(F.lit(32) - bits))
+    four = family_ == 4
+    return F.struct(F.when(four, zero).otherwise(hi6).alias("hi"), F.when(four, lo4).otherwise(lo6).alias("lo"))
+
+
 def prefix_struct(cidr: Column) -> Column:
     """``a.b.c.d/n`` or v6 to struct(family, bits, key); NULL when malformed. Host bits cleared."""
     addr = F.regexp_extract(cidr, "^([^/]+)/\\d{1,3}$", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
-from sightline.functions.bind import decimal_number, let, whole_number
+from sightline.functions.bind import decimal_number, let, trim_ws, whole_number
 
 
 def pivot_tags(tags: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
@@ -22,12 +22,12 @@ def _ratio(text: Column) -> Column:
         den = decimal_number(F.get(p, F.lit(1)))
         num = decimal_number(F.get(p, F.lit(0)))
         return F.when(F.size(p) == 1, num).when(den != 0, num / den)
-    return let(F.split(F.trim(text), "/"), of)
+    return let(F.split(trim_ws(text), "/"), of)
 
 
 def _dms(text: Column) -> Column:
     """Degrees, minutes, seconds as ``a b c`` rationals; all-zero is NULL."""
-    parts = F.transform(F.split(F.trim(text), "[ ,]+"), _ratio)
+    parts = F.transform(F.split(trim_ws(text), "[ ,]+"), _ratio)
 
     def of(p: Column) -> Column:
         sum_ = p[0] + F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)) / 60 + F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)) / 3600
@@ -41,7 +41,7 @@ def gps_decimal(tags: DataFrame) -> DataFrame:
     g = pivot_tags(tags, {"lat": ("gps", "GPSLatitude"), "lat_ref": ("gps", "GPSLatitudeRef"),
                           "lon": ("gps", "GPSLongitude"), "lon_ref": ("gps", "GPSLongitudeRef"),
                           "alt": ("gps", "GPSAltitude"), "alt_ref": ("gps", "GPSAltitudeRef")})
-    ref = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    ref = lambda c: F.upper(trim_ws(F.coalesce(F.col(c), F.lit(""))))
     ns = F.when(ref("lat_ref") == "S", -1).when(ref("lat_ref").isin("", "N"), 1)
     ew = F.when(ref("lon_ref") == "W", -1).when(ref("lon_ref").isin("", "E"), 1)
     d = g.select("file_id", (ns * _dms(F.col("lat"))).alias("latitude"), (ew * _dms(F.col("lon"))).alias("longitude"),
@@ -75,7 +75,7 @@ def capture_instant(tags: DataFrame) -> DataFrame:
     p = pivot_tags(tags, {"orig": ("exif", "DateTimeOriginal"), "orig_off": ("exif", "OffsetTimeOriginal"),
                           "digi": ("exif", "DateTimeDigitized"), "digi_off": ("exif", "OffsetTimeDigitized"),
                           "file": ("ifd0", "DateTime")})
-    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
+    blank = lambda c: F.when(trim_ws(F.col(c)) != "", trim_ws(F.col(c)))
 
     def clock(label: str, main: str, off: str) -> Column:
         return F.struct(F.lit(label).alias("label"), F.coalesce(blank(main), blank("file")).alias("local"),
@@ -112,7 +112,7 @@ def device_facts(tags: DataFrame) -> DataFrame:
         "body_serial": ("exif", "BodySerialNumber"), "lens_serial": ("exif", "LensSerialNumber"),
         "owner": ("exif", "CameraOwnerName")})
     shown = F.concat_ws("", *[F.coalesce(c, F.lit("")) for c in ("camera_make", "camera_model", "software")])
-    return p.where(shown != "").withColumn("captured_with", F.trim(F.concat_ws(
+    return p.where(shown != "").withColumn("captured_with", trim_ws(F.concat_ws(
         " ", F.coalesce("camera_make", F.lit("")), F.coalesce("camera_model", F.lit("")))))
 
 

@@ -7,10 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.functions import net
-from sightline.functions.bind import let
+from sightline.functions.bind import let, trim_ws
 from sightline.functions.grades import mode_rank
-from sightline.operators.netjoin import containing_prefixes, suffix_pairs, with_prefix
+from sightline.operators.netjoin import NET, containing_prefixes, masked, suffix_pairs, with_prefix
 from sightline.operators.skew import attach
 
 NO_RULE = "no-allow-rule"
@@ -27,11 +26,11 @@ def _decide(df: DataFrame, found: DataFrame, key: str, missing: str = NO_RULE) -
 
 def domain_rules(rules: DataFrame) -> DataFrame:
     """(action, pattern) to suffix-joinable rules: ``*.x`` and ``.x`` mean strictly below x."""
-    p = F.lower(F.trim(F.col("pattern")))
+    p = F.lower(trim_ws(F.col("pattern")))
     below = p.rlike("^\\*?\\.")
     deny = F.col("action") == "deny"
     return rules.select(
-        F.regexp_replace(p, "^\\*?\\.", "").alias("suffix"), below.alias("below"), ~deny.alias("allow"), p.alias("pattern"),
+        F.regexp_replace(p, "^\\*?\\.", "").alias("suffix"), below.alias("below"), (~deny).alias("allow"), p.alias("pattern"),
         # deny exact, deny suffix, allow exact, allow suffix
         (F.when(deny, 0).otherwise(2) + below.cast("int")).alias("precedence"))
 
@@ -73,18 +72,17 @@ def scope_cidrs(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFram
     Two prefixes overlap exactly when one contains the other, so both directions are
     equi-joins on a masked key: targets masked to rule lengths, rules masked to target lengths.
     """
-    r = with_prefix(rules, "pattern").select("action", "pattern", "family", F.col("bits").alias("rbits"), F.col("net_key").alias("rkey"))
-    t = (df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__p", net.prefix_struct(F.col(col)))
-         .where(F.col("__p").isNotNull())
-         .select(col, F.col("__p.family").alias("family"), F.col("__p.bits").alias("tbits"), F.col("__p.key").alias("tkey")))
-    rule_lengths = F.broadcast(r.select("family", "rbits").distinct())      # at most 162 rows
-    inside = (t.join(rule_lengths, "family").where("rbits <= tbits")
-              .withColumn("rkey", net.mask_key(F.col("tkey"), F.col("rbits")))
-              .join(r, ["family", "rbits", "rkey"]).select(col, "action", "pattern", "rbits"))
-    target_lengths = F.broadcast(t.select("family", "tbits").distinct())    # at most 162 rows
-    around = (r.where("action = 'deny'").join(target_lengths, "family").where("tbits < rbits")
-              .withColumn("tkey", net.mask_key(F.col("rkey"), F.col("tbits")))
-              .join(t, ["family", "tbits", "tkey"]).select(col, "action", "pattern", "rbits"))
+    r = with_prefix(rules, "pattern").select("action", "pattern", *NET)
+    t = with_prefix(df.select(col).where(F.col(col).isNotNull()).distinct(), col)
+    rule_lengths = F.broadcast(r.select("family", F.col("bits").alias("rbits")).distinct())    # at most 162 rows
+    probes = t.join(rule_lengths, "family").where("rbits <= bits").select(
+        col, "family", F.col("rbits").alias("bits"), F.col("net_hi").alias("hi"), F.col("net_lo").alias("lo"))
+    inside = masked(probes, "hi", "lo").join(r, NET).select(col, "action", "pattern", F.col("bits").alias("rbits"))
+    target_lengths = F.broadcast(t.select("family", F.col("bits").alias("tbits")).distinct())  # at most 162 rows
+    wide = r.where("action = 'deny'").join(target_lengths, "family").where("tbits < bits").select(
+        "action", "pattern", F.col("bits").alias("rbits"), "family", F.col("tbits").alias("bits"),
+        F.col("net_hi").alias("hi"), F.col("net_lo").alias("lo"))
+    around = masked(wide, "hi", "lo").join(t, NET).select(col, "action", "pattern", "rbits")
     pairs = inside.unionByName(around).withColumn("allow", F.col("action") == "allow")
     best = pairs.groupBy(col).agg(F.min_by(
         F.struct("allow", F.when(F.col("allow"), "allow.cidrs").otherwise("deny.cidrs").alias("rule"), "pattern"),
@@ -148,7 +146,7 @@ def scope_orgs(df: DataFrame, orgs: Sequence[str], col: str = "value") -> DataFr
         for o in reversed([x.strip().lower() for x in orgs]):
             out = F.when(n.contains(o) | F.lit(o).contains(n), o).otherwise(out)
         return out
-    return (df.withColumn("matched", let(F.lower(F.trim(F.col(col))), pick))
+    return (df.withColumn("matched", let(F.lower(trim_ws(F.col(col))), pick))
             .withColumn("allowed", F.col("matched") != "")
             .withColumn("rule", F.when(F.col("allowed"), "allow.orgs").otherwise(NO_RULE))
             .withColumn("out_of_scope", ~F.col("allowed")))
@@ -231,7 +229,7 @@ def authorise(requests: DataFrame, policy: Policy, approvals: DataFrame, e: Enga
     """
     j = attach(requests, approvals, "request_id")
     s, at, actor = F.col("sensitivity"), F.col("at"), F.col("actor")
-    blank = lambda c, d: F.coalesce(F.when(F.trim(c) != "", F.trim(c)), F.lit(d))
+    blank = lambda c, d: F.coalesce(F.when(trim_ws(c) != "", trim_ws(c)), F.lit(d))
     purpose, case_id = blank(F.col("purpose"), policy.default_purpose), blank(F.col("case_id"), policy.default_case)
     low = F.lower(purpose)
     known = F.lit(not policy.allowed_purposes)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sightline.functions.bind import whole_number
+from sightline.functions.bind import trim_ws, whole_number
 
 
 def parse_cdx(df: DataFrame, col: str = "raw") -> DataFrame:
     """(original, stamp, status) per capture; a document without ``original`` gives no rows."""
     keep = [c for c in df.columns if c != col]
     t = df.select(*keep, F.from_json(F.col(col), "array<array<string>>").alias("t"))
-    t = t.withColumn("h", F.transform(F.get("t", F.lit(0)), lambda c: F.lower(F.trim(c))))
+    t = t.withColumn("h", F.transform(F.get("t", F.lit(0)), lambda c: F.lower(trim_ws(c))))
 
     def at(name: str) -> Column:
         return F.get(F.col("row"), (F.array_position("h", name) - 1).cast("int"))
@@ -21,7 +21,7 @@ def parse_cdx(df: DataFrame, col: str = "raw") -> DataFrame:
     def present(name: str) -> Column:
         return F.when(F.array_contains("h", name), at(name))
     return (rows.select(*keep, at("original").alias("original"), F.coalesce(present("timestamp"), F.lit("")).alias("stamp"),
-                        F.coalesce(whole_number(F.trim(present("statuscode")), "int"), F.lit(0)).alias("status"))
+                        F.coalesce(whole_number(trim_ws(present("statuscode")), "int"), F.lit(0)).alias("status"))
             .where(F.col("original").isNotNull()))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sightline.functions.bind import trim_ws
 from sightline.functions import names
 
 A_ROW = ("issuer_ca_id LONG, issuer_name STRING, issuer_org STRING, common_name STRING, name_value STRING, "
@@ -19,7 +20,7 @@ MAX_BODY = 32 * 1024 * 1024
 
 
 def _split_names(text: Column) -> Column:
-    parts = F.transform(F.split(F.lower(text), "\\r?\\n"), lambda n: F.trim(n))
+    parts = F.transform(F.split(F.lower(text), "\\r?\\n"), lambda n: trim_ws(n))
     return F.array_distinct(F.filter(parts, lambda n: n != ""))
 
 
@@ -34,7 +35,7 @@ def parse_ct_a(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> Dat
     both = F.when(F.size(listed) > 0, listed).otherwise(_split_names(F.coalesce("r.common_name", F.lit(""))))
     keep = [c for c in df.columns if c != col]
     return (rows.select(*keep, F.lit("index-a").alias("provider"), both.alias("names"),
-                        F.trim(F.coalesce("r.issuer_name", F.lit(""))).alias("issuer_dn"),
+                        trim_ws(F.coalesce("r.issuer_name", F.lit(""))).alias("issuer_dn"),
                         names.issuer_label(F.coalesce("r.issuer_org", F.lit("")), F.coalesce("r.issuer_name", F.lit(""))).alias("issuer_org"),
                         F.lit("").alias("cert_sha256"), names.serial(F.coalesce("r.serial_number", F.lit(""))).alias("serial"),
                         F.col("r.not_before").alias("not_before"), F.col("r.not_after").alias("not_after"),
@@ -50,10 +51,10 @@ def parse_ct_b(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> Dat
     listed = _split_names(F.coalesce(as_array, F.col("r.dns_names"), F.lit("")))
     keep = [c for c in df.columns if c != col]
     return (rows.select(*keep, F.lit("index-b").alias("provider"), listed.alias("names"),
-                        F.trim(F.coalesce("r.issuer.name", F.lit(""))).alias("issuer_dn"),
+                        trim_ws(F.coalesce("r.issuer.name", F.lit(""))).alias("issuer_dn"),
                         names.issuer_label(F.coalesce("r.issuer.friendly_name", F.lit("")),
                                            F.coalesce("r.issuer.name", F.lit(""))).alias("issuer_org"),
-                        F.lower(F.trim(F.coalesce("r.cert_sha256", F.lit("")))).alias("cert_sha256"),
+                        F.lower(trim_ws(F.coalesce("r.cert_sha256", F.lit("")))).alias("cert_sha256"),
                         F.lit("").alias("serial"), F.col("r.not_before").alias("not_before"),
                         F.col("r.not_after").alias("not_after"), F.coalesce("r.revoked", F.lit(False)).alias("revoked"))
             .where(F.size("names") > 0))

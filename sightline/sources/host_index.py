@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline import fixed
-from sightline.functions.bind import let
+from sightline.functions.bind import let, trim_ws
 from sightline.functions.net import V4_LOOSE
 from sightline.operators.skew import attach
 
@@ -29,13 +29,13 @@ def parse_host_lines(lines: DataFrame, source_col: str = "source", col: str = "l
     ``lines`` is one row per line, so a source of any size stays split over tasks; only
     the one-row-per-source verdict is joined back.
     """
-    rows = lines.withColumn("__l", F.trim(F.regexp_replace(col, "\\r$", ""))).where(F.col("__l") != "")
+    rows = lines.withColumn("__l", trim_ws(F.regexp_replace(col, "\\r$", ""))).where(F.col("__l") != "")
     rows = rows.withColumn("__bad", refusal_line(F.col("__l")))
     verdict = rows.groupBy(source_col).agg(F.bool_or("__bad").alias("refused"))
     failed = verdict.where("refused").select(source_col)
     ok = attach(rows, failed, source_col, "left_anti")
-    host = F.trim(F.element_at(F.split("__l", ",", 2), 1))
-    addr = F.trim(F.coalesce(F.get(F.split("__l", ",", 2), F.lit(1)), F.lit("")))
+    host = trim_ws(F.element_at(F.split("__l", ",", 2), 1))
+    addr = trim_ws(F.coalesce(F.get(F.split("__l", ",", 2), F.lit(1)), F.lit("")))
     hosts = ok.select(source_col, host.alias("host"), F.when(addr.rlike(V4_LOOSE), addr).alias("addr"))
     return hosts.where(F.col("host").contains(".")), failed
 
@@ -61,7 +61,7 @@ def extract_host_cells(pages: DataFrame, key: str = "page_id", col: str = "html"
         F.regexp_extract_all("__h", F.lit("(?is)<td[^>]*>(.*?)</td>"), 1)).alias("cell"))
 
     def text(c: Column) -> Column:
-        return F.trim(_unescape(F.regexp_replace(c, "(?s)<[^>]*>", " ")))
+        return trim_ws(_unescape(F.regexp_replace(c, "(?s)<[^>]*>", " ")))
     cells = cells.withColumn("host", text(F.col("cell"))) \
                  .withColumn("link", text(F.regexp_extract("cell", "(?is)<a[^>]*>(.*?)</a>", 1)))
     h = F.col("host")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, net
-from sightline.functions.bind import decimal_number, let, whole_number
+from sightline.functions.bind import decimal_number, let, trim_ws, whole_number
 
 GEO_A = ("success BOOLEAN, country_code STRING, region STRING, city STRING, latitude DOUBLE, longitude DOUBLE, "
          "connection STRUCT<asn: STRING, org: STRING, isp: STRING>")
@@ -17,13 +17,13 @@ GEO_C = ("ipAddress STRING, latitude DOUBLE, longitude DOUBLE, countryCode STRIN
 
 def as_number(s: Column) -> Column:
     """Digits of "15169", "AS15169" or "AS15169 Name"; empty when there are none or too many."""
-    first = F.regexp_extract(F.trim(s), "^([^ ,]+)", 1)
+    first = F.regexp_extract(trim_ws(s), "^([^ ,]+)", 1)
     return let(F.regexp_replace(F.regexp_replace(F.upper(first), "^AS", ""), "[^0-9]", ""),
                lambda d: F.when(F.length(d).between(1, 10), d).otherwise(""))
 
 
 def _t(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit("")))
+    return trim_ws(F.coalesce(F.col(c), F.lit("")))
 
 
 def _first(*cols: str) -> Column:
@@ -48,7 +48,7 @@ def normalise_geo(df: DataFrame, provider_col: str = "provider", col: str = "raw
     point_b = let(loc(1), loc(2), lambda la, lo: F.when(la.between(-90, 90) & lo.between(-180, 180), F.struct(la.alias("lat"), lo.alias("lon"))))
     pair = lambda la, lo: F.when(F.col(la).isNotNull() & F.col(lo).isNotNull(), F.struct(F.col(la).alias("lat"), F.col(lo).alias("lon")))
     org_b = F.when(_t("b.org").rlike("^(?i)as") & _t("b.org").contains(" "),
-                   F.trim(F.regexp_replace(_t("b.org"), "^\\S+ ", ""))).otherwise(_t("b.org"))
+                   trim_ws(F.regexp_replace(_t("b.org"), "^\\S+ ", ""))).otherwise(_t("b.org"))
 
     def claim(country, region, city, org, asn, point, anycast):
         return F.struct(country.alias("country"), region.alias("region"), city.alias("city"), org.alias("org"),
@@ -68,11 +68,11 @@ def normalise_geo(df: DataFrame, provider_col: str = "provider", col: str = "raw
 def parse_origin_txt(df: DataFrame, col: str = "txt") -> DataFrame:
     """asn | prefix | country | registry | date records; fewer than four fields or no number drops the row."""
     keep = [c for c in df.columns if c != col]
-    p = F.split(F.trim(col), "\\|")
-    f = lambda i: F.regexp_replace(F.trim(F.get(F.col("__p"), F.lit(i))), '^"+|"+$', "")
+    p = F.split(trim_ws(col), "\\|")
+    f = lambda i: F.regexp_replace(trim_ws(F.get(F.col("__p"), F.lit(i))), '^"+|"+$', "")
     d = df.withColumn("__p", p).where(F.size("__p") >= 4)
-    d = d.select(*keep, F.trim(f(0)).alias("asn"), F.trim(f(1)).alias("prefix"), F.trim(f(2)).alias("country"),
-                 F.trim(f(3)).alias("registry"), F.coalesce(F.trim(F.get("__p", F.lit(4))), F.lit("")).alias("allocated"))
+    d = d.select(*keep, trim_ws(f(0)).alias("asn"), trim_ws(f(1)).alias("prefix"), trim_ws(f(2)).alias("country"),
+                 trim_ws(f(3)).alias("registry"), F.coalesce(trim_ws(F.get("__p", F.lit(4))), F.lit("")).alias("allocated"))
     return d.where(F.col("asn").rlike("^\\d{1,10}$"))
 
 
@@ -101,7 +101,7 @@ def unquote_txt(data: Column) -> Column:
             F.when(quote | slash | space, acc["out"]).otherwise(F.concat(acc["out"], ch)).alias("out"),
             F.when(quote, ~acc["quoted"]).otherwise(acc["quoted"]).alias("quoted"), slash.alias("esc"))
     walked = F.aggregate(F.split(data, ""), start, step, lambda a: a["out"])
-    return F.when(data.contains('"'), walked).otherwise(F.trim(data))
+    return F.when(data.contains('"'), walked).otherwise(trim_ws(data))
 
 
 def normalise_dns(df: DataFrame, col: str = "raw", question_type: str = "rrtype") -> DataFrame:
@@ -118,13 +118,13 @@ def normalise_dns(df: DataFrame, col: str = "raw", question_type: str = "rrtype"
     a = a.withColumn("type", F.coalesce(known[F.col("a.type")], F.upper(F.col(question_type))))
     d, t = F.col("a.data"), F.col("type")
     strip = lambda c: F.regexp_replace(F.lower(c), "\\.$", "")
-    two = F.trim(d).rlike("^\\S+\\s+\\S+$")
+    two = trim_ws(d).rlike("^\\S+\\s+\\S+$")
     data = (F.when(t == "A", canon.ip(d)).when(t == "AAAA", canon.ip(d)).when(t.isin("CNAME", "NS", "PTR"), strip(d))
-            .when(t.isin("MX", "SRV"), F.when(two, strip(F.regexp_extract(F.trim(d), "(\\S+)$", 1))).otherwise(strip(d)))
+            .when(t.isin("MX", "SRV"), F.when(two, strip(F.regexp_extract(trim_ws(d), "(\\S+)$", 1))).otherwise(strip(d)))
             .when(t == "TXT", unquote_txt(d))
-            .when((t == "CAA") & F.trim(d).rlike("^\\S+\\s+\\S+\\s+\\S+$"),
-                  F.regexp_replace(F.trim(d), "^\\S+\\s+(\\S+)\\s+(\\S+)$", "$1;$2")).otherwise(d))
-    pref = F.when(t.isin("MX", "SRV") & two, F.coalesce(whole_number(F.regexp_extract(F.trim(d), "^(\\d+)", 1), "int"), F.lit(0))).otherwise(0)
+            .when((t == "CAA") & trim_ws(d).rlike("^\\S+\\s+\\S+\\s+\\S+$"),
+                  F.regexp_replace(trim_ws(d), "^\\S+\\s+(\\S+)\\s+(\\S+)$", "$1;$2")).otherwise(d))
+    pref = F.when(t.isin("MX", "SRV") & two, F.coalesce(whole_number(F.regexp_extract(trim_ws(d), "^(\\d+)", 1), "int"), F.lit(0))).otherwise(0)
     out = a.select(*keep, "status", F.when(F.col("a").isNotNull(), strip(F.col("a.name"))).alias("name"), "type",
                    F.when(F.col("a.TTL") > 0, F.col("a.TTL")).otherwise(0).alias("ttl"), pref.alias("pref"), data.alias("data"),
                    F.col("a").isNotNull().alias("answered"))

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import names, net
-from sightline.functions.bind import let, whole_number
+from sightline.functions.bind import let, trim_ws, whole_number
 
 
 def normal_key(k: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.trim(k)), "[_.\\-\\s]+", " "))
+    return trim_ws(F.regexp_replace(F.lower(trim_ws(k)), "[_.\\-\\s]+", " "))
 
 
 def _good_key(k: Column) -> Column:
@@ -20,13 +20,13 @@ def _good_key(k: Column) -> Column:
 def key_values(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, key, value) of every field line; comments and prose are dropped."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("raw", "\\r$", "")))
+    lines = lines.withColumn("line", trim_ws(F.regexp_replace("raw", "\\r$", "")))
     lines = lines.where((F.col("line") != "") & ~F.col("line").rlike("^[%#]"))
 
     def pick(line: Column) -> Column:
         def cut(rx: str) -> Column:
-            return let(F.trim(F.regexp_extract(line, rx, 1)), lambda k: F.when(_good_key(k), F.struct(
-                k.alias("key"), F.trim(F.regexp_extract(line, rx, 2)).alias("value"))))
+            return let(trim_ws(F.regexp_extract(line, rx, 1)), lambda k: F.when(_good_key(k), F.struct(
+                k.alias("key"), trim_ws(F.regexp_extract(line, rx, 2)).alias("value"))))
         word = F.when(F.length(F.regexp_extract(line, "^(\\S+)", 1)) <= 48, cut("^(\\S+)\\s+(.*)$"))
         return F.coalesce(cut("^([^:]+):(.*)$"), cut("^([^\\t]+)\\t(.*)$"), word)
 
@@ -43,8 +43,8 @@ def _concept(key: Column) -> Column:
 
 
 def _clean(v: Column) -> Column:
-    return F.regexp_replace(let(F.trim(v), lambda x: F.when(
-        x.rlike("^.+? \\(.*\\)$"), F.trim(F.regexp_extract(x, "^(.+?) \\(", 1))).otherwise(x)), '^"+|"+$', "")
+    return F.regexp_replace(let(trim_ws(v), lambda x: F.when(
+        x.rlike("^.+? \\(.*\\)$"), trim_ws(F.regexp_extract(x, "^(.+?) \\(", 1))).otherwise(x)), '^"+|"+$', "")
 
 
 def parse_registration_text(df: DataFrame, id_col: str = "response_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +102,7 @@ def merge_registration(registry: DataFrame, registrar: DataFrame, key: str = "do
     lists = ["name_servers", "status", "redacted"]
     a, b = registry.alias("a"), registrar.alias("b")
     j = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-    text = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    text = lambda c: F.when(trim_ws(F.col(c)) != "", F.col(c))
     arr = lambda c, t: F.coalesce(F.col(c), F.array().cast(t))
     st = "array<struct<field:string,address:string>>"
     known = F.transform(arr("a.emails", st), lambda e: e["address"])
@@ -132,14 +132,14 @@ def card_values(card: Column, prop: str) -> Column:
     def flat(text: Column) -> Column:
         def value(x: Column) -> Column:
             parts = F.from_json(x, "array<string>")
-            return F.when(x.startswith("["), F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), ", ")).otherwise(F.trim(x))
+            return F.when(x.startswith("["), F.array_join(F.filter(F.transform(parts, lambda p: trim_ws(p)), lambda p: p != ""), ", ")).otherwise(trim_ws(x))
         return value(text)
 
     outer = F.from_json(card, "array<string>")
 
     def of(o: Column) -> Column:
         props = F.from_json(F.get(o, F.lit(1)), "array<array<string>>")
-        mine = F.filter(props, lambda p: (F.size(p) >= 4) & (F.lower(F.trim(F.get(p, F.lit(0)))) == prop))
+        mine = F.filter(props, lambda p: (F.size(p) >= 4) & (F.lower(trim_ws(F.get(p, F.lit(0)))) == prop))
         return F.when(F.get(o, F.lit(0)) == "vcard",
                       F.transform(mine, lambda p: F.coalesce(flat(F.get(p, F.lit(3))), F.lit(""))))
     return F.coalesce(let(outer, of), F.array().cast("array<string>"))
@@ -147,7 +147,7 @@ def card_values(card: Column, prop: str) -> Column:
 
 def card_emails(card: Column) -> Column:
     """Distinct addresses (ignoring case), placeholders left out, first spelling kept."""
-    listed = F.filter(F.transform(card_values(card, "email"), lambda e: F.trim(e)), lambda e: ~names.placeholder(e) | (F.lower(e) == "privacy redacted"))
+    listed = F.filter(F.transform(card_values(card, "email"), lambda e: trim_ws(e)), lambda e: ~names.placeholder(e) | (F.lower(e) == "privacy redacted"))
 
     def first_spelling(xs: Column) -> Column:
         low = F.transform(xs, lambda x: F.lower(x))
@@ -156,12 +156,12 @@ def card_emails(card: Column) -> Column:
 
 
 def card_name(card: Column) -> Column:
-    pick = lambda p: let(F.get(card_values(card, p), F.lit(0)), lambda v: F.when(F.trim(v) != "", F.trim(v)))
+    pick = lambda p: let(F.get(card_values(card, p), F.lit(0)), lambda v: F.when(trim_ws(v) != "", trim_ws(v)))
     return F.coalesce(pick("fn"), pick("org"), pick("n"))
 
 
 def card_phones(card: Column) -> Column:
-    return F.filter(F.transform(card_values(card, "tel"), lambda p: F.regexp_replace(F.trim(p), "^tel:", "")), lambda p: p != "")
+    return F.filter(F.transform(card_values(card, "tel"), lambda p: F.regexp_replace(trim_ws(p), "^tel:", "")), lambda p: p != "")
 
 
 def vcard_cols(df: DataFrame, col: str = "vcard") -> DataFrame:
@@ -204,13 +204,13 @@ def parse_rdap(df: DataFrame, col: str = "raw") -> DataFrame:
     registrar = F.get(_with_role(ent, "registrar"), F.lit(0))
     ns = F.transform("r.nameservers", lambda n: F.coalesce(
         F.when(strip(n["ldhName"]) != "", strip(n["ldhName"])), strip(n["unicodeName"]), F.lit("")))
-    status = F.array_sort(F.filter(F.transform("r.status", lambda s: F.trim(s)), lambda s: s != ""))
+    status = F.array_sort(F.filter(F.transform("r.status", lambda s: trim_ws(s)), lambda s: s != ""))
     low_set = lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda x: F.coalesce(x, F.lit("")) != "")))
-    red = low_set(F.transform("r.redacted", lambda x: F.lower(F.trim(x["name"]["type"]))))
-    how = low_set(F.transform("r.redacted", lambda x: F.lower(F.trim(x["method"]))))
+    red = low_set(F.transform("r.redacted", lambda x: F.lower(trim_ws(x["name"]["type"]))))
+    how = low_set(F.transform("r.redacted", lambda x: F.lower(trim_ws(x["method"]))))
     remarks = F.flatten(F.transform("r.remarks", lambda m: F.transform(
-        F.filter(F.transform(m["description"], lambda d: F.trim(d)), lambda d: d != ""),
-        lambda d: F.when(F.trim(F.coalesce(m["title"], F.lit(""))) != "", F.concat(F.trim(m["title"]), F.lit(": "), d)).otherwise(d))))
+        F.filter(F.transform(m["description"], lambda d: trim_ws(d)), lambda d: d != ""),
+        lambda d: F.when(trim_ws(F.coalesce(m["title"], F.lit(""))) != "", F.concat(trim_ws(m["title"]), F.lit(": "), d)).otherwise(d))))
     none = F.array().cast("array<string>")
     out = r.select(
         *keep, F.col("r.objectClassName").alias("object_class"), F.col("r.handle").alias("handle"),
@@ -231,13 +231,13 @@ def read_bootstrap(df: DataFrame, kind: str, col: str = "raw") -> DataFrame:
     """
     doc = F.from_json(F.col(col), "services ARRAY<ARRAY<ARRAY<STRING>>>")
     svc = df.select(F.posexplode(doc["services"]).alias("ord", "e")).where(F.size("e") >= 2)
-    clean = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
+    clean = lambda xs: F.filter(F.transform(xs, lambda x: trim_ws(x)), lambda x: x != "")
     svc = svc.select("ord", clean(F.col("e")[0]).alias("keys"), clean(F.col("e")[1]).alias("urls"))
     host = lambda u: F.regexp_replace(F.regexp_replace(F.lower(u), "^.*?://", ""), "[/?#].*$", "")
     secure = F.transform(F.filter("urls", lambda u: F.lower(u).startswith("https://")), host)
     svc = svc.withColumn("secure", secure)
     svc = svc.withColumn("urls", F.filter("urls", lambda u: F.lower(u).startswith("https://") | ~F.array_contains("secure", host(u))))
-    key = F.lower(F.trim(F.col("k")))
+    key = F.lower(trim_ws(F.col("k")))
     if kind == "asn":
         key = F.regexp_replace(F.regexp_replace(key, "^asn", ""), "^as", "")
     rows = (svc.select("ord", "urls", F.explode("keys").alias("k")).select("ord", "urls", key.alias("key"))
@@ -246,8 +246,8 @@ def read_bootstrap(df: DataFrame, kind: str, col: str = "raw") -> DataFrame:
     if kind in ("ipv4", "ipv6"):
         return rows.withColumn("prefix", F.col("key")).where(net.prefix_struct(F.col("key")).isNotNull())
     if kind == "asn":
-        lo = whole_number(F.trim(F.regexp_extract("key", "^([^-]+)", 1)))
-        hi = F.when(F.col("key").contains("-"), whole_number(F.trim(F.regexp_extract("key", "-(.*)$", 1)))).otherwise(lo)
+        lo = whole_number(trim_ws(F.regexp_extract("key", "^([^-]+)", 1)))
+        hi = F.when(F.col("key").contains("-"), whole_number(trim_ws(F.regexp_extract("key", "-(.*)$", 1)))).otherwise(lo)
         return rows.withColumn("lo", lo).withColumn("hi", hi).where(
             (F.col("lo") > 0) & (F.col("hi") >= F.col("lo")) & (F.col("hi") <= 4294967295))
     return rows.withColumnRenamed("key", "tld") if kind == "dns" else rows

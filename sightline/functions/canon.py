@@ -2,9 +2,9 @@
 
 Each branch maps a trimmed text column to its canonical text, or NULL when the value
 is not of that type. A branch takes the value and a set of :class:`Aids`: the host
-part as an ASCII name, the NFC form and the mixed-case wallet form. The aids are the
+part as an ASCII name, its address form, the NFC form and the mixed-case wallet form. The aids are the
 only Arrow-batched Python, computed once per row set in one stage by
-:func:`with_aids`; on tables known to be ASCII, :func:`plain_aids` leaves Python out.
+:func:`with_aids`. Called without aids a branch stays in the JVM and refuses non-ASCII hosts.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ HOSTED = ["domain", "subdomain", "url", "email"]
 @dataclass(frozen=True)
 class Aids:
     host: Column
+    ip: Column
     nfc: Column
     evm: Column
 
@@ -50,59 +51,78 @@ def bare_host(v: Column) -> Column:
 
 
 def host_part(kind: Column, v: Column) -> Column:
-    """The text that names a host inside a value of each hosted type."""
-    return (F.when(kind.isin("domain", "subdomain"), bare_host(v))
-            .when(kind == "email", bare_host(F.regexp_extract(strip_url_parts(v), "(?s)@([^@]+)$", 1)))
-            .when(kind == "url", F.regexp_extract(F.regexp_replace(v, "^//", "https://"), _URL, 2)))
-
-
-def plain_aids(host: Column, value: Column) -> Aids:
-    """Aids without Python: non-ASCII hosts are refused, text is taken as normalised."""
-    return Aids(F.when(~host.rlike(NON_ASCII), F.lower(host)), value, F.lit(None).cast("string"))
-
-
-def with_aids(df: DataFrame, kind: Column, value: Column) -> tuple[DataFrame, Aids]:
-    """Add the aid columns (one Arrow stage; Python sees NULL for ordinary rows)."""
-    raw = F.regexp_replace(F.lower(F.regexp_replace(value, "(?s)^[^:]+:\\s*", "")), "^0x", "")
-    is_evm = (kind == "wallet") & value.rlike("^(?i)(ethereum|eth):\\s*(0x)?[0-9a-f]{40}$")
-    df = df.withColumn("__host_raw", F.when(kind.isin(HOSTED), host_part(kind, value)))
-    df = (df.withColumn("__host", idna_column(F.col("__host_raw")))
-          .withColumn("__nfc", F.when(kind.isin(HOSTED), value).otherwise(nfc_column(value)))
-          .withColumn("__evm", evm_checksum_column(raw, is_evm)))
-    return df, Aids(F.col("__host"), F.col("__nfc"), F.col("__evm"))
+    """The text that names a host (or is an address) inside a value of each hosted type."""
+    whole = F.regexp_replace(v, "^//", "https://")
+    named = (F.when(kind.isin("domain", "subdomain"), v)
+             .when(kind == "email", F.regexp_extract(strip_url_parts(v), "(?s)@([^@]+)$", 1))
+             .when(kind == "url", F.regexp_extract(whole, _URL, 2)))
+    text = strip_url_parts(named)
+    return F.when(kind == "ip", v).when(text.startswith("["), text).otherwise(bare_host(named))
+
+
+def with_aids(df: DataFrame, kind: Column, value: Column, kinds: list[str] | None = None) -> tuple[DataFrame, Aids]:
+    """Add the aid columns (one Arrow stage; Python sees NULL for ordinary rows).
+
+    Every hosted type shares one address parse. ``kinds`` leaves out what cannot occur.
+    """
+    kinds = kinds or [*HOSTED, "ip", "wallet", "text"]
+    hosted = [k for k in HOSTED if k in kinds]
+    none = F.lit(None).cast("string")
+    df = df.withColumn("__host_raw", F.when(kind.isin([*hosted, "ip"]), host_part(kind, value)) if hosted or "ip" in kinds else none)
+    raw = F.col("__host_raw")
+    df = df.withColumn("__host", F.when(kind.isin(hosted), idna_column(raw)) if hosted else none)
+    df = df.withColumn("__nfc", nfc_column(value) if set(kinds) - set(PLAIN) else value)
+    if "wallet" in kinds:
+        is_evm = (kind == "wallet") & value.rlike("^(?i)(ethereum|eth):\\s*(0x)?[0-9a-f]{40}$")
+        bare = F.regexp_replace(F.lower(F.regexp_replace(value, "(?s)^[^:]+:\\s*", "")), "^0x", "")
+        df = df.withColumn("__evm", evm_checksum_column(bare, is_evm))
+    else:
+        df = df.withColumn("__evm", none)
+    df = df.withColumn("__ip", ip(raw) if hosted or "ip" in kinds else none)
+    return df, Aids(F.col("__host"), F.col("__ip"), F.col("__nfc"), F.col("__evm"))
+
+
+AID_COLUMNS = ["__host_raw", "__host", "__ip", "__nfc", "__evm"]
+# types whose canonical form never needs Unicode normalisation
+PLAIN = ["domain", "subdomain", "ip", "cidr", "asn", "url", "email", "phone", "geo", "file", "image", "hash", "cert", "cve",
+         "wallet", "tx"]
+
+
+def _first_address(v: Column) -> Column:
+    """Bracketed, zoned or ported literal to its canonical text: the text itself, else without its port."""
+    inner = F.when(v.startswith("["), F.regexp_extract(v, "^\\[([^\\]]+)\\]", 1)).otherwise(v)
 
+    def of(x: Column) -> Column:
+        spellings = F.array(x, F.regexp_extract(x, "^(.+):[0-9]+$", 1))
+        found = F.filter(F.transform(spellings, net.ip_key), lambda k: k.isNotNull())
+        return let(F.get(found, F.lit(0)), net.key_text)
 
-AID_COLUMNS = ["__host_raw", "__host", "__nfc", "__evm"]
+    return let(F.regexp_replace(inner, "(?<=.)%.*$", ""), of)
 
 
 def ip(v: Column, aids: Aids | None = None) -> Column:
-    def of(inner: Column) -> Column:
-        unported = F.regexp_extract(inner, "^(.+):[0-9]+$", 1)
-        return let(net.ip_key(inner), lambda k: F.when(k.isNotNull(), net.key_text(k)).otherwise(
-            let(net.ip_key(unported), net.key_text)))
-
-    inner = F.when(v.startswith("["), F.regexp_extract(v, "^\\[([^\\]]+)\\]", 1)).otherwise(v)
-    slow = let(F.regexp_replace(inner, "(?<=.)%.*$", ""), of)
-    return F.when(net.is_v4(v), v).when(v.rlike("[:%\\[]"), slow)
+    if aids is not None:
+        return aids.ip
+    return F.when(net.is_v4(v), v).when(v.rlike("[:%\\[]"), _first_address(v))
 
 
 def _valid_host(host: Column) -> Column:
     return F.octet_length(host).between(1, 253) & ~host.rlike("(^|\\.)(\\.|$)")
 
 
-def host_name(host: Column) -> Column:
+def host_name(host: Column, literal: Column | None = None) -> Column:
     """ASCII lower-case host, or the canonical address when it is one."""
-    def of(h: Column) -> Column:
-        six = let(net.ip_key(h), lambda k: F.when(k.isNotNull(), net.key_text(k)).when(_valid_host(h), h))
-        return F.when(h.contains(":"), six).when(_valid_host(h), h)
-
-    return let(host, of)
+    if literal is None:
+        return let(host, lambda h: let(ip(h), lambda a: F.when(a.isNotNull(), a).when(_valid_host(h), h)))
+    return F.when(literal.isNotNull(), literal).when(~host.startswith("[") & _valid_host(host), host)
 
 
 def domain(v: Column, aids: Aids | None = None) -> Column:
-    aids = aids or plain_aids(bare_host(v), v)
-    bracketed = strip_url_parts(v).startswith("[")
-    return F.when(bracketed, ip(strip_url_parts(v))).otherwise(host_name(aids.host))
+    if aids is not None:
+        return host_name(aids.host, aids.ip)
+    text = strip_url_parts(v)
+    host = F.when(text.startswith("["), text).otherwise(bare_host(v))
+    return let(host, lambda h: let(ip(h), lambda a: host_name(F.when(~h.rlike(NON_ASCII), F.lower(h)), a)))
 
 
 def cidr(v: Column, aids: Aids | None = None) -> Column:
@@ -136,9 +156,10 @@ _USERINFO = "^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#@]*@)"
 
 def url(v: Column, aids: Aids | None = None) -> Column:
     whole = F.regexp_replace(v, "^//", "https://")
-    host_raw = F.regexp_replace(F.regexp_extract(whole, _URL, 2), "^\\[|\\]$", "")
-    ascii_host = plain_aids(host_raw, v).host if aids is None else F.regexp_replace(aids.host, "^\\[|\\]$", "")
-
+    if aids is None:
+        host = domain(F.regexp_extract(whole, _URL, 2))
+    else:
+        host = host_name(aids.host, aids.ip)
     # one pass of the pattern, then a split on a byte no URL may hold
     pieces = F.split(F.regexp_replace(whole, _URL, "$1\x01$3\x01$4\x01$5\x01"), "\x01")
 
@@ -151,20 +172,17 @@ def url(v: Column, aids: Aids | None = None) -> Column:
         path = F.when(p[2] == "", "/").otherwise(p[2])
         query = F.when(p[3] == "", "").otherwise(let(strip_tracking(F.regexp_replace(p[3], "^\\?", "")), lambda q: F.when(
             q == "", "").otherwise(F.concat(F.lit("?"), q))))
-        shown = F.when(host.contains(":"), let(net.ip_key(host), lambda k: F.when(
-            k.isNotNull(), net.key_text(k)).otherwise(host))).otherwise(host)
-        return F.when((F.size(p) == 5) & (host != ""), F.concat(
-            scheme, F.lit("://"), F.regexp_extract(whole, _USERINFO, 1), shown, port_part, path, query))
+        return F.when(F.size(p) == 5, F.concat(
+            scheme, F.lit("://"), F.regexp_extract(whole, _USERINFO, 1), host, port_part, path, query))
 
-    return F.when(~whole.rlike("[\\x00-\\x20\\x7F]"), let(pieces, ascii_host, of))
+    return F.when(~whole.rlike("[\\x00-\\x20\\x7F]"), let(pieces, host, of))
 
 
 def email(v: Column, aids: Aids | None = None) -> Column:
     def of(bare: Column) -> Column:
         local = F.regexp_extract(bare, "(?s)^(.+)@([^@]+)$", 1)
-        name = F.regexp_extract(bare, "(?s)@([^@]+)$", 1)
-        host = domain(name) if aids is None else host_name(aids.host)
-        return let(local, lambda x: F.when((x != "") & ~x.rlike("[ \\t]"), F.concat(x, F.lit("@"), host)))
+        host = domain(F.regexp_extract(bare, "(?s)@([^@]+)$", 1)) if aids is None else host_name(aids.host, aids.ip)
+        return F.when((local != "") & ~local.rlike("[ \\t]"), F.concat(local, F.lit("@"), host))
 
     return F.when(v.contains("@"), let(strip_url_parts(v), of))
 

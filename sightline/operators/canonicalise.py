@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, keys
-from sightline.functions.bind import let
+from sightline.functions.bind import fenced, let
 
 
 def canonicalise(df: DataFrame, type_col: str = "type", value_col: str = "value",
@@ -18,7 +18,7 @@ def canonicalise(df: DataFrame, type_col: str = "type", value_col: str = "value"
     """
     wanted = types or fixed.ENTITY_TYPES
     kind, value = F.col(type_col), F.col("__value")
-    df, aids = canon.with_aids(df.withColumn("__value", canon.trim_text(F.col(value_col))), kind, value)
+    df, aids = canon.with_aids(df.withColumn("__value", canon.trim_text(F.col(value_col))), kind, value, wanted)
     by_branch: dict = {}
     for t in wanted:
         by_branch.setdefault(canon.BRANCHES[t], []).append(t)
@@ -26,7 +26,7 @@ def canonicalise(df: DataFrame, type_col: str = "type", value_col: str = "value"
     for branch, members in by_branch.items():
         cond, expr = kind.isin(members), branch(value, aids)
         out = F.when(cond, expr) if out is None else out.when(cond, expr)
-    canonical = F.when(value != "", out)
+    canonical = fenced(F.when(value != "", out))
     reason = F.when(F.coalesce(value, F.lit("")) == "", "empty") \
               .when(~kind.isin(wanted) | kind.isNull(), "unknown entity type")
     for t in wanted:
@@ -40,9 +40,15 @@ def canonicalise(df: DataFrame, type_col: str = "type", value_col: str = "value"
 
 def with_host(df: DataFrame, col: str, out: str = "host") -> DataFrame:
     """Canonical host of a name, URL host or address column; NULL where there is none."""
-    df = df.withColumn("__host_raw", canon.bare_host(canon.trim_text(F.col(col))))
-    df = df.withColumn("__host", canon.idna_column(F.col("__host_raw")))
-    return df.withColumn(out, canon.host_name(F.col("__host"))).drop("__host_raw", "__host")
+    df = df.withColumn("__host_raw", canon.host_part(F.lit("domain"), canon.trim_text(F.col(col))))
+    df = df.withColumn("__host", canon.idna_column(F.col("__host_raw"))).withColumn("__ip", canon.ip(F.col("__host_raw")))
+    return df.withColumn(out, fenced(canon.host_name(F.col("__host"), F.col("__ip")))).drop("__host_raw", "__host", "__ip")
+
+
+def canonical_only(df: DataFrame, type_col: str = "type", value_col: str = "value",
+                   types: list[str] | None = None) -> DataFrame:
+    """:func:`canonicalise` without its rejects."""
+    return canonicalise(df, type_col, value_col, types).where(F.col("canonical").isNotNull()).drop("reject_reason")
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +71,7 @@ def infer_type(df: DataFrame, col: str) -> DataFrame:
              ("phone", canon.phone(v))]
     named = [let(c, lambda x, t=t: F.when(x.isNotNull(), F.struct(F.lit(t).alias("t"), x.alias("c")))) for t, c in tried]
     named.append(let(host, lambda h: F.when(h.isNotNull(), F.struct(names.host_class(h).alias("t"), h.alias("c")))))
-    return (df.withColumn("__pick", F.when(v != "", F.coalesce(*named)))
+    return (df.withColumn("__pick", fenced(F.when(v != "", F.coalesce(*named))))
             .withColumn("inferred_type", F.col("__pick.t"))
             .withColumn("canonical", F.col("__pick.c"))
             .drop("__pick", "__v"))

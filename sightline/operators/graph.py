@@ -107,13 +107,13 @@ def dns_to_graph(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``answers``: (name, type, data). Addresses and aliases point away from the name,
     mail and name servers point at it; free text becomes a content-addressed entity.
     """
-    from sightline.operators.canonicalise import canonicalise
+    from sightline.operators.canonicalise import canonical_only
     rows = answers.where(F.trim("data") != "").withColumn("rrtype", F.col("type"))
     rows = rows.withColumn("etype", F.when(F.col("rrtype").isin("A", "AAAA"), "ip")
                            .when(F.col("rrtype").isin("CNAME", "MX", "NS"), "subdomain")
                            .when(F.col("rrtype").isin("TXT", "CAA", "SOA"), "text"))
     rows = rows.where(F.col("etype").isNotNull()).select("name", "rrtype", "etype", "data").distinct()
-    c = canonicalise(rows, "etype", "data", ["ip", "subdomain", "text"]).where(F.col("canonical").isNotNull())
+    c = canonical_only(rows, "etype", "data", ["ip", "subdomain", "text"])
     predicate = F.concat(F.lit("dns_"), F.lower("rrtype"))
     for rr, p in _PREDICATE.items():
         predicate = F.when(F.col("rrtype") == rr, p).otherwise(predicate)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import net
-from sightline.functions.bind import let, trim_ws
+from sightline.functions.bind import fenced, let, trim_ws
 from sightline.operators.skew import attach
 
 
@@ -22,14 +22,14 @@ NET = ["family", "bits", "net_hi", "net_lo"]
 def masked(df: DataFrame, hi: str, lo: str) -> DataFrame:
     """Add net_hi / net_lo: the halves masked to ``bits``."""
     m = net.mask_halves(F.col("family"), F.col(hi), F.col(lo), F.col("bits"))
-    return df.withColumn("__m", m).select("*", F.col("__m.hi").alias("net_hi"), F.col("__m.lo").alias("net_lo")).drop("__m")
+    return df.withColumn("__m", fenced(m)).select("*", F.col("__m.hi").alias("net_hi"), F.col("__m.lo").alias("net_lo")).drop("__m")
 
 
 def with_prefix(rules: DataFrame, col: str) -> DataFrame:
     """Add family, bits, net_hi, net_lo of a prefix column; malformed rows are dropped."""
-    d = rules.withColumn("__p", net.prefix_struct(F.col(col))).where(F.col("__p").isNotNull())
+    d = rules.withColumn("__p", fenced(net.prefix_struct(F.col(col)))).where(F.col("__p").isNotNull())
     d = d.select("*", F.col("__p.family").alias("family"), F.col("__p.bits").alias("bits"), F.col("__p.key").alias("__k"))
-    h = d.withColumn("__h", net.halves(F.col("__k")))
+    h = d.withColumn("__h", fenced(net.halves(F.col("__k"))))
     return h.select("*", F.col("__h.hi").alias("net_hi"), F.col("__h.lo").alias("net_lo")).drop("__p", "__k", "__h")
 
 
@@ -40,8 +40,8 @@ def containing_prefixes(addrs: DataFrame, addr_col: str, rules: DataFrame) -> Da
     pairs has at most 33 + 129 rows whatever the rules are, so it is broadcast.
     """
     points = (addrs.select(F.col(addr_col)).where(F.col(addr_col).isNotNull()).distinct()
-              .withColumn("__k", net.ip_key(F.col(addr_col))).where(F.col("__k").isNotNull())
-              .withColumn("family", net.family(F.col("__k"))).withColumn("__h", net.halves(F.col("__k"))))
+              .withColumn("__k", fenced(net.ip_key(F.col(addr_col)))).where(F.col("__k").isNotNull())
+              .withColumn("family", net.family(F.col("__k"))).withColumn("__h", fenced(net.halves(F.col("__k")))))
     points = points.select(addr_col, "family", F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
     lengths = F.broadcast(rules.select("family", "bits").distinct())
     probes = masked(points.join(lengths, "family"), "__hi", "__lo").drop("__hi", "__lo")
@@ -164,7 +164,7 @@ def fcrdns(ptr: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     pointers = ptr.select("addr", F.regexp_replace(F.lower(trim_ws("name")), "\\.$", "").alias("name")).distinct()
     forward = (answers.where(F.upper("type").isin("A", "AAAA"))
                .select(F.regexp_replace(F.lower(trim_ws("name")), "\\.$", "").alias("name"),
-                       net.key_text(net.ip_key(trim_ws("data"))).alias("fwd"))
+                       fenced(let(net.ip_key(trim_ws("data")), net.key_text)).alias("fwd"))
                .where(F.col("fwd").isNotNull()).distinct())
     confirmed = pointers.join(forward.withColumnRenamed("fwd", "addr").withColumn("__hit", F.lit(True)),
                               ["name", "addr"], "left")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sightline.functions.bind import trim_ws, whole_number
+from sightline.functions.bind import fenced, trim_ws, whole_number
 
 
 def parse_cdx(df: DataFrame, col: str = "raw") -> DataFrame:
     """(original, stamp, status) per capture; a document without ``original`` gives no rows."""
     keep = [c for c in df.columns if c != col]
-    t = df.select(*keep, F.from_json(F.col(col), "array<array<string>>").alias("t"))
+    t = df.select(*keep, fenced(F.from_json(F.col(col), "array<array<string>>")).alias("t"))
     t = t.withColumn("h", F.transform(F.get("t", F.lit(0)), lambda c: F.lower(trim_ws(c))))
 
     def at(name: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sightline.functions.bind import trim_ws
+from sightline.functions.bind import fenced, trim_ws
 from sightline.functions import names
 
 A_ROW = ("issuer_ca_id LONG, issuer_name STRING, issuer_org STRING, common_name STRING, name_value STRING, "
@@ -30,11 +30,11 @@ def parse_ct_a(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> Dat
     A body over the size limit is refused whole, never cut.
     """
     fit = df.where(F.octet_length(col) <= max_body)
-    rows = fit.withColumn("r", F.explode(F.from_json(F.col(col), f"array<struct<{_struct(A_ROW)}>>")))
+    rows = fit.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(A_ROW)}>>"))).withColumn("r", F.explode("__a"))
     listed = _split_names(F.coalesce("r.name_value", F.lit("")))
     both = F.when(F.size(listed) > 0, listed).otherwise(_split_names(F.coalesce("r.common_name", F.lit(""))))
     keep = [c for c in df.columns if c != col]
-    return (rows.select(*keep, F.lit("index-a").alias("provider"), both.alias("names"),
+    return (rows.select(*keep, F.lit("index-a").alias("provider"), fenced(both).alias("names"),
                         trim_ws(F.coalesce("r.issuer_name", F.lit(""))).alias("issuer_dn"),
                         names.issuer_label(F.coalesce("r.issuer_org", F.lit("")), F.coalesce("r.issuer_name", F.lit(""))).alias("issuer_org"),
                         F.lit("").alias("cert_sha256"), names.serial(F.coalesce("r.serial_number", F.lit(""))).alias("serial"),
@@ -46,11 +46,11 @@ def parse_ct_a(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> Dat
 def parse_ct_b(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> DataFrame:
     """One row per issuance: names as an array or as one text, real digest, revoked flag."""
     fit = df.where(F.octet_length(col) <= max_body)
-    rows = fit.withColumn("r", F.explode(F.from_json(F.col(col), f"array<struct<{_struct(B_ROW)}>>")))
+    rows = fit.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(B_ROW)}>>"))).withColumn("r", F.explode("__a"))
     as_array = F.array_join(F.from_json("r.dns_names", "array<string>"), "\n")
     listed = _split_names(F.coalesce(as_array, F.col("r.dns_names"), F.lit("")))
     keep = [c for c in df.columns if c != col]
-    return (rows.select(*keep, F.lit("index-b").alias("provider"), listed.alias("names"),
+    return (rows.select(*keep, F.lit("index-b").alias("provider"), fenced(listed).alias("names"),
                         trim_ws(F.coalesce("r.issuer.name", F.lit(""))).alias("issuer_dn"),
                         names.issuer_label(F.coalesce("r.issuer.friendly_name", F.lit("")),
                                            F.coalesce("r.issuer.name", F.lit(""))).alias("issuer_org"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline import fixed
-from sightline.functions.bind import let, trim_ws
+from sightline.functions.bind import fenced, let, trim_ws
 from sightline.functions.net import V4_LOOSE
 from sightline.operators.skew import attach
 
@@ -56,13 +56,13 @@ def extract_host_cells(pages: DataFrame, key: str = "page_id", col: str = "html"
     """(key, host, addr from table cells; rejected pages with the reason)."""
     low = F.lower(F.col(col))
     kind = F.when(low.contains("<td"), "table").when(_has(low, fixed.INTERSTITIAL_MARKERS), "interstitial").otherwise("no_table")
-    p = pages.select(key, F.col(col).alias("__h"), kind.alias("__kind"))
+    p = pages.select(key, F.col(col).alias("__h"), fenced(kind).alias("__kind"))
     cells = p.where("__kind = 'table'").select(key, F.explode(
         F.regexp_extract_all("__h", F.lit("(?is)<td[^>]*>(.*?)</td>"), 1)).alias("cell"))
 
     def text(c: Column) -> Column:
         return trim_ws(_unescape(F.regexp_replace(c, "(?s)<[^>]*>", " ")))
-    cells = cells.withColumn("host", text(F.col("cell"))) \
+    cells = cells.withColumn("host", fenced(text(F.col("cell")))) \
                  .withColumn("link", text(F.regexp_extract("cell", "(?is)<a[^>]*>(.*?)</a>", 1)))
     h = F.col("host")
     hosts = (cells.where(h.contains(".") & ~h.contains(" ") & ~h.contains("/") & ~h.rlike(V4_LOOSE))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sightline.functions.bind import fenced
 from sightline.functions.names import parse_registry_date
 
 AUDIT_JSON = "seq BIGINT, at STRING, actor STRING, action STRING, detail STRING, prev_hash STRING, hash STRING"
@@ -15,7 +16,7 @@ def parse_audit(lines: DataFrame, pos: str = "pos", col: str = "line", lo: int =
     The cut is the smallest position that does not parse: one number from a map-side
     aggregate, joined back as a one-row table.
     """
-    parsed = lines.where(F.trim(col) != "").withColumn("r", F.from_json(F.col(col), AUDIT_JSON, {"mode": "PERMISSIVE"}))
+    parsed = lines.where(F.trim(col) != "").withColumn("r", fenced(F.from_json(F.col(col), AUDIT_JSON, {"mode": "PERMISSIVE"})))
     corrupt = F.col("r").isNull() | F.col("r.seq").isNull()
     first_bad = parsed.where(corrupt).agg(F.min(pos).alias("p")).first()["p"]
     good = parsed if first_bad is None else parsed.where(F.col(pos) < first_bad)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, net
-from sightline.functions.bind import decimal_number, let, trim_ws, whole_number
+from sightline.functions.bind import decimal_number, fenced, let, trim_ws, whole_number
 
 GEO_A = ("success BOOLEAN, country_code STRING, region STRING, city STRING, latitude DOUBLE, longitude DOUBLE, "
          "connection STRUCT<asn: STRING, org: STRING, isp: STRING>")
@@ -62,7 +62,7 @@ def normalise_geo(df: DataFrame, provider_col: str = "provider", col: str = "raw
            .when((F.col("__s") == "c") & (_t("c.ipAddress") != ""), claim(
                 F.upper(_t("c.countryCode")), _t("c.regionName"), _t("c.cityName"), _t("c.asnOrganization"),
                 as_number(_t("c.asn")), pair("c.latitude", "c.longitude"), none)))
-    return d.select(*keep, row.alias("__r")).where(F.col("__r").isNotNull()).select(*keep, "__r.*")
+    return d.select(*keep, fenced(row).alias("__r")).where(F.col("__r").isNotNull()).select(*keep, "__r.*")
 
 
 def parse_origin_txt(df: DataFrame, col: str = "txt") -> DataFrame:
@@ -79,9 +79,9 @@ def parse_origin_txt(df: DataFrame, col: str = "txt") -> DataFrame:
 def parse_as_overview(df: DataFrame, col: str = "raw") -> DataFrame:
     """Holder, block and announced flag; error answers and blank holders are dropped."""
     keep = [c for c in df.columns if c != col]
-    r = df.select(*keep, F.from_json(F.col(col), (
+    r = df.select(*keep, fenced(F.from_json(F.col(col), (
         "status STRING, status_code INT, data STRUCT<resource: STRING, holder: STRING, announced: BOOLEAN, "
-        "block: STRUCT<resource: STRING, `desc`: STRING, name: STRING>>")).alias("r"))
+        "block: STRUCT<resource: STRING, `desc`: STRING, name: STRING>>"))).alias("r"))
     status, code = F.coalesce("r.status", F.lit("")), F.coalesce("r.status_code", F.lit(0))
     ok = status.isin("ok", "success", "") & code.isin(0, 200)
     return (r.where(ok & (_t("r.data.holder") != ""))
@@ -111,8 +111,8 @@ def normalise_dns(df: DataFrame, col: str = "raw", question_type: str = "rrtype"
     answer keeps one row with NULL data; unparsable addresses are dropped.
     """
     keep = [c for c in df.columns if c != col]
-    r = df.select(*keep, F.from_json(F.col(col), (
-        "Status INT, Answer ARRAY<STRUCT<name: STRING, type: INT, TTL: INT, data: STRING>>")).alias("r"))
+    r = df.select(*keep, fenced(F.from_json(F.col(col), (
+        "Status INT, Answer ARRAY<STRUCT<name: STRING, type: INT, TTL: INT, data: STRING>>"))).alias("r"))
     a = r.select(*keep, F.coalesce("r.Status", F.lit(0)).alias("status"), F.explode_outer("r.Answer").alias("a"))
     known = F.create_map(*[F.lit(x) for kv in fixed.RR_TYPES.items() for x in kv])
     a = a.withColumn("type", F.coalesce(known[F.col("a.type")], F.upper(F.col(question_type))))
@@ -126,6 +126,6 @@ def normalise_dns(df: DataFrame, col: str = "raw", question_type: str = "rrtype"
                   F.regexp_replace(trim_ws(d), "^\\S+\\s+(\\S+)\\s+(\\S+)$", "$1;$2")).otherwise(d))
     pref = F.when(t.isin("MX", "SRV") & two, F.coalesce(whole_number(F.regexp_extract(trim_ws(d), "^(\\d+)", 1), "int"), F.lit(0))).otherwise(0)
     out = a.select(*keep, "status", F.when(F.col("a").isNotNull(), strip(F.col("a.name"))).alias("name"), "type",
-                   F.when(F.col("a.TTL") > 0, F.col("a.TTL")).otherwise(0).alias("ttl"), pref.alias("pref"), data.alias("data"),
+                   F.when(F.col("a.TTL") > 0, F.col("a.TTL")).otherwise(0).alias("ttl"), pref.alias("pref"), fenced(data).alias("data"),
                    F.col("a").isNotNull().alias("answered"))
     return out.where(~F.col("answered") | F.col("data").isNotNull()).drop("answered")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import names, net
-from sightline.functions.bind import let, trim_ws, whole_number
+from sightline.functions.bind import fenced, let, trim_ws, whole_number
 
 
 def normal_key(k: Column) -> Column:
@@ -30,7 +30,7 @@ def key_values(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         word = F.when(F.length(F.regexp_extract(line, "^(\\S+)", 1)) <= 48, cut("^(\\S+)\\s+(.*)$"))
         return F.coalesce(cut("^([^:]+):(.*)$"), cut("^([^\\t]+)\\t(.*)$"), word)
 
-    kv = lines.withColumn("kv", let(F.col("line"), pick)).where(F.col("kv").isNotNull())
+    kv = lines.withColumn("kv", fenced(let(F.col("line"), pick))).where(F.col("kv").isNotNull())
     return kv.select(id_col, "line_no", F.col("kv.key").alias("key"), F.col("kv.value").alias("value")) \
              .where(F.octet_length("key") <= 48)
 
@@ -54,7 +54,7 @@ def parse_registration_text(df: DataFrame, id_col: str = "response_id", text_col
     rows of a response meet again in one aggregate of first values and distinct sets.
     """
     kv = key_values(df, id_col, text_col).withColumn("nkey", normal_key(F.col("key")))
-    kv = kv.withColumn("concept", _concept(F.col("nkey"))).where(F.col("concept").isNotNull())
+    kv = kv.withColumn("concept", fenced(_concept(F.col("nkey")))).where(F.col("concept").isNotNull())
     v = F.col("value")
     c = F.col("concept")
     hidden = names.withheld(v)
@@ -196,7 +196,7 @@ def _event(action: str) -> Column:
 def parse_rdap(df: DataFrame, col: str = "raw") -> DataFrame:
     """Registry object JSON to registration columns; documents naming no object are dropped."""
     keep = [c for c in df.columns if c != col]
-    r = df.select(*keep, F.from_json(F.col(col), RDAP).alias("r"))
+    r = df.select(*keep, fenced(F.from_json(F.col(col), RDAP)).alias("r"))
     named = F.coalesce("r.objectClassName", "r.handle", "r.ldhName", F.lit("")) != ""
     r = r.where(named | (F.coalesce("r.startAutnum", F.lit(0)) != 0))
     ent = F.coalesce(F.col("r.entities"), F.from_json(F.lit("[]"), f"array<{_ENTITY}>"))
@@ -229,8 +229,8 @@ def read_bootstrap(df: DataFrame, kind: str, col: str = "raw") -> DataFrame:
 
     ``kind``: dns, ipv4, ipv6 or asn. Columns: key, url, host, ord; plus prefix or lo/hi.
     """
-    doc = F.from_json(F.col(col), "services ARRAY<ARRAY<ARRAY<STRING>>>")
-    svc = df.select(F.posexplode(doc["services"]).alias("ord", "e")).where(F.size("e") >= 2)
+    doc = fenced(F.from_json(F.col(col), "services ARRAY<ARRAY<ARRAY<STRING>>>"))
+    svc = df.select(doc.alias("d")).select(F.posexplode("d.services").alias("ord", "e")).where(F.size("e") >= 2)
     clean = lambda xs: F.filter(F.transform(xs, lambda x: trim_ws(x)), lambda x: x != "")
     svc = svc.select("ord", clean(F.col("e")[0]).alias("keys"), clean(F.col("e")[1]).alias("urls"))
     host = lambda u: F.regexp_replace(F.regexp_replace(F.lower(u), "^.*?://", ""), "[/?#].*$", "")

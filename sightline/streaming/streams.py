@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightline import fixed
 from sightline.functions import keys
 from sightline.functions.grades import host_unhealthy
+from sightline.operators.integrity import chain_heads, evidence_hash
 from sightline.operators.score import ScoreConfig, confidence
+from sightline.operators.skew import attach, bucketed_lag
 from sightline.sources import sinks
 
 # executors need no copy of the package: state functions travel by value
-import sys
-
-from pyspark import cloudpickle
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -64,8 +64,9 @@ def breaker_stream(sdf: DataFrame, threshold: int = 5, window_s: int = 60, coold
                    delay: str = "5 minutes") -> DataFrame:
     """closed, open, half-open per host, as transitions.
 
-    Rows of a host arrive in batches and are replayed in time order; the state is five
-    numbers. A request during an open period after the cool-down is the half-open probe.
+    Rows of a host are replayed in time order inside a trigger; the state is four values.
+    Bound the trigger (maxFilesPerTrigger) so that one host's share of it fits a worker.
+    A request during an open period after the cool-down is the half-open probe.
     """
     cols = "host string, ts timestamp, state string, failures long"
 
@@ -112,25 +113,28 @@ def budget_stream(sdf: DataFrame, budgets: dict[str, float]) -> DataFrame:
     return run.withColumn("exceeded", over)
 
 
-def chain_stream(sdf: DataFrame) -> DataFrame:
-    """Breaks in a chain whose records arrive over time; the head per case is carried in state.
+def chain_stream(sdf: DataFrame, directory: str, checkpoint: str):
+    """Verify custody records as they arrive; the head per case is carried between batches.
 
-    ``sdf``: case_id, pos, prev_hash, record_hash, expected_hash (recomputed on the JVM side),
-    positions ascending across batches.
+    Batch n reads the heads batch n-1 left, checks its own records with the two-level
+    lag, and writes breaks/batch=n and heads/batch=n. A replayed batch rewrites the same
+    two folders, so a restart neither loses nor repeats a break.
     """
-    def walk(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (head,) = state.get if state.exists else (fixed_genesis,)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("pos")
-        expected = rows["record_hash"].shift(1).fillna(head)
-        link, content = rows["prev_hash"] != expected, rows["record_hash"] != rows["expected_hash"]
-        bad = rows[link | content]
-        state.update((str(rows["record_hash"].iloc[-1]),))
-        yield pd.DataFrame({"case_id": key[0], "pos": bad["pos"],
-                            "problem": ["link" if x else "content" for x in link[bad.index]]})
-
-    fixed_genesis = fixed.GENESIS_HASH
-    return sdf.groupBy("case_id").applyInPandasWithState(
-        walk, "case_id string, pos long, problem string", "head string", "append", GroupStateTimeout.NoTimeout)
+    def verify(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], "case_id string, head string")
+        heads = empty if n == 0 else spark.read.schema("case_id string, head string").parquet(f"{directory}/heads/batch={n - 1}")
+        rows = bucketed_lag(batch, ["case_id"], ["captured_at", "id"], {"prior": "record_hash"},
+                            {"prior": F.lit(None).cast("string")})
+        rows = attach(rows, heads, "case_id")
+        expected = F.coalesce("prior", "head", F.lit(fixed.GENESIS_HASH))
+        problem = F.when(F.col("prev_hash") != expected, "link").when(F.col("record_hash") != evidence_hash(), "content")
+        rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("case_id", "id", "problem") \
+            .write.mode("overwrite").parquet(f"{directory}/breaks/batch={n}")
+        latest = chain_heads(batch).select("case_id", "head")
+        kept = heads.join(latest.select("case_id"), "case_id", "left_anti")
+        latest.unionByName(kept).write.mode("overwrite").parquet(f"{directory}/heads/batch={n}")
+    return sdf.writeStream.foreachBatch(verify).option("checkpointLocation", checkpoint)
 
 
 def session_stream(sdf: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:

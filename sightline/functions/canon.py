@@ -103,7 +103,9 @@ def _first_address(v: Column) -> Column:
 def ip(v: Column, aids: Aids | None = None) -> Column:
     if aids is not None:
         return aids.ip
-    return F.when(net.is_v4(v), v).when(v.rlike("[:%\\[]"), _first_address(v))
+    # plain and ported dotted quads are settled by patterns alone
+    return (F.when(net.is_v4(v), v).when(v.rlike(net.V4[:-1] + ":[0-9]+$"), F.substring_index(v, ":", 1))
+            .when(v.rlike("[:%\\[]"), _first_address(v)))
 
 
 def _valid_host(host: Column) -> Column:
@@ -125,9 +127,21 @@ def domain(v: Column, aids: Aids | None = None) -> Column:
     return let(host, lambda h: let(ip(h), lambda a: host_name(F.when(~h.rlike(NON_ASCII), F.lower(h)), a)))
 
 
+_V4_CIDR = net.V4[:-1] + "/(3[0-2]|[12]?[0-9])$"
+
+
+def _v4_cidr(v: Column) -> Column:
+    bits = F.substring_index(v, "/", -1).cast("int")
+    number = F.conv(net.v4_key(F.substring_index(v, "/", 1)), 16, 10).cast("long").bitwiseAND(
+        F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(32) - bits))
+    quad = [F.shiftright(number, 8 * i).bitwiseAND(255).cast("string") for i in (3, 2, 1, 0)]
+    return F.concat(F.concat_ws(".", *quad), F.lit("/"), bits.cast("string"))
+
+
 def cidr(v: Column, aids: Aids | None = None) -> Column:
-    return F.when(v.contains("/"), let(net.prefix_struct(v), lambda p: F.when(
-        p.isNotNull(), F.concat(net.key_text(p["key"]), F.lit("/"), p["bits"].cast("string")))))
+    any_family = let(net.prefix_struct(v), lambda p: F.when(
+        p.isNotNull(), F.concat(net.key_text(p["key"]), F.lit("/"), p["bits"].cast("string"))))
+    return F.when(v.rlike(_V4_CIDR), _v4_cidr(v)).when(v.contains("/") & v.contains(":"), any_family)
 
 
 def widen_to_cidr(v: Column) -> Column:

@@ -33,31 +33,37 @@ def with_prefix(rules: DataFrame, col: str) -> DataFrame:
     return h.select("*", F.col("__h.hi").alias("net_hi"), F.col("__h.lo").alias("net_lo")).drop("__p", "__k", "__h")
 
 
-def containing_prefixes(addrs: DataFrame, addr_col: str, rules: DataFrame) -> DataFrame:
-    """Every (distinct address, rule) pair where the rule's prefix contains the address.
-
-    ``rules`` comes from :func:`with_prefix`. The table of occurring (family, bits)
-    pairs has at most 33 + 129 rows whatever the rules are, so it is broadcast.
+def best_prefix(addrs: DataFrame, addr_col: str, rules: DataFrame, carried: list[str],
+                urgent: Column | None = None) -> DataFrame:
+    """The winning rule per distinct address: urgent rules first, then the longest prefix.
+
+    ``rules`` comes from :func:`with_prefix`. An address is probed once per prefix length
+    that occurs (at most 33 + 129, so that table is broadcast), the matches are reduced to
+    one integer rank per address by a hash aggregate, and only the winner's columns are
+    joined back. Addresses no rule contains are absent.
     """
-    points = (addrs.select(F.col(addr_col)).where(F.col(addr_col).isNotNull()).distinct()
-              .withColumn("__k", fenced(net.ip_key(F.col(addr_col)))).where(F.col("__k").isNotNull())
-              .withColumn("family", net.family(F.col("__k"))).withColumn("__h", fenced(net.halves(F.col("__k")))))
-    points = points.select(addr_col, "family", F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
+    urgent = F.lit(0) if urgent is None else urgent.cast("int")
+    ranked = rules.withColumn("__u", urgent).groupBy(*NET, "__u").agg(
+        F.min(F.struct(*[c for c in carried if c not in NET])).alias("__r"))
+    keyed = (addrs.select(F.col(addr_col)).where(F.col(addr_col).isNotNull()).distinct()
+             .withColumn("__k", fenced(net.ip_key(F.col(addr_col)))).where(F.col("__k").isNotNull())
+             .withColumn("family", net.family(F.col("__k"))).withColumn("__h", fenced(net.halves(F.col("__k")))))
+    points = keyed.select(addr_col, "family", F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
     lengths = F.broadcast(rules.select("family", "bits").distinct())
-    probes = masked(points.join(lengths, "family"), "__hi", "__lo").drop("__hi", "__lo")
-    return probes.join(rules, NET)
+    probes = masked(points.join(lengths, "family"), "__hi", "__lo")
+    rank = probes.join(ranked.drop("__r"), NET).groupBy(addr_col, "family", "__hi", "__lo").agg(
+        F.max(F.col("__u") * 1000 + F.col("bits")).alias("__rank"))
+    won = rank.withColumn("bits", fenced(F.col("__rank") % 1000)).withColumn("__u", fenced(F.floor(F.col("__rank") / 1000).cast("int")))
+    out = masked(won, "__hi", "__lo").join(ranked, [*NET, "__u"])
+    return out.select(addr_col, "bits", *[F.col("__r")[c].alias(c) for c in carried if c not in NET])
 
 
 def longest_prefix(addrs: DataFrame, prefixes: DataFrame, addr_col: str = "addr",
                    prefix_col: str = "prefix") -> DataFrame:
     """Each address row with the most specific prefix row that contains it (or NULLs)."""
-    rules = with_prefix(prefixes, prefix_col)
-    carried = [c for c in prefixes.columns]
-    best = (containing_prefixes(addrs, addr_col, rules)
-            .groupBy(addr_col)
-            .agg(F.max_by(F.struct(*carried), F.struct(F.col("bits"), F.col(prefix_col))).alias("__r")))
-    out = attach(addrs, best, addr_col)
-    return out.select(*addrs.columns, *[F.col("__r")[c].alias(c) for c in carried])
+    carried = prefixes.columns
+    best = best_prefix(addrs, addr_col, with_prefix(prefixes, prefix_col), carried).drop("bits")
+    return attach(addrs, best, addr_col).select(*addrs.columns, *carried)
 
 
 def _level(lo: Column, hi: Column) -> Column:
@@ -138,8 +144,7 @@ def classify_address(df: DataFrame, col: str = "addr",
     """Most specific special-purpose class of an address, ``public`` where none holds."""
     spark = df.sparkSession
     rules = with_prefix(spark.createDataFrame(classes, "cidr string, address_class string"), "cidr")
-    best = (containing_prefixes(df, col, rules).groupBy(col)
-            .agg(F.max_by("address_class", "bits").alias("address_class"), F.max_by("cidr", "bits").alias("matched")))
+    best = best_prefix(df, col, rules, ["address_class", "cidr"]).select(col, "address_class", F.col("cidr").alias("matched"))
     out = attach(df, best, col)
     valid = net.ip_key(F.col(col)).isNotNull()
     return out.withColumn("address_class", F.when(valid, F.coalesce(F.col("address_class"), F.lit("public")))

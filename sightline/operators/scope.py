@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.bind import let, trim_ws
 from sightline.functions.grades import mode_rank
-from sightline.operators.netjoin import NET, containing_prefixes, masked, suffix_pairs, with_prefix
+from sightline.operators.netjoin import NET, best_prefix, masked, suffix_pairs, with_prefix
 from sightline.operators.skew import attach
 
 NO_RULE = "no-allow-rule"
@@ -58,12 +58,10 @@ def scope_domains(df: DataFrame, rules: DataFrame, deny_regex: Sequence[str] = (
 
 def scope_ips(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:
     """``rules``: (action, pattern cidr). Containment in a deny prefix wins; then the most specific allow."""
-    r = with_prefix(rules, "pattern")
-    pairs = containing_prefixes(df, col, r).withColumn("allow", F.col("action") == "allow")
-    best = pairs.groupBy(col).agg(F.min_by(
-        F.struct("allow", F.when(F.col("allow"), "allow.cidrs").otherwise("deny.cidrs").alias("rule"), "pattern"),
-        F.struct("allow", -F.col("bits"))).alias("__w"))
-    return _decide(df, best, col)
+    r = with_prefix(rules, "pattern").withColumn("allow", F.col("action") == "allow")
+    best = best_prefix(df, col, r, ["allow", "pattern"], ~F.col("allow"))
+    named = best.select(col, F.struct("allow", F.when(F.col("allow"), "allow.cidrs").otherwise("deny.cidrs").alias("rule"), "pattern").alias("__w"))
+    return _decide(df, named, col)
 
 
 def scope_cidrs(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:

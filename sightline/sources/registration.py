@@ -67,7 +67,7 @@ def parse_registration_text(df: DataFrame, id_col: str = "response_id", text_col
     open_ = ~hidden
     first = lambda cond, val: F.min(F.when(cond, F.struct(F.col("line_no"), val.alias("v"))))["v"]
     blank = lambda x: x != ""
-    cleaned = _clean(v)
+    cleaned = F.when(c.isin("registrar", "registrar_host", "domain_name"), _clean(v))
     agg = kv.withColumn("red", red).withColumn("hosts", F.when((c == "name_server") & open_, hosts)) \
             .withColumn("clean", cleaned).groupBy(id_col).agg(
         first((c == "registrar") & open_ & blank(F.col("clean")), F.col("clean")).alias("registrar"),

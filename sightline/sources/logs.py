@@ -13,13 +13,16 @@ AUDIT_JSON = "seq BIGINT, at STRING, actor STRING, action STRING, detail STRING,
 def parse_audit(lines: DataFrame, pos: str = "pos", col: str = "line", lo: int = 0, hi: int = 0) -> DataFrame:
     """Entries before the first corrupt line, with lo <= seq (and seq <= hi when set).
 
-    The cut is the smallest position that does not parse: one number from a map-side
-    aggregate, joined back as a one-row table.
+    The cut is the smallest position that does not parse: one value from a map-side aggregate.
     """
     parsed = lines.where(F.trim(col) != "").withColumn("r", fenced(F.from_json(F.col(col), AUDIT_JSON, {"mode": "PERMISSIVE"})))
     corrupt = F.col("r").isNull() | F.col("r.seq").isNull()
     first_bad = parsed.where(corrupt).agg(F.min(pos).alias("p")).first()["p"]
-    good = parsed if first_bad is None else parsed.where(F.col(pos) < first_bad)
+    if first_bad is None:
+        good = parsed
+    else:
+        cut = F.struct(*[F.lit(v).alias(k) for k, v in first_bad.asDict().items()]) if hasattr(first_bad, "asDict") else F.lit(first_bad)
+        good = parsed.where(F.col(pos) < cut)
     out = good.select(pos, F.col("r.seq").alias("seq"), parse_registry_date(F.col("r.at")).alias("at"),
                       F.col("r.at").alias("at_raw"), F.col("r.actor").alias("actor"), F.col("r.action").alias("action"),
                       F.coalesce("r.detail", F.lit("{}")).alias("detail_json"), F.col("r.prev_hash").alias("prev_hash"),

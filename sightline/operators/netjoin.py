@@ -40,11 +40,11 @@ def best_prefix(addrs: DataFrame, addr_col: str, rules: DataFrame, carried: list
     ``rules`` comes from :func:`with_prefix`. An address is probed once per prefix length
     that occurs (at most 33 + 129, so that table is broadcast), the matches are reduced to
     one integer rank per address by a hash aggregate, and only the winner's columns are
-    joined back. Addresses no rule contains are absent.
+    joined back. Of equal rules the largest row wins. Addresses no rule contains are absent.
     """
     urgent = F.lit(0) if urgent is None else urgent.cast("int")
     ranked = rules.withColumn("__u", urgent).groupBy(*NET, "__u").agg(
-        F.min(F.struct(*[c for c in carried if c not in NET])).alias("__r"))
+        F.max(F.struct(*[c for c in carried if c not in NET])).alias("__r"))
     keyed = (addrs.select(F.col(addr_col)).where(F.col(addr_col).isNotNull()).distinct()
              .withColumn("__k", fenced(net.ip_key(F.col(addr_col)))).where(F.col("__k").isNotNull())
              .withColumn("family", net.family(F.col("__k"))).withColumn("__h", fenced(net.halves(F.col("__k")))))

@@ -46,3 +46,113 @@ SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines
 def op1_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     from sightline.llm.line_frequency import line_rules
     return line_rules(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- 3: licences
+def _license_sql() -> str:
+    from sightline.llm.fixed import LICENSE_TEMPLATES
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSE_TEMPLATES.items())
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all({_FOLD}, '{pattern}')"
+    big = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    return rf"""
+WITH t(license, text) AS (VALUES {values}),
+tw AS (SELECT license, {words.format('text')} AS w FROM t),
+tb AS (SELECT license, b, count(*) AS n FROM (SELECT license, unnest({big}) AS b FROM tw) GROUP BY ALL),
+ts AS (SELECT license, len(w) - 1 AS size FROM tw),
+d AS (SELECT doc_id, {words.format('text')} AS w, string_split(text, chr(10)) AS ls FROM documents),
+db AS (SELECT doc_id, unnest({big}) AS b, unnest(range(1, len(w))) AS pos FROM d),
+dt AS (SELECT db.*, tb.license, tb.n FROM db JOIN tb USING (b)),
+l AS (SELECT doc_id, k, len(w) AS n FROM (SELECT doc_id, k, {words.format('line')} AS w
+      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS k FROM d)) WHERE len(w) > 0),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM l),
+runs AS (SELECT a.doc_id, a.k AS first_line, b.r - a.r + 1 AS n_lines, a.upto - a.n + 1 AS s, b.upto AS e
+         FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.r >= a.r AND b.upto - a.upto + a.n - 1 <= (SELECT max(size) * 1.5 FROM ts)),
+hit AS (SELECT doc_id, first_line, n_lines, e - s AS size, license, b, least(count(*), n) AS m
+        FROM runs JOIN dt USING (doc_id) WHERE pos BETWEEN s AND e - 1
+        GROUP BY doc_id, first_line, n_lines, s, e, license, b, n),
+dice AS (SELECT doc_id, first_line, n_lines, license, 2.0::DOUBLE * sum(m)::DOUBLE / (hit.size + ts.size)::DOUBLE AS dice
+         FROM hit JOIN ts USING (license) GROUP BY doc_id, first_line, n_lines, license, hit.size, ts.size),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, first_line, n_lines) AS r FROM dice WHERE dice >= 0.8)
+SELECT doc_id, license, dice, first_line, n_lines FROM best WHERE r = 1
+"""
+
+
+@query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.license_scan import license_scan
+    return license_scan(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- 9: sharding
+def _feistel_sql() -> str:
+    from sightline.llm.feistel import ROUNDS, SEED
+
+    def rounds(x: str) -> str:
+        lines = [f"SELECT *, {x} % a AS l0, {x} // a AS r0 FROM src"]
+        for j in range(ROUNDS):
+            side, other, m = ("l", "r", "a") if j % 2 == 0 else ("r", "l", "b")
+            h = f"('0x' || substr(md5('{SEED}:{j}:' || {other}{j}::VARCHAR), 1, 13))::BIGINT"
+            lines.append(f"SELECT *, ({side}{j} + {h}) % {m} AS {side}{j + 1}, {other}{j} AS {other}{j + 1} FROM ({lines[-1]})")
+        return lines[-1]
+
+    walks = "numbered"
+    body = ""
+    for k in range(4):
+        src = f"SELECT doc_id, size, text_crc32, n, a, b, row_number, x AS x{k} FROM {walks}" if k == 0 else ""
+        body += f", w{k} AS (SELECT doc_id, size, text_crc32, n, a, b, row_number, "
+        inner = rounds("x").replace("FROM src", f"FROM {walks}")
+        body += f"CASE WHEN done THEN x ELSE r{ROUNDS} * a + l{ROUNDS} END AS x, done OR r{ROUNDS} * a + l{ROUNDS} < n AS done FROM ({inner}))"
+        walks = f"w{k}"
+    table_sql = "(SELECT list(c ORDER BY i) FROM crc WHERE k = 8)"
+    return rf"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+     SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+bytes AS (SELECT doc_id, strlen(text) AS size, hex(encode(text)) AS h FROM documents),
+d AS (SELECT doc_id, coalesce(size, 0) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(0, size), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, (SELECT {table_sql} AS tab)),
+numbered AS (SELECT *, n // a + CASE WHEN n % a > 0 THEN 1 ELSE 0 END AS b, row_number AS x, false AS done
+     FROM (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS row_number,
+                  count(*) OVER () AS n, ceil(sqrt(count(*) OVER ()))::BIGINT AS a FROM d))
+{body}
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (x % 16)::INTEGER AS shard, (x // 16)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard FROM {walks}
+"""
+
+
+@query("op9_feistel_shards", _feistel_sql())
+def op9_feistel_shards(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.feistel import describe, feistel_shards
+    out = feistel_shards(describe(table(spark, sf, "documents")), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---------------------------------------------------------------- 10: quality classifier
+def fold(mod: int):
+    """crc32 of the id's decimal text, modulo ``mod``; a null id is in no fold."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % mod
+
+
+@query("op10_factorization_quality")
+def op10_factorization_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.factorization import score_quality, train_quality
+    docs = table(spark, sf, "documents")
+    machine = train_quality(docs, table(spark, sf, "labels"), fold(5) != 0)
+    scored = score_quality(docs, machine)
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------- 5: packing
+@query("op5_bounded_packing")
+def op5_bounded_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    from sightline.llm.packing import pack
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# ---------------------------------------------------------------- 7: benchmark decontamination
+@query("op7_benchmark_leaks")
+def op7_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.decontaminate import find_leaks
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -67,13 +67,13 @@ class Piece:
     where words begin and end. ``first``: first word of each text and their number. ``owner``: text of each word.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, rows: slice, lower: bool):
+    def __init__(self, data: np.ndarray, off: np.ndarray, rows: slice, lower: bool, separator: np.ndarray = SEPARATOR):
         self.rows, self.off, self.n = rows, off - off[0], len(off) - 1
         self.raw = np.zeros(len(data) + 8, np.uint8)
         self.raw[:len(data)] = data
         self.buf = LOWER[self.raw] if lower else self.raw
         self.size = len(data)
-        ink = ~SEPARATOR[self.raw[:self.size]]
+        ink = ~separator[self.raw[:self.size]]
         self.ink = ink
         begins, ends = ink.copy(), np.zeros(self.size + 1, bool)
         begins[1:] &= ~ink[:-1]
@@ -102,8 +102,9 @@ class Piece:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
-def pieces(texts: pa.Array | pa.ChunkedArray, lower: bool = True, piece_bytes: int = PIECE_BYTES) -> Iterator[Piece]:
-    """Walk a column of texts; a null counts as an empty text."""
+def pieces(texts: pa.Array | pa.ChunkedArray, lower: bool = True, piece_bytes: int = PIECE_BYTES,
+           separator: np.ndarray = SEPARATOR) -> Iterator[Piece]:
+    """Walk a column of texts; a null counts as an empty text. ``separator``: which bytes (ASCII only) part words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -115,7 +116,7 @@ def pieces(texts: pa.Array | pa.ChunkedArray, lower: bool = True, piece_bytes: i
     i = 0
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + piece_bytes, "right")) - 1))
-        yield Piece(data[off[i]:off[j]], off[i:j + 1], slice(i, j), lower)
+        yield Piece(data[off[i]:off[j]], off[i:j + 1], slice(i, j), lower, separator)
         i = j
 
 

@@ -156,3 +156,37 @@ def op5_bounded_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op7_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     from sightline.llm.decontaminate import find_leaks
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# ---------------------------------------------------------------- 4: SimHash
+@query("op4_simhash_variants")
+def op4_simhash_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.simhash import near_duplicates
+    out = near_duplicates(table(spark, sf, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- 6: language
+@query("op6_marginal_unigrams")
+def op6_marginal_unigrams(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    from sightline.llm.language_id import identify, train_languages
+    docs, vocab = table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    model = train_languages(docs, fold(5) != 0, vocab)
+    out = identify(docs, model, vocab)
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+# ---------------------------------------------------------------- 2: repeated passages
+@query("op2_compact_windows")
+def op2_compact_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.compact_windows import repeated_passages
+    return repeated_passages(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- 8: language model
+@query("op8_pitman_yor")
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.pitman_yor import score_texts
+    out = score_texts(table(spark, sf, "documents"), fold(7) != 2)
+    return out.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

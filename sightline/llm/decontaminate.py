@@ -168,3 +168,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
         return src.mapInArrow(run, RESULT)
 
     return reduce(DataFrame.unionByName, [searcher(b) for b in _item_blocks(want, block_words)])
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", item_id: str = "item_id",
+               item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found."""
+    want = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    out = docs
+    for block in _item_blocks(want, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, similarity)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for p in pieces(batch.column(text_col), separator=PARTING):
+                    for part in index.search(p.hashes(), p.first, p.owner):
+                        keep[part[0] + p.rows.start] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -157,9 +157,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(chars_col).cast("long").alias("n_chars"))
     feats = src.join(F.broadcast(chosen), "doc_id").select("rank", "y", "text", "n_chars").mapInArrow(_sample, SAMPLE)
     # a bounded sample: one task fits it
-    got = feats.repartition(1).mapInArrow(_fit_task, "bias double, w binary, v binary").first()
-    if got is None:
+    got = feats.repartition(1).mapInArrow(_fit_task, "bias double, w binary, v binary").collect()
+    if not got:
         return None
+    got = got[0]
     return Machine(got["bias"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(DIM, -1))
 
 

@@ -142,6 +142,15 @@ def stage(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """Write to a folder of its own under the shared checkpoint folder, and read from there."""
+    import uuid
+    folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def join_null_safe(left, right, keys: list[str], how: str = "left"):
     """Join on keys where a null equals a null; the right side's keys are dropped."""
     import pyspark.sql.functions as F

@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from functools import reduce
 
 from sightline.llm.license_scan import PARTING
 from sightline.llm.words import mix, pair, pieces
@@ -32,6 +32,7 @@ from sightline.llm.words import mix, pair, pieces
 SIMILARITY, MIN_ITEM, SAMPLED, AGREEMENT, RECALL = 0.8, 8, 3, 0.6, 0.99
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT ** SAMPLED))
 BLOCK_WORDS = 500_000
+PIECE_BYTES = 8 << 20
 PAD = np.uint64(0)
 RESULT = "doc_id long, item_id long, distance long, start_word long, n_words long"
 
@@ -40,32 +41,46 @@ def allowed(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def signatures(words: np.ndarray, start: np.ndarray, size: np.ndarray, n: int, repeat: int, seed: int) -> np.ndarray:
-    """Signature of each window ``words[start:start + size]``, walked for 3n steps; a walk past the end writes a pad."""
-    rng = np.random.default_rng((seed, repeat, n))
-    taken = np.sort(rng.choice(3 * n, SAMPLED, replace=False))
-    at = np.zeros(len(start), np.int64)
-    out = np.full(len(start), np.uint64(repeat + 1), np.uint64)
-    salt = mix(np.uint64(seed) + np.arange(3 * n, dtype=np.uint64) + np.uint64((repeat + 1) << 32))
-    for j in range(int(taken[-1]) + 1):
-        here = np.where(at < size, words[np.minimum(start + at, len(words) - 1)], PAD)
-        if j in taken:
-            out = pair(out, here)
-        at += (mix(here ^ salt[j]) >> np.uint64(63)).astype(np.int64)
+@lru_cache(maxsize=4096)
+def _draws(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each repeat the sampled steps, and the salt of every step."""
+    rng = np.random.default_rng((seed, n))
+    taken = np.stack([np.sort(rng.choice(3 * n, SAMPLED, replace=False)) for _ in range(REPEATS)])
+    return taken, rng.integers(1, 1 << 63, (3 * n, REPEATS), dtype=np.uint64)
+
+
+def signatures(words: np.ndarray, start: np.ndarray, size: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Signatures (repeats in rows) of the windows ``words[start:start + size]``, each walked for 3n steps; a walk past the end writes a pad."""
+    taken, salt = _draws(n, seed)
+    out = np.empty((REPEATS, len(start)), np.uint64)
+    for b in range(0, len(start), 2048):
+        grid = start[b:b + 2048, None] + np.arange(n + 1)
+        own = np.where(np.arange(n + 1) < size[b:b + 2048, None], words[np.minimum(grid, len(words) - 1)], PAD)
+        rows = np.arange(len(own))
+        at = np.zeros((REPEATS, len(own)), np.int64)
+        sig = np.repeat(np.arange(1, REPEATS + 1, dtype=np.uint64)[:, None], len(own), 1)
+        for j in range(int(taken.max()) + 1):
+            here = own[rows, at]
+            now = np.flatnonzero((taken == j).any(1))
+            if len(now):
+                sig[now] = pair(sig[now], here[now])
+            at = np.minimum(at + (mix(here ^ salt[j][:, None]) >> np.uint64(63)).astype(np.int64), n)
+        out[:, b:b + 2048] = sig
     return out
 
 
 def edit_distances(a: np.ndarray, a_size: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edit distance between rows of ``a`` (cut to ``a_size``) and of ``b`` (all of one length)."""
     rows, width = a.shape
-    steps = np.arange(width + 1)
+    one = np.int16(1)
+    steps = np.arange(width + 1, dtype=np.int32 if max(width, b.shape[1]) > 16_000 else np.int16)
     d = np.tile(steps, (rows, 1))
     for j in range(b.shape[1]):
         new = np.empty_like(d)
         new[:, 0] = j + 1
-        new[:, 1:] = np.minimum(d[:, 1:] + 1, d[:, :-1] + (a != b[:, j:j + 1]))
+        new[:, 1:] = np.minimum(d[:, 1:] + one, d[:, :-1] + (a != b[:, j:j + 1]))
         d = np.minimum.accumulate(new - steps, axis=1) + steps
-    return d[np.arange(rows), a_size]
+    return d[np.arange(rows), a_size].astype(np.int64)
 
 
 class Index:
@@ -79,13 +94,14 @@ class Index:
             words = np.stack([w for _, w in items if len(w) == n])
             flat, start = words.ravel(), np.arange(len(ids)) * n
             tables = []
-            for r in range(REPEATS):
-                sig = signatures(flat, start, np.full(len(ids), n), n, r, seed)
+            for sig in signatures(flat, start, np.full(len(ids), n), n, seed):
                 order = np.argsort(sig, kind="stable")
                 tables.append((sig[order], order))
             self.sizes[n] = (ids, words, tables, allowed(n, similarity))
-            known.append(pair(words[:, :-1].ravel(), words[:, 1:].ravel()))
+            known.append(np.unique(pair(words[:, :-1].ravel(), words[:, 1:].ravel())))
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        # which known pairs each size group has
+        self.member = {n: np.isin(self.known, own) for n, own in zip(self.sizes, known)}
 
     def search(self, h: np.ndarray, first: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item id, distance, start, size) of matching windows."""
@@ -93,23 +109,31 @@ class Index:
             return
         big = pair(h[:-1], h[1:])
         spot = np.minimum(np.searchsorted(self.known, big), len(self.known) - 1)
-        mark = np.concatenate([(self.known[spot] == big) & (owner[1:] == owner[:-1]), [False]])
-        total = np.concatenate([[0], np.cumsum(mark)])
+        marked = np.flatnonzero((self.known[spot] == big) & (owner[1:] == owner[:-1]))
+        spot = spot[marked]
         end = first[1:][owner]
-        if not mark.any():
-            return
         for n, (ids, words, tables, k) in self.sizes.items():
-            # pairs inside the window starting at each marked word's neighbourhood
-            start = np.arange(len(h))
-            size = np.minimum(end - start, n)
-            enough = (size >= n - k) & (total[np.maximum(start + size - 1, 0)] - total[start] >= max(1, n - 1 - 2 * k))
+            at = marked[self.member[n][spot]]  # first words of pairs known from items of this size
+            need = max(1, n - 1 - 2 * k)
+            if len(at) < need:
+                continue
+            # a window holds `need` pairs if it holds some pair and the one `need - 1` further on
+            last = at[need - 1:]
+            low, high = np.maximum(last - n + 2, first[owner[last]]), at[:len(last)]
+            ok = (low <= high) & (owner[high] == owner[last])
+            low, high = low[ok], high[ok]
+            if not len(low):
+                continue
+            span = high - low + 1
+            start = np.unique(np.repeat(low - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum()))
+            size = np.minimum(end[start] - start, n)
+            enough = size >= n - k
             start = start[enough]
             size = size[enough]
             if not len(start):
                 continue
             found: list[np.ndarray] = []
-            for r, (sig, order) in enumerate(tables):
-                own = signatures(h, start, size, n, r, self.seed)
+            for own, (sig, order) in zip(signatures(h, start, size, n, self.seed), tables):
                 lo, hi = np.searchsorted(sig, own, "left"), np.searchsorted(sig, own, "right")
                 hits = hi - lo
                 w = np.repeat(np.arange(len(start)), hits)
@@ -152,7 +176,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, similarity)
             for batch in batches:
-                for p in pieces(batch.column("text"), separator=PARTING):
+                for p in pieces(batch.column("text"), piece_bytes=PIECE_BYTES, separator=PARTING):
                     best: dict[tuple[int, int], tuple[int, int, int]] = {}
                     for part in index.search(p.hashes(), p.first, p.owner):
                         for text, item, dist, start, size in zip(*(x.tolist() for x in part)):
@@ -182,7 +206,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
             index = Index(sent.value, similarity)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for p in pieces(batch.column(text_col), separator=PARTING):
+                for p in pieces(batch.column(text_col), piece_bytes=PIECE_BYTES, separator=PARTING):
                     for part in index.search(p.hashes(), p.first, p.owner):
                         keep[part[0] + p.rows.start] = False
                 yield batch.filter(pa.array(keep))

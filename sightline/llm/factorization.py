@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.words import pair, pieces, span_hash
 
-BUCKETS, RANK, MAX_ROWS, EPOCHS, RATE, DECAY = 1 << 16, 8, 20_000, 6, 0.08, 2e-6
+BUCKETS, RANK, MAX_ROWS, EPOCHS, STEPS, RATE, DECAY = 1 << 16, 8, 20_000, 6, 800, 0.08, 2e-6
 STATS = 14
 DIM = BUCKETS + STATS
 BATCH = 128
@@ -82,14 +82,17 @@ class Machine:
 
 
 def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Minimise the log loss with AdaGrad over small batches. Entries of row i are ``starts[i]`` to ``starts[i + 1]``."""
+    """Minimise the log loss with AdaGrad over small batches, in ``epochs`` rounds or STEPS batches if that is more.
+
+    Entries of row i are ``starts[i]`` to ``starts[i + 1]``.
+    """
     rng = np.random.default_rng(seed)
     w, v = np.zeros(DIM), rng.normal(0, 0.02, (DIM, rank))
     gw, gv = np.full(DIM, 1e-2), np.full((DIM, rank), 1e-2)
     mean = np.clip(y.mean(), 0.01, 0.99)
     bias, gb = float(np.log(mean / (1 - mean))), 1.0
     size = np.diff(starts)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
         for b in range(0, len(order), BATCH):
             rows = order[b:b + BATCH]

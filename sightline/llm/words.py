@@ -151,6 +151,17 @@ def written(df):
     return df.sparkSession.read.parquet(path)
 
 
+def free_names(df, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def join_null_safe(left, right, keys: list[str], how: str = "left"):
     """Join on keys where a null equals a null; the right side's keys are dropped."""
     import pyspark.sql.functions as F

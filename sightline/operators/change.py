@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -80,12 +81,17 @@ def order_diff(diff: DataFrame, value: str = "subject") -> DataFrame:
 
 def erasure_seeds(ents: DataFrame, subject: str | None = None, case_id: str | None = None, before=None,
                   entity_scans: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
-    """Ids an erasure names: by subject (value, mail domain, local part), by case, or by age."""
+    """Ids an erasure names: by subject (value, mail domain, local part), by case, or by age.
+
+    Mail domains and local parts are compared without regard to the case of A to Z: a request must not miss a spelling.
+    """
     if subject is not None:
-        mail = F.col("type") == "email"
-        hit = (F.col("value") == subject) | (mail & F.col("value").endswith("@" + subject))
+        fold = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+        mail, value = F.col("type") == "email", fold(F.col("value"))
+        name = fold(F.lit(subject))
+        hit = (F.col("value") == subject) | (mail & value.endswith(F.concat(F.lit("@"), name)))
         if "@" not in subject:
-            hit = hit | (mail & F.col("value").startswith(subject + "@"))
+            hit = hit | (mail & value.startswith(F.concat(name, F.lit("@"))))
         return ents.where(hit).select("id")
     if case_id is not None:
         runs = scans.where(F.col("case_id") == case_id).select(F.col("id").alias("scan_id"))
@@ -121,8 +127,10 @@ def erase(graph: Mapping[str, DataFrame], ids: DataFrame, dry_run: bool = True)
     if "observation_scans" in graph and "observations" in graph:
         link = graph["observation_scans"]
         erased = graph["observations"].join(gone.withColumnRenamed("id", "subject"), "subject", "left_semi")
-        out["observation_scans"] = link.join(
-            erased.select(F.col("id").alias("observation_id")), "observation_id", "left_anti").select(*link.columns)
+        kept = link.join(erased.select(F.col("id").alias("observation_id")), "observation_id", "left_anti").select(*link.columns)
+        counts.append(link.select(F.lit("observation_scans").alias("table_name"), F.lit(1).alias("n"))
+                      .unionByName(kept.select(F.lit("observation_scans").alias("table_name"), F.lit(-1).alias("n"))))
+        out["observation_scans"] = kept
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)
@@ -130,6 +138,18 @@ def erase(graph: Mapping[str, DataFrame], ids: DataFrame, dry_run: bool = True)
     return report, (dict(graph) if dry_run else out)
 
 
+def purge(graph: Mapping[str, DataFrame], subject: str | None = None, case_id: str | None = None, before=None, hops: int = 4,
+          dry_run: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """An erasure request in one call: seeds, then, for a subject, all that is linked with it, then the report and the tables.
+
+    ``graph`` holds the tables of :data:`ERASE_KEYS` and, for a case, ``scans`` (id, case_id).
+    """
+    from sightline.operators.graph import erasure_closure
+    seeds = erasure_seeds(graph["entities"], subject, case_id, before, graph.get("entity_scans"), graph.get("scans"))
+    reached = erasure_closure(graph["relations"], seeds, hops).select("id") if subject is not None and "relations" in graph else seeds
+    return erase(graph, reached, dry_run)
+
+
 def retention(graph: Mapping[str, DataFrame], now, days: Mapping[str, int] = fixed.RETENTION_DAYS) -> dict[str, DataFrame]:
     """Rows past their age class, per table, ready to drop."""
     at = F.lit(now).cast("timestamp")

@@ -137,8 +137,12 @@ def frontier(ents: DataFrame, collectors: DataFrame, done: DataFrame, allowed: D
     ``ents``: (id, type, parent, hop); ``collectors``: (collector, consumes);
     ``done``: (id, collector). At most ``breadth`` children per parent and collector,
     in id order: that bound is the query, and its partial form runs before the shuffle.
+    Each entity is queued once for a collector.
     """
-    near = ents.where(F.col("hop") <= depth)
+    # an entity found under several parents is one piece of work: the nearest, then the smallest parent
+    once = (ents.groupBy("id", "type").agg(F.min(F.struct("hop", "parent")).alias("__p"))
+            .select("id", "type", F.col("__p.parent").alias("parent"), F.col("__p.hop").alias("hop")))
+    near = once.where(F.col("hop") <= depth)
     if allowed is not None:
         near = near.join(allowed.select("id").distinct(), "id", "left_semi")
     jobs = near.join(collectors.withColumnRenamed("consumes", "type"), "type")

@@ -7,8 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sightline import fixed
+from sightline.functions import canon, net
 from sightline.functions.bind import let, trim_ws
 from sightline.functions.grades import mode_rank
+from sightline.operators.canonicalise import canonicalise
 from sightline.operators.netjoin import NET, best_prefix, masked, suffix_pairs, with_prefix
 from sightline.operators.skew import attach
 
@@ -24,13 +27,27 @@ def _decide(df: DataFrame, found: DataFrame, key: str, missing: str = NO_RULE) -
             .withColumn("out_of_scope", ~F.col("allowed")).drop("__w"))
 
 
+def _canonical_rules(rules: DataFrame, kind: str) -> DataFrame:
+    """Rules with ``pattern`` in the canonical form of ``kind``. A rule without one stops the job: dropped silently, it would widen access."""
+    c = canonicalise(rules.withColumn("__kind", F.lit(kind)), "__kind", "pattern", [kind])
+    bad = F.raise_error(F.concat(F.lit(f"not a valid {kind} rule: "), F.coalesce("pattern", F.lit("NULL")))).cast("string")
+    return c.withColumn("pattern", F.coalesce("canonical", bad)).drop("__kind", "canonical", "entity_id", "reject_reason")
+
+
+def _prefix_rules(rules: DataFrame) -> DataFrame:
+    p = trim_ws(F.col("pattern"))
+    bad = F.raise_error(F.concat(F.lit("not a valid cidr rule: "), F.coalesce("pattern", F.lit("NULL")))).cast("string")
+    return rules.withColumn("pattern", F.when(p.contains("/") & net.prefix_struct(p).isNotNull(), p).otherwise(bad))
+
+
 def domain_rules(rules: DataFrame) -> DataFrame:
     """(action, pattern) to suffix-joinable rules: ``*.x`` and ``.x`` mean strictly below x."""
     p = F.lower(trim_ws(F.col("pattern")))
-    below = p.rlike("^\\*?\\.")
-    deny = F.col("action") == "deny"
-    return rules.select(
-        F.regexp_replace(p, "^\\*?\\.", "").alias("suffix"), below.alias("below"), (~deny).alias("allow"), p.alias("pattern"),
+    marked = rules.withColumn("__mark", F.regexp_extract(p, "^(\\*?\\.)", 1)).withColumn("pattern", F.regexp_replace(p, "^\\*?\\.", ""))
+    c = _canonical_rules(marked, "domain")
+    below, deny = F.col("__mark") != "", F.col("action") == "deny"
+    return c.select(
+        F.col("pattern").alias("suffix"), below.alias("below"), (~deny).alias("allow"), F.concat("__mark", "pattern").alias("pattern"),
         # deny exact, deny suffix, allow exact, allow suffix
         (F.when(deny, 0).otherwise(2) + below.cast("int")).alias("precedence"))
 
@@ -58,7 +75,7 @@ def scope_domains(df: DataFrame, rules: DataFrame, deny_regex: Sequence[str] = (
 
 def scope_ips(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:
     """``rules``: (action, pattern cidr). Containment in a deny prefix wins; then the most specific allow."""
-    r = with_prefix(rules, "pattern").withColumn("allow", F.col("action") == "allow")
+    r = with_prefix(_prefix_rules(rules), "pattern").withColumn("allow", F.col("action") == "allow")
     best = best_prefix(df, col, r, ["allow", "pattern"], ~F.col("allow"))
     named = best.select(col, F.struct("allow", F.when(F.col("allow"), "allow.cidrs").otherwise("deny.cidrs").alias("rule"), "pattern").alias("__w"))
     return _decide(df, named, col)
@@ -70,7 +87,7 @@ def scope_cidrs(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFram
     Two prefixes overlap exactly when one contains the other, so both directions are
     equi-joins on a masked key: targets masked to rule lengths, rules masked to target lengths.
     """
-    r = with_prefix(rules, "pattern").select("action", "pattern", *NET)
+    r = with_prefix(_prefix_rules(rules), "pattern").select("action", "pattern", *NET)
     t = with_prefix(df.select(col).where(F.col(col).isNotNull()).distinct(), col)
     rule_lengths = F.broadcast(r.select("family", F.col("bits").alias("rbits")).distinct())    # at most 162 rows
     probes = t.join(rule_lengths, "family").where("rbits <= bits").select(
@@ -88,22 +105,30 @@ def scope_cidrs(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFram
     return _decide(df, best, col)
 
 
-def _equal_rules(df: DataFrame, key: Column, rules: DataFrame, rule: str) -> DataFrame:
-    r = rules.groupBy(F.col("pattern").alias("__k")).agg(F.lit(True).alias("allow"))
+def _invalid(df: DataFrame, ok: Column) -> DataFrame:
+    """Rows that are not of their kind are denied as such; they are no target, in scope or out."""
+    bad = ~F.coalesce(ok, F.lit(False))
+    return (df.withColumn("allowed", F.col("allowed") & ~bad).withColumn("rule", F.when(bad, "invalid").otherwise(F.col("rule")))
+            .withColumn("matched", F.when(bad, "").otherwise(F.col("matched"))).withColumn("out_of_scope", F.col("out_of_scope") & ~bad))
+
+
+def _equal_rules(df: DataFrame, key: Column, rules: DataFrame, rule: str, kind: str) -> DataFrame:
+    r = _canonical_rules(rules, kind).groupBy(F.col("pattern").alias("__k")).agg(F.lit(True).alias("allow"))
     found = r.select("__k", F.struct("allow", F.lit(rule).alias("rule"), F.col("__k").alias("pattern")).alias("__w"))
     return _decide(df.withColumn("__k", key), found, "__k").drop("__k")
 
 
 def scope_asns(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:
-    return _equal_rules(df, F.col(col), rules, "allow.asns")
+    number = canon.asn(trim_ws(F.col(col)))
+    return _invalid(_equal_rules(df, number, rules, "allow.asns", "asn"), number.isNotNull())
 
 
 def scope_net(df: DataFrame, cidr_rules: DataFrame, asn_rules: DataFrame, type_col: str = "type",
               col: str = "value") -> DataFrame:
     """ip, cidr and asn rows of a mixed table, each by its own rule."""
-    t = F.col(type_col)
-    return (scope_ips(df.where(t == "ip"), cidr_rules, col)
-            .unionByName(scope_cidrs(df.where(t == "cidr"), cidr_rules, col))
+    t, v = F.col(type_col), F.col(col)
+    return (_invalid(scope_ips(df.where(t == "ip"), cidr_rules, col), canon.ip(v).isNotNull())
+            .unionByName(_invalid(scope_cidrs(df.where(t == "cidr"), cidr_rules, col), canon.cidr(v).isNotNull()))
             .unionByName(scope_asns(df.where(t == "asn"), asn_rules, col)))
 
 
@@ -115,12 +140,16 @@ def url_host(col: Column) -> Column:
 
 def scope_urls(df: DataFrame, rules: DataFrame, prefixes: Sequence[str], deny_regex: Sequence[str] = (),
                col: str = "value") -> DataFrame:
-    """Host first; then, when path prefixes are declared, one of them has to start the URL."""
+    """Host first, deny regexes included; then, when path prefixes are declared, one of them has to start the URL.
+
+    The prefixes are configuration and are compared in canonical form; one without a canonical form stops the job.
+    """
     out = scope_domains(df.withColumn("__host", url_host(F.col(col))), rules, deny_regex, "__host").drop("__host")
     host_ok = F.col("allowed")
     hit = F.lit("").cast("string")
     for p in reversed(list(prefixes)):
-        hit = F.when(F.col(col).startswith(p), p).otherwise(hit)
+        whole = F.coalesce(canon.url(F.lit(p.strip())), F.raise_error(F.lit(f"not a valid url prefix: {p}")).cast("string"))
+        hit = F.when(F.col(col).startswith(whole), whole).otherwise(hit)
     out = out.withColumn("__hit", hit)
     need = bool(prefixes)
     rule = (F.when(~host_ok, "allow.domains (via url host)").when(F.lit(not need), F.col("rule"))
@@ -131,41 +160,73 @@ def scope_urls(df: DataFrame, rules: DataFrame, prefixes: Sequence[str], deny_re
 
 
 def scope_emails(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:
-    return _equal_rules(df, F.regexp_extract(F.col(col), "@([^@]*)$", 1), rules, "allow.email_domains")
+    out = _equal_rules(df, F.regexp_extract(F.col(col), "@([^@]*)$", 1), rules, "allow.email_domains", "domain")
+    return _invalid(out, F.col(col).contains("@"))
 
 
 def scope_orgs(df: DataFrame, orgs: Sequence[str], col: str = "value") -> DataFrame:
     """Allowed when the name contains a listed organisation or the other way round.
 
-    The list is configuration; the first match in list order is reported.
+    The list is configuration; the first match in list order is reported. A blank name is invalid: every entry contains it.
     """
     def pick(n: Column) -> Column:
         out = F.lit("")
-        for o in reversed([x.strip().lower() for x in orgs]):
+        for o in reversed([x.strip().lower() for x in orgs if x.strip()]):
             out = F.when(n.contains(o) | F.lit(o).contains(n), o).otherwise(out)
         return out
-    return (df.withColumn("matched", let(F.lower(trim_ws(F.col(col))), pick))
-            .withColumn("allowed", F.col("matched") != "")
-            .withColumn("rule", F.when(F.col("allowed"), "allow.orgs").otherwise(NO_RULE))
-            .withColumn("out_of_scope", ~F.col("allowed")))
+    named = F.coalesce(trim_ws(F.col(col)), F.lit("")) != ""
+    out = (df.withColumn("matched", F.when(named, let(F.lower(trim_ws(F.col(col))), pick)).otherwise(""))
+           .withColumn("allowed", F.col("matched") != "")
+           .withColumn("rule", F.when(F.col("allowed"), "allow.orgs").otherwise(NO_RULE))
+           .withColumn("out_of_scope", ~F.col("allowed")))
+    return _invalid(out, named)
+
+
+NETWORK_TYPES = ["domain", "subdomain", "ip", "cidr", "asn", "url", "email", "org"]
+DECISION = ["allowed", "rule", "matched", "out_of_scope"]
 
 
 def scope_other(df: DataFrame, domain_rules_: DataFrame, url_prefixes: Sequence[str], mail_rules: DataFrame,
-                orgs: Sequence[str], type_col: str = "type", col: str = "value") -> DataFrame:
-    """url, email and org rows by rule; every type without a network target passes."""
+                orgs: Sequence[str], type_col: str = "type", col: str = "value", deny_regex: Sequence[str] = ()) -> DataFrame:
+    """url, email and org rows by rule; types without a network target pass, blank values and unknown or missing types are denied."""
     t = F.col(type_col)
-    cols = [*df.columns, "allowed", "rule", "matched", "out_of_scope"]
-    network = ["domain", "subdomain", "ip", "cidr", "asn", "url", "email", "org"]
-    rest = (df.where(~t.isin(network)).withColumn("allowed", F.lit(True))
-            .withColumn("rule", F.lit("not-network-target")).withColumn("matched", F.lit(""))
+    cols = [*df.columns, *DECISION]
+    blank = F.coalesce(trim_ws(F.col(col)), F.lit("")) == ""
+    passing = t.isin([x for x in fixed.ENTITY_TYPES if x not in NETWORK_TYPES])
+    rest = (df.where(~F.coalesce(t.isin(NETWORK_TYPES), F.lit(False))).withColumn("allowed", F.coalesce(passing, F.lit(False)))
+            .withColumn("rule", F.when(F.col("allowed"), "not-network-target").otherwise("unknown-type")).withColumn("matched", F.lit(""))
             .withColumn("out_of_scope", F.lit(False)))
-    out = rest.select(*cols)
-    for part in (scope_urls(df.where(t == "url"), domain_rules_, url_prefixes, (), col),
+    out = _invalid(rest, ~blank).select(*cols)
+    for part in (_invalid(scope_urls(df.where(t == "url"), domain_rules_, url_prefixes, deny_regex, col), ~blank),
                  scope_emails(df.where(t == "email"), mail_rules, col), scope_orgs(df.where(t == "org"), orgs, col)):
         out = out.unionByName(part.select(*cols))
     return out
 
 
+@dataclass(frozen=True)
+class ScopeRules:
+    """All rules of a scope. Tables: domains and cidrs (action, pattern), asns and mail_domains (pattern)."""
+
+    domains: DataFrame
+    cidrs: DataFrame
+    asns: DataFrame
+    mail_domains: DataFrame
+    url_prefixes: Sequence[str] = ()
+    orgs: Sequence[str] = ()
+    deny_regex: Sequence[str] = ()
+
+
+def scope_all(df: DataFrame, rules: ScopeRules, type_col: str = "type", col: str = "value") -> DataFrame:
+    """One decision for every row of a mixed table of canonical values: allowed, rule, matched, out_of_scope. Default deny."""
+    t = F.col(type_col)
+    cols = [*df.columns, *DECISION]
+    blank = F.coalesce(trim_ws(F.col(col)), F.lit("")) == ""
+    names = _invalid(scope_domains(df.where(t.isin("domain", "subdomain")), rules.domains, rules.deny_regex, col), ~blank)
+    other = scope_other(df.where(~F.coalesce(t.isin("domain", "subdomain", "ip", "cidr", "asn"), F.lit(False))), rules.domains, rules.url_prefixes,
+                        rules.mail_domains, rules.orgs, type_col, col, rules.deny_regex)
+    return (names.select(*cols).unionByName(scope_net(df, rules.cidrs, rules.asns, type_col, col).select(*cols)).unionByName(other.select(*cols)))
+
+
 # --- engagement and policy ---------------------------------------------------------------
 
 

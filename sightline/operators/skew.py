@@ -16,18 +16,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_SLOT = 2_000_000
-MAX_SLOTS = 1024
 
 
 def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Keys with more than one slot's worth of rows, and how many slots they get.
 
-    At most ``rows(facts) / rows_per_slot`` keys qualify, which is what makes the
-    result safe to broadcast: a trillion rows yield at most half a million keys.
+    At most ``rows(facts) / rows_per_slot`` keys qualify; whether that is little enough to be
+    broadcast is left to the measured size.
     """
     return (facts.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
             .where(F.col("__rows") > rows_per_slot)
-            .select(*on, F.least(F.ceil(F.col("__rows") / rows_per_slot), F.lit(MAX_SLOTS)).cast("int").alias("__slots")))
+            .select(*on, F.ceil(F.col("__rows") / rows_per_slot).cast("int").alias("__slots")))
 
 
 def attach(facts: DataFrame, dims: DataFrame, on: Sequence[str] | str, how: str = "left",
@@ -37,9 +36,10 @@ def attach(facts: DataFrame, dims: DataFrame, on: Sequence[str] | str, how: str
     ``how`` is left, inner, left_semi or left_anti. NULL keys never match, as in a plain join.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = F.broadcast(hot_keys(facts.where(F.col(on[0]).isNotNull()), on, rows_per_slot))
-    slot = F.when(F.col("__slots").isNotNull(),
-                  F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__slots")).cast("int")).otherwise(0)
+    hot = hot_keys(facts.where(F.col(on[0]).isNotNull()), on, rows_per_slot)
+    # from the row's own content, so a task that runs again deals its rows as before
+    content = F.xxhash64(*[c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind])
+    slot = F.when(F.col("__slots").isNotNull(), F.pmod(content, F.col("__slots")).cast("int")).otherwise(0)
     left = facts.join(hot, on, "left").withColumn("__slot", slot).drop("__slots")
     right = (dims.join(hot, on, "left")
              .withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__slots"), F.lit(1)) - 1)))
@@ -52,24 +52,21 @@ def _order(cols: Sequence[str]) -> list[Column]:
 
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 20_000
 
 
 def with_bucket(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "__b") -> DataFrame:
     """Number the ranges of ``col`` so that each holds about ``rows_per_bucket`` rows.
 
-    Cut points are approximate quantiles (one mergeable sketch, at most MAX_BUCKETS
-    numbers on the driver), so a burst gets more buckets instead of one large one.
+    Cut points are approximate quantiles (one mergeable sketch, one
+    number per bucket on the driver), so a burst gets more buckets instead of one large one.
     Equal values always share a bucket and buckets follow the order of ``col``.
     """
     kind = dict(df.dtypes)[col]
     number = F.unix_micros(F.col(col)) if kind == "timestamp" else F.col(col)
     df = df.withColumn("__num", number.cast("double"))
-    n = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
-    if n <= 1:
-        return df.withColumn(out, F.lit(0.0)).drop("__num")
+    n = max(2, -(-df.count() // rows_per_bucket))  # one path for every size
     cuts = df.approxQuantile("__num", [i / n for i in range(1, n)], 1.0 / (4 * n))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__num", outputCol=out, handleInvalid="keep")
     return cutter.transform(df).drop("__num")
 

@@ -126,7 +126,7 @@ def j12(spark, sf):
 
 _MAILS = """
 mails AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'email' ELSE 'domain' END AS type,
-   CASE WHEN c_custkey % 3 = 0 THEN 'jane' || (c_custkey % 50) || '@' || lower(c_mktsegment) || '.example'
+   CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Jane' ELSE 'jane' END || (c_custkey % 50) || '@' || CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END || '.example'
         ELSE lower(c_mktsegment) || (c_custkey % 5) || '.example' END AS value FROM customer)"""
 
 
@@ -134,13 +134,13 @@ def _mails(spark, sf):
     ck, seg = F.col("c_custkey"), F.lower("c_mktsegment")
     return table(spark, sf, "customer").select(
         ck.alias("id"), F.when(ck % 3 == 0, "email").otherwise("domain").alias("type"),
-        F.when(ck % 3 == 0, F.concat(F.lit("jane"), ck % 50, F.lit("@"), seg, F.lit(".example")))
+        F.when(ck % 3 == 0, F.concat(F.when(ck % 2 == 0, "Jane").otherwise("jane"), ck % 50, F.lit("@"), F.when(ck % 7 == 0, F.col("c_mktsegment")).otherwise(seg), F.lit(".example")))
         .otherwise(F.concat(seg, ck % 5, F.lit(".example"))).alias("value"))
 
 
 @query("d05_erasure_seeds", "WITH " + _MAILS + """
-SELECT 'domain' AS how, id FROM mails WHERE value = 'building.example' OR (type = 'email' AND value LIKE '%@building.example')
-UNION ALL SELECT 'handle', id FROM mails WHERE value = 'jane7' OR (type = 'email' AND value LIKE 'jane7@%')
+SELECT 'domain' AS how, id FROM mails WHERE value = 'building.example' OR (type = 'email' AND value ILIKE '%@building.example')
+UNION ALL SELECT 'handle', id FROM mails WHERE value = 'jane7' OR (type = 'email' AND value ILIKE 'jane7@%')
 UNION ALL SELECT 'case', p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
 UNION ALL SELECT 'age', o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'""")
 def d05(spark, sf):

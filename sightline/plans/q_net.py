@@ -233,7 +233,7 @@ def p06(spark, sf):
     return scope.authorisation(o, _ENGAGE).select("o_orderkey", "reason", "permitted")
 
 
-_DOMAIN_RULES = [("allow", "example.com"), ("allow", "*.example.com"), ("allow", ".example.net"), ("deny", "www.ththen.example.com"), ("deny", "*.tionsh.example.net"), ("allow", "therti.example.org")]
+_DOMAIN_RULES = [("allow", "Example.COM"), ("allow", "*.example.com"), ("allow", " .example.net"), ("deny", "www.ththen.example.com"), ("deny", "*.tionsh.example.net"), ("allow", "therti.example.org")]
 _SCOPE_SQL = """
 CASE WHEN regexp_matches(h, 'pills') THEN 'deny.regex' WHEN h = 'www.ththen.example.com' OR h LIKE '%.tionsh.example.net' THEN 'deny.domains'
      WHEN h = 'example.com' OR h = 'therti.example.org' OR h LIKE '%.example.com' OR h LIKE '%.example.net' THEN 'allow.domains' ELSE 'no-allow-rule' END"""
@@ -277,26 +277,29 @@ def p08b(spark, sf):
     return scope.scope_cidrs(a, rules, "value").select("l_orderkey", "l_linenumber", "addr", "bits", "allowed", "rule")
 
 
-@query("p08_scope_asns", "SELECT o_orderkey, o_custkey % 10 IN (3, 4) AS allowed, CASE WHEN o_custkey % 10 IN (3, 4) THEN 'allow.asns' ELSE 'no-allow-rule' END AS rule FROM orders")
+@query("p08_scope_asns", "SELECT o_orderkey, o_custkey % 10 IN (3, 4) AS allowed, CASE WHEN o_custkey % 10 = 0 THEN 'invalid' WHEN o_custkey % 10 IN (3, 4) THEN 'allow.asns' ELSE 'no-allow-rule' END AS rule FROM orders")
 def p08c(spark, sf):
-    rules = spark.createDataFrame([("AS3",), ("AS4",)], "pattern string")
+    rules = spark.createDataFrame([("as3",), (" AS4",)], "pattern string")
     o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("AS"), F.col("o_custkey") % 10).alias("value"))
     return scope.scope_asns(o, rules).select("o_orderkey", "allowed", "rule")
 
 
 @query("p09_scope_other", f"""
-SELECT 'url' AS type, page_id AS k, CASE WHEN {_SCOPE_SQL.replace("WHEN regexp_matches(h, 'pills') THEN 'deny.regex'", "")} <> 'allow.domains' THEN 'allow.domains (via url host)'
-   WHEN starts_with(url, 'https://') THEN 'allow.url_prefixes' ELSE 'no-url-prefix' END AS rule FROM (SELECT page_id, url, {_HOST} AS h FROM pages)
-UNION ALL SELECT 'email', c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allow.email_domains' ELSE 'no-allow-rule' END FROM customer
-UNION ALL SELECT 'org', p_partkey, CASE WHEN contains(lower(p_name), 'ring') OR contains('red widget co', lower(p_name)) THEN 'allow.orgs' ELSE 'no-allow-rule' END FROM part
-UNION ALL SELECT 'person', s_suppkey, 'not-network-target' FROM supplier""")
+SELECT 'url' AS type, page_id AS k, CASE WHEN {_SCOPE_SQL} <> 'allow.domains' THEN 'allow.domains (via url host)'
+   WHEN starts_with(url, 'https://blog.tiontion.example.com/en') OR starts_with(url, 'http://therha.example.com/') THEN 'allow.url_prefixes' ELSE 'no-url-prefix' END AS rule
+   FROM (SELECT page_id, url, {_HOST} AS h FROM pages)
+UNION ALL SELECT 'email', c_custkey, CASE WHEN c_custkey % 19 = 0 THEN 'invalid' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allow.email_domains' ELSE 'no-allow-rule' END FROM customer
+UNION ALL SELECT 'org', p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'invalid' WHEN contains(lower(p_name), 'ring') OR contains('red widget co', lower(p_name)) THEN 'allow.orgs' ELSE 'no-allow-rule' END FROM part
+UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'weird' END, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'not-network-target' ELSE 'unknown-type' END FROM supplier""")
 def p09(spark, sf):
+    mail_of = F.concat(F.when(F.col("c_custkey") % 19 == 0, "u").otherwise("u@"), F.lower("c_mktsegment"), F.lit(".example"))
     mixed = (table(spark, sf, "pages").select(F.lit("url").alias("type"), F.col("page_id").alias("k"), F.col("url").alias("value"))
-             .unionByName(table(spark, sf, "customer").select(F.lit("email").alias("type"), F.col("c_custkey").alias("k"), F.concat(F.lit("u@"), F.lower("c_mktsegment"), F.lit(".example")).alias("value")))
-             .unionByName(table(spark, sf, "part").select(F.lit("org").alias("type"), F.col("p_partkey").alias("k"), F.upper("p_name").alias("value")))
-             .unionByName(table(spark, sf, "supplier").select(F.lit("person").alias("type"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))))
-    mail = spark.createDataFrame([("building.example",), ("machinery.example",)], "pattern string")
-    return scope.scope_other(mixed, _rules(spark), ["https://"], mail, ["Ring", "red widget co"]).select("type", "k", "rule")
+             .unionByName(table(spark, sf, "customer").select(F.lit("email").alias("type"), F.col("c_custkey").alias("k"), mail_of.alias("value")))
+             .unionByName(table(spark, sf, "part").select(F.lit("org").alias("type"), F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 17 == 0, " ").otherwise(F.upper("p_name")).alias("value")))
+             .unionByName(table(spark, sf, "supplier").select(views.pick(["person", "weird", None], F.col("s_suppkey") % 3).alias("type"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))))
+    mail = spark.createDataFrame([("building.example",), (" Machinery.EXAMPLE",)], "pattern string")
+    return scope.scope_other(mixed, _rules(spark), ["HTTPS://blog.tiontion.example.com:443/en", "http://therha.example.com/"], mail, ["Ring", "red widget co"],
+                             deny_regex=["pills"]).select("type", "k", "rule")
 
 
 _POLICY = scope.Policy(deny_modules=["banned"], allowed_purposes=["incident response", "audit"])

@@ -16,7 +16,6 @@ A_ROW = ("issuer_ca_id LONG, issuer_name STRING, issuer_org STRING, common_name
          "not_after STRING, result_count LONG")
 B_ROW = ("id STRING, cert_sha256 STRING, tbs_sha256 STRING, dns_names STRING, revoked BOOLEAN, "
          "issuer STRUCT<friendly_name: STRING, name: STRING, pubkey_sha256: STRING>, not_before STRING, not_after STRING")
-MAX_BODY = 32 * 1024 * 1024
 
 
 def _split_names(text: Column) -> Column:
@@ -24,13 +23,9 @@ def _split_names(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda n: n != ""))
 
 
-def parse_ct_a(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> DataFrame:
-    """One row per certificate: newline-separated names, common name as fallback.
-
-    A body over the size limit is refused whole, never cut.
-    """
-    fit = df.where(F.octet_length(col) <= max_body)
-    rows = fit.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(A_ROW)}>>"))).withColumn("r", F.explode("__a"))
+def parse_ct_a(df: DataFrame, col: str = "raw") -> DataFrame:
+    """One row per certificate: newline-separated names, common name as fallback. Bodies of any size are read."""
+    rows = df.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(A_ROW)}>>"))).withColumn("r", F.explode("__a"))
     listed = _split_names(F.coalesce("r.name_value", F.lit("")))
     both = F.when(F.size(listed) > 0, listed).otherwise(_split_names(F.coalesce("r.common_name", F.lit(""))))
     keep = [c for c in df.columns if c != col]
@@ -43,10 +38,9 @@ def parse_ct_a(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> Dat
             .where(F.size("names") > 0))
 
 
-def parse_ct_b(df: DataFrame, col: str = "raw", max_body: int = MAX_BODY) -> DataFrame:
+def parse_ct_b(df: DataFrame, col: str = "raw") -> DataFrame:
     """One row per issuance: names as an array or as one text, real digest, revoked flag."""
-    fit = df.where(F.octet_length(col) <= max_body)
-    rows = fit.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(B_ROW)}>>"))).withColumn("r", F.explode("__a"))
+    rows = df.withColumn("__a", fenced(F.from_json(F.col(col), f"array<struct<{_struct(B_ROW)}>>"))).withColumn("r", F.explode("__a"))
     as_array = F.array_join(F.from_json("r.dns_names", "array<string>"), "\n")
     listed = _split_names(F.coalesce(as_array, F.col("r.dns_names"), F.lit("")))
     keep = [c for c in df.columns if c != col]

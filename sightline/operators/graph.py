@@ -37,14 +37,14 @@ def _expand(rels: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
     Each hop joins only the newest frontier to the edge list, drops repeats before and
     after, removes what was seen, and is written to the checkpoint folder, so the plan
-    stays short and a lost executor costs one hop. A hub's edges are salted by ``attach``.
+    stays short and a lost executor costs one hop. A hub's edges are split by the skew-join rule
+    that the session turns on; counting them anew in every hop would read all edges twice.
     """
     edges = stage_table(undirected(rels))
     frontier = stage_table(seeds.select(F.col("id")).distinct())
     seen = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
-        reached = (attach(edges, frontier.withColumnRenamed("id", "src"), "src", "inner")
-                   .select(F.col("dst").alias("id")).distinct())
+        reached = edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
         frontier = stage_table(reached.join(seen.select("id"), "id", "left_anti"))
         if frontier.isEmpty():
             break

@@ -286,7 +286,7 @@ def authorise(requests: DataFrame, policy: Policy, approvals: DataFrame, e: Enga
     allow_active, at); ``approvals``: one row per request id with granted_by array,
     granted_at, expires_at, revoked.
     """
-    j = attach(requests, approvals, "request_id")
+    j = requests.join(approvals, "request_id", "left")  # a request id is unique
     s, at, actor = F.col("sensitivity"), F.col("at"), F.col("actor")
     blank = lambda c, d: F.coalesce(F.when(trim_ws(c) != "", trim_ws(c)), F.lit(d))
     purpose, case_id = blank(F.col("purpose"), policy.default_purpose), blank(F.col("case_id"), policy.default_case)

@@ -73,14 +73,14 @@ def _ents(o: DataFrame) -> DataFrame:
 
 
 _PART_LINK = """
-plink AS (SELECT DISTINCT l_partkey AS id, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 's1' ELSE 's2' END AS scan_id
-          FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-06-01')"""
+plink AS (SELECT DISTINCT l_partkey AS id, CASE WHEN l_shipdate < TIMESTAMP '1995-03-18' THEN 's1' WHEN l_shipdate >= TIMESTAMP '2001-08-20' THEN 's2' ELSE 's3' END AS scan_id
+          FROM lineitem)"""
 
 
 def _part_link(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.lit("1997-06-01").cast("timestamp"))
-    return li.select(F.col("l_partkey").alias("entity_id"), F.when(
-        F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp"), "s1").otherwise("s2").alias("scan_id")).distinct()
+    shipped = F.col("l_shipdate")
+    scan = (F.when(shipped < F.lit("1995-03-18").cast("timestamp"), "s1").when(shipped >= F.lit("2001-08-20").cast("timestamp"), "s2").otherwise("s3"))
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity_id"), scan.alias("scan_id")).distinct()
 
 
 @query("d02_scan_diff", "WITH " + _PART_LINK + """

@@ -397,7 +397,7 @@ def f13(spark, sf):
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'empty' WHEN 2 THEN 'thick' ELSE 'thin' END AS response_class FROM documents""")
 def f14(spark, sf):
     k = F.col("doc_id") % 4
-    t = F.concat(F.substring("lang", 1, 2), F.when(k == 0, " You have exceeded the query RATE limit").when(k == 1, " No match for domain").otherwise(" Domain Name: x"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, " You have exceeded the query RATE limit").when(k == 1, " No match for domain").otherwise(" Domain Name: x"))
     return table(spark, sf, "documents").select("doc_id", names.response_class(t, k == 2).alias("response_class"))
 
 

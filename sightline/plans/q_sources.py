@@ -260,14 +260,14 @@ def s12(spark, sf):
 
 @query("s13_audit_lines", """
 SELECT event_id AS seq, epoch_us(ts) // 1000 * 1000 AS at, event_type AS action, '{"k":' || regexp_extract(props, '(\\d+)', 1) || '}' AS detail_json FROM events
-WHERE event_id >= 100 AND event_id <= 9000 AND event_id < (SELECT max(event_id) // 2 FROM events)""")
+WHERE event_id >= 100 AND event_id < (SELECT max(event_id) // 2 FROM events)""")
 def s13(spark, sf):
     e = table(spark, sf, "events")
     top = e.agg((F.floor(F.max("event_id") / 2)).alias("cut")).first()["cut"]
     line = F.concat(F.lit('{"seq":'), F.col("event_id"), F.lit(',"at":"'), rfc3339(F.timestamp_millis(F.unix_millis("ts"))), F.lit('","actor":"u","action":"'), F.col("event_type"), F.lit('","detail":{"k":'),
                     F.regexp_extract("props", "(\\d+)", 1), F.lit('},"prev_hash":"p","hash":"h"}'))
     lines = e.select(F.col("event_id").alias("pos"), F.when(F.col("event_id") == top, '{"seq": 12, "at":').otherwise(line).alias("line"))
-    return logs.parse_audit(lines, lo=100, hi=9000).select("seq", us("at").alias("at"), "action", "detail_json")
+    return logs.parse_audit(lines, lo=100).select("seq", us("at").alias("at"), "action", "detail_json")
 
 
 # --- X1-X6 -----------------------------------------------------------------------------------------

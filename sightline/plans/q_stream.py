@@ -101,11 +101,6 @@ def st4b(spark, sf):
     return out.select(F.unix_micros("start").alias("start"), "host", "requests", "over")
 
 
-@query("st5_breaker_stream")
-def st5(spark, sf):
-    return drain(streams.breaker_stream(log_stream(spark, sf), 3, 3600, 7200))
-
-
 @query("st6_budget_stream", """
 SELECT 's' || (user_id % 8) AS scan_id, count(*) AS requests, count(*) FILTER (event_type = 'signup') AS entities, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS runtime_s,
        CASE WHEN count(*) > 1200 THEN 'requests' WHEN (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 > 2580000 THEN 'runtime_s' END AS exceeded FROM events GROUP BY 1""")

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from sightline import schemas
 from sightline.functions import keys
 from sightline.operators import change, graph, integrity, merge
-from sightline.plans.q_stream import drain
 from sightline.sources import captures, ct, logs, sinks
-from sightline.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -100,40 +98,6 @@ def test_capture_and_certificate_files(spark, tmp_path):
     assert sorted(r.names for r in ct.read_ct_a(spark, str(tmp_path / "ct.json")).collect()) == [["a.example", "*.a.example"], ["b.example"]]
 
 
-def brute_breaker(rows, threshold, window, cooldown):
-    state, out = {}, []
-    for host, eid, s, status in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        mode, fails, opened, last = state.get(host, ("closed", 0, 0, None))
-        bad = status == 429 or status >= 500
-        if mode == "open":
-            if s - opened < cooldown:
-                continue
-            mode = "half-open"
-            out.append((host, s, mode))
-        before = mode
-        if not bad:
-            mode, fails, last = "closed", 0, None
-        else:
-            fails = 1 if last is not None and s - last > window else fails + 1
-            last = s
-            if mode == "half-open" or fails >= threshold:
-                mode, opened = "open", s
-        if mode != before:
-            out.append((host, s, mode))
-        state[host] = (mode, fails, opened, last)
-    return out
-
-
-def test_breaker_stream_against_brute_force(spark, tmp_path):
-    rows = [(f"h{i % 3}", i, 1_700_000_000 + i * 7, 503 if (i * i) % 5 < 3 else 200) for i in range(300)]
-    spark.createDataFrame(rows, "host string, event_id long, s long, status int").withColumn("ts", F.timestamp_seconds("s")).repartition(1) \
-        .write.parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    out = drain(streams.breaker_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3, 60, 60))
-    got = sorted((r.host, int(r.ts.timestamp()), r.state) for r in out.withColumn("ts", F.col("ts")).collect())
-    assert got == sorted(brute_breaker(rows, 3, 60, 60))
-
-
 def test_observation_identity_ignores_time_but_not_validity(spark):
     df = spark.createDataFrame([("s", "p", "o", "m", T0, None), ("s", "p", "o", "m", T0 + dt.timedelta(1), None), ("s", "p", "o", "m", T0, T0)],
                                "subject string, predicate string, object_key string, source string, observed_at timestamp, valid_from timestamp")

@@ -46,23 +46,34 @@ def evidence_links(evidence: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET)
 
 
 def verify_evidence(evidence: DataFrame, blobs: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row per case: checked, ok, first_break (record id), problem, head, blobs_missing."""
+    """One row per case: checked, ok, first_break (record id), problem, chain_head, blobs_present, blobs_missing.
+
+    ``chain_head`` is the hash of the last record before the break, the genesis hash if there is none. The blob counts
+    are over all records of the case; :func:`missing_blobs` names the missing ones.
+    """
     links = evidence_links(evidence, rows_per_bucket)
     if blobs is not None:
         links = verify_blobs(links, blobs)
-        altered, missing = F.col("blob_state") == "altered", F.col("blob_state") == "missing"
+        altered, missing, present = (F.col("blob_state") == state for state in ("altered", "missing", "present"))
     else:
-        altered, missing = F.lit(False), F.lit(False)
+        altered, missing, present = F.lit(False), F.lit(False), F.lit(False)
     problem = (F.when(~F.col("link_ok"), "prev_hash does not match the previous record")
                .when(~F.col("hash_ok"), "record hash mismatch").when(altered, "blob content was altered"))
     pos = F.struct("captured_at", "id")
     v = links.withColumn("__p", problem).groupBy("case_id").agg(
         F.count(F.lit(1)).alias("checked"),
-        F.min_by(F.when(F.col("__p").isNotNull(), F.struct("id", "__p")),
+        F.min_by(F.when(F.col("__p").isNotNull(), F.struct("id", "__p", "expected_prev")),
                  F.when(F.col("__p").isNotNull(), pos)).alias("b"),
-        F.max_by("record_hash", pos).alias("chain_head"), F.count_if(missing).alias("blobs_missing"))
+        F.max_by("record_hash", pos).alias("last"), F.count_if(present).alias("blobs_present"), F.count_if(missing).alias("blobs_missing"))
+    lost = F.when(F.col("blobs_missing") > 0, "artifacts referenced by the chain are missing")
     return v.select("case_id", "checked", (F.col("b").isNull() & (F.col("blobs_missing") == 0)).alias("ok"),
-                    F.col("b.id").alias("first_break"), F.col("b.__p").alias("problem"), "chain_head", "blobs_missing")
+                    F.col("b.id").alias("first_break"), F.when(F.col("b").isNotNull(), F.col("b.__p")).otherwise(lost).alias("problem"),
+                    F.when(F.col("b").isNotNull(), F.col("b.expected_prev")).otherwise(F.col("last")).alias("chain_head"), "blobs_present", "blobs_missing")
+
+
+def missing_blobs(evidence: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(case_id, sha256) of every artifact that the records name and the store has not."""
+    return verify_blobs(evidence, blobs).where("blob_state = 'missing'").select("case_id", "sha256").distinct()
 
 
 def verify_blobs(evidence: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -394,10 +394,15 @@ def w03(spark, sf):
 
 
 @query("w03_verify_evidence", "WITH " + _CUSTODY + """
-SELECT case_id, count(*) AS checked, count(*) FILTER (NOT (link_ok AND hash_ok)) = 0 AS ok, min(id) FILTER (NOT (link_ok AND hash_ok)) AS first_break
-FROM cust GROUP BY 1""")
+, v AS (SELECT case_id, count(*) AS checked, min(id) FILTER (NOT (link_ok AND hash_ok)) AS first_break,
+  arg_min(CASE WHEN NOT link_ok THEN 'prev_hash does not match the previous record' ELSE 'record hash mismatch' END, id) FILTER (NOT (link_ok AND hash_ok)) AS problem FROM cust GROUP BY 1)
+SELECT case_id, checked, first_break IS NULL AS ok, first_break, problem,
+       (SELECT max(id) FROM cust c WHERE c.case_id = v.case_id AND (first_break IS NULL OR id < first_break)) AS head_id FROM v""")
 def w03b(spark, sf):
-    return integrity.verify_evidence(custody(spark, sf)).select("case_id", "checked", "ok", "first_break")
+    ev = custody(spark, sf)
+    ids = ev.select(F.col("record_hash").alias("chain_head"), F.col("id").alias("head_id"))
+    return (integrity.verify_evidence(ev).join(ids, "chain_head", "left")
+            .select("case_id", "checked", "ok", "first_break", "problem", "head_id"))
 
 
 @query("w04_verify_blobs", """

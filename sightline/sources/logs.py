@@ -31,9 +31,9 @@ def parse_audit(lines: DataFrame, pos: str = "pos", col: str = "line", lo: int =
 
 
 def read_audit(spark: SparkSession, path: str, lo: int = 0, hi: int = 0) -> DataFrame:
-    """JSON-lines audit files. File order plus offset order within a file give the position."""
+    """JSON-lines audit files. Path order plus offset order within a file give the position."""
     text = spark.read.text(path)
-    lines = text.select(F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+    lines = text.select(F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                                  F.monotonically_increasing_id().alias("i")).alias("pos"), F.col("value").alias("line"))
     return parse_audit(lines, lo=lo, hi=hi)
 

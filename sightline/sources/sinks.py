@@ -47,7 +47,13 @@ def merge_table(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
         return merge.merge_entities(old, new)
     if name == "relations":
         return merge.merge_relations(old, new)
-    return merge.insert_if_absent(old, new, schemas.GRAPH_KEYS[name])
+    order = None
+    if name in ("observations", "findings"):
+        # of two rows with one id the earlier stays, then the one with the smaller content
+        owner, at = ("subject", "observed_at") if name == "observations" else ("entity_id", "created_at")
+        new = new.where((F.col("id") != "") & (F.col(owner) != ""))
+        order = F.struct(at, F.xxhash64(*[c for c, kind in new.dtypes if "map<" not in kind]))
+    return merge.insert_if_absent(old, new, schemas.GRAPH_KEYS[name], order)
 
 
 def save_graph(batch: Mapping[str, DataFrame], directory: str) -> None:

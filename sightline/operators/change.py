@@ -36,7 +36,7 @@ def first_facts(obs: DataFrame, link: DataFrame) -> DataFrame:
             .select("scan_id", "subject", "predicate", "f.object_key", "f.observed_at", "f.id"))
 
 
-def history(obs: DataFrame, n: int = 100) -> DataFrame:
+def history(obs: DataFrame, n: int) -> DataFrame:
     """Newest n observations per subject; the window limit runs before the shuffle."""
     order = Window.partitionBy("subject").orderBy(F.col("observed_at").desc(), F.col("id"))
     return obs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -28,7 +28,7 @@ def neighbours_of(rels: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("neighbour"))
 
 
-def edges_by_type(rels: DataFrame, limit: int = 200) -> DataFrame:
+def edges_by_type(rels: DataFrame, limit: int) -> DataFrame:
     return rels.orderBy("type", "id").limit(limit)
 
 
@@ -52,7 +52,7 @@ def _expand(rels: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def neighbours(rels: DataFrame, seeds: DataFrame, depth: int = 1, limit: int | None = 200,
+def neighbours(rels: DataFrame, seeds: DataFrame, depth: int = 1, limit: int | None = None,
                include_seeds: bool = False) -> DataFrame:
     """k-hop neighbourhood with hop numbers, nearest first; ``limit`` is part of the query."""
     out = _expand(rels, seeds, depth)

@@ -11,7 +11,7 @@ def list_entities(ents: DataFrame, types: list[str] | None = None, min_conf: flo
                   tags: list[str] | None = None, tag_link: DataFrame | None = None,
                   scan: str | None = None, entity_scans: DataFrame | None = None,
                   case: str | None = None, scans: DataFrame | None = None,
-                  limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+                  limit: int | None = None, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """(one-row total, page). Type and confidence filters reach the Parquet scan."""
     q = ents
     if types:
@@ -31,6 +31,7 @@ def list_entities(ents: DataFrame, types: list[str] | None = None, min_conf: flo
     return q.agg(F.count(F.lit(1)).alias("total")), page(q, limit, offset)
 
 
-def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Confidence first, then most recently seen; id settles ties."""
-    return df.orderBy(F.col("confidence").desc(), F.col("last_seen").desc(), F.col("id")).offset(offset).limit(limit)
+def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """Confidence first, then most recently seen; id settles ties. Without a limit, all rows from ``offset`` on."""
+    ordered = df.orderBy(F.col("confidence").desc(), F.col("last_seen").desc(), F.col("id")).offset(offset)
+    return ordered if limit is None else ordered.limit(limit)

@@ -64,3 +64,11 @@ def test_a_large_answer_is_read_whole(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(body))
     assert (tmp_path / "a.json").stat().st_size > 34 << 20
     assert ct.read_ct_a(spark, str(tmp_path)).count() == 34_000
+
+
+def test_orders_are_what_they_say(spark):
+    rows = [("b", "s", "2024-01-02"), ("a", "s", "2024-01-02"), ("c", "r", "2024-01-03"), ("d", "t", "2024-01-01")]
+    obs = spark.createDataFrame(rows, "id string, subject string, observed_at string").repartition(3)
+    assert [r["id"] for r in change.order_observations(obs).collect()] == [i for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0]))]
+    diff = spark.createDataFrame([("b", "x"), ("a", "z"), ("a", "y")], "subject string, field string").repartition(3)
+    assert [tuple(r) for r in change.order_diff(diff).collect()] == [("a", "y"), ("a", "z"), ("b", "x")]

@@ -14,7 +14,7 @@ import numpy as np
 
 from sightline.llm.words import Piece, span_hash
 
-CACHE = 600_000
+CACHE = 1_000_000
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
 
@@ -64,11 +64,12 @@ class Units:
         ends = np.append(starts[1:], n)
         h = span_hash(p.raw, starts, ends)
         uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        if self.n + len(uniq) > CACHE:
-            self.clear()
         keys = uniq.tolist()
         slot = [self.known.get(k, -1) for k in keys]
         new = [i for i, s in enumerate(slot) if s < 0]
+        if self.n and self.n + len(new) > CACHE:
+            self.clear()
+            slot, new = [-1] * len(keys), range(len(keys))
         if new:
             data = p.raw.tobytes()
             first = self.n

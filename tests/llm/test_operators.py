@@ -159,6 +159,35 @@ def test_a_passage_in_many_texts_makes_no_pairs(spark):
     assert sum(shared in r["text"] for r in out) == 1 and len(out) == 120
 
 
+def test_fragments_hide_no_passage(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        exact = prose(rng, 60).split()
+        for part in (exact, exact, exact[:40], exact[20:], exact[8:48], exact[5:]):
+            texts.append(f"{prose(rng, rng.randrange(30, 60))} {' '.join(part)} {prose(rng, rng.randrange(30, 60))}")
+    for _ in range(4):  # clusters of variants around one fragment
+        core = prose(rng, 45)
+        for _ in range(3):
+            around = f"{prose(rng, 30)} {core} {prose(rng, 30)}"
+            texts += [f"{prose(rng, 20)} {around} {prose(rng, 20)}" for _ in range(2)]
+    windows = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            windows.setdefault(tuple(w[j:j + 50]), set()).add((i, j))
+    want = {}
+    for places in windows.values():
+        if len({i for i, _ in places}) > 1:
+            for i, j in places:
+                want.setdefault(i, set()).update(range(j, j + 50))
+    docs = documents(spark, texts).repartition(5)
+    got = {r["doc_id"]: {x for s in r["passages"] for x in range(s["start"], s["start"] + s["n_words"])} for r in compact_windows.repeated_passages(docs).collect()}
+    assert {i: w - got.get(i, set()) for i, w in want.items() if w - got.get(i, set())} == {}
+    out = [r["text"].split() for r in compact_windows.remove_repeats(docs).collect()]
+    assert Counter(tuple(w[j:j + 50]) for w in out for j in range(len(w) - 49)).most_common(1)[0][1] == 1
+
+
 # ------------------------------------------------------------------ 3
 def brute_licenses(text, templates, threshold):
     norm = lambda s: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(s))

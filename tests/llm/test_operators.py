@@ -188,6 +188,16 @@ def test_fragments_hide_no_passage(spark):
     assert Counter(tuple(w[j:j + 50]) for w in out for j in range(len(w) - 49)).most_common(1)[0][1] == 1
 
 
+def test_a_part_of_a_run_is_found():
+    """200 words with a changed word in 48 pass alone; 60 words with a changed word in 8 follow."""
+    a = list(range(260))
+    b = [x + 1000 if (x < 200 and x % 48 == 24) or (x >= 200 and x % 8 == 4) else x for x in a]
+    h = [np.array([hash(tuple(w[i:i + 5])) & (1 << 62) - 1 for i in range(256)], np.uint64) for w in (a, b)]
+    for seed in (30, 90, 150):
+        got = compact_windows.passages_of(*h, np.array([seed << 32 | seed]), 46, 0.8)
+        assert len(got) == 1 and got[0][0] == 0 and got[0][1] >= 190 and got[0][4] >= 0.8
+
+
 # ------------------------------------------------------------------ 3
 def brute_licenses(text, templates, threshold):
     norm = lambda s: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(s))

@@ -210,3 +210,38 @@ def op11_kronecker_negatives(spark: SparkSession, sf: str) -> DataFrame:
     from sightline.llm.hard_negatives import hard_negatives
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+# ---------------------------------------------------------------- 13: spelling variants
+@query("op13_bloom_variants", r"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+     SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || w)) AS x FROM runs GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM each, tab),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n, a.n FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+         UNION SELECT a.word, v.word, v.n, a.n FROM del a JOIN v ON a.d = v.word
+         UNION SELECT v.word, a.word, a.n, v.n FROM del a JOIN v ON a.d = v.word),
+best AS (SELECT word, other AS form, other_n AS form_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near) WHERE r = 1 AND other_n >= 2 * n),
+best2 AS (SELECT word, form FROM best),
+path(word, reached, k) AS (SELECT word, form, 1 FROM best2 UNION ALL SELECT p.word, b.form, p.k + 1 FROM path p JOIN best2 b ON p.reached = b.word),
+root AS (SELECT word, arg_max(reached, k) AS root FROM path GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(c, 0)::BIGINT AS n_near, form_n
+FROM v LEFT JOIN best USING (word) LEFT JOIN root USING (word) LEFT JOIN (SELECT word, count(*) AS c FROM near GROUP BY word) USING (word)
+""")
+def op13_bloom_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- 12: personal data
+@query("op12_boosted_spans")
+def op12_boosted_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from sightline.llm.personal_data import redact
+    out = redact(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")

@@ -21,6 +21,7 @@ CREDIBILITY = {"1": 1.00, "2": 0.85, "3": 0.65, "4": 0.40, "5": 0.15, "6": 0.50}
 UNKNOWN_GRADE_WEIGHT = 0.40 * 0.50
 HALF_LIFE_HOURS = 720
 CONFLICT_PENALTY = 0.25
+WEIGHT_CAP = 0.999
 CONFIDENCE_CAP = 0.999
 UNVERIFIED_CAP = 0.5
 HEURISTIC_METHOD = 0.6

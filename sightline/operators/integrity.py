@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions.keys import rfc3339
-from sightline.operators.skew import ROWS_PER_BUCKET, bucketed_lag, with_bucket
+from sightline.operators import ordered
 
 
 def length_prefixed(*cols: Column) -> Column:
@@ -37,21 +37,21 @@ def audit_hash() -> Column:
                                   F.col("detail_json")).cast("binary"), 256)
 
 
-def evidence_links(evidence: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def evidence_links(evidence: DataFrame, width: float | None = None) -> DataFrame:
     """Every record with link_ok and hash_ok."""
-    e = bucketed_lag(evidence, ["case_id"], ["captured_at", "id"], {"expected_prev": "record_hash"},
-                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, rows_per_bucket)
+    e = ordered.lagged(evidence, ["case_id"], ["captured_at", "id"], {"expected_prev": "record_hash"},
+                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, width)
     return (e.withColumn("link_ok", F.col("prev_hash") == F.col("expected_prev"))
             .withColumn("hash_ok", F.col("record_hash") == evidence_hash()))
 
 
-def verify_evidence(evidence: DataFrame, blobs: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def verify_evidence(evidence: DataFrame, blobs: DataFrame | None = None, width: float | None = None) -> DataFrame:
     """One row per case: checked, ok, first_break (record id), problem, chain_head, blobs_present, blobs_missing.
 
     ``chain_head`` is the hash of the last record before the break, the genesis hash if there is none. The blob counts
     are over all records of the case; :func:`missing_blobs` names the missing ones.
     """
-    links = evidence_links(evidence, rows_per_bucket)
+    links = evidence_links(evidence, width)
     if blobs is not None:
         links = verify_blobs(links, blobs)
         altered, missing, present = (F.col("blob_state") == state for state in ("altered", "missing", "present"))
@@ -85,19 +85,19 @@ def verify_blobs(evidence: DataFrame, blobs: DataFrame) -> DataFrame:
                         .when(F.col("__sha") == F.col("sha256"), "present").otherwise("altered")).drop("__sha")
 
 
-def audit_links(audit: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Global chain order on seq. Rows are cut into seq ranges; each range's first row
-    meets the last hash of the range before through a table with one row per range."""
-    a = bucketed_lag(audit, [], ["seq"], {"expected_prev": "hash"},
-                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, rows_per_bucket)
+def audit_links(audit: DataFrame, width: float | None = None) -> DataFrame:
+    """Global chain order on seq. Rows are dealt by slots of seq; each slot's first row
+    meets the last hash of the slot before through a table with one row per slot."""
+    a = ordered.lagged(audit, [], ["seq"], {"expected_prev": "hash"},
+                     {"expected_prev": F.lit(fixed.GENESIS_HASH)}, width)
     return (a.withColumn("link_ok", F.col("prev_hash") == F.col("expected_prev"))
             .withColumn("hash_ok", F.col("hash") == audit_hash()))
 
 
-def verify_audit(audit: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def verify_audit(audit: DataFrame, width: float | None = None) -> DataFrame:
     """One row: entries, ok, broken_at_seq, reason, head_hash."""
     reason = F.when(~F.col("link_ok"), "prev_hash does not match previous head").when(~F.col("hash_ok"), "hash mismatch")
-    v = audit_links(audit, rows_per_bucket).withColumn("__p", reason).agg(
+    v = audit_links(audit, width).withColumn("__p", reason).agg(
         F.count(F.lit(1)).alias("entries"),
         F.min(F.when(F.col("__p").isNotNull(), F.struct("seq", F.col("__p").alias("reason")))).alias("b"),
         F.max_by("hash", "seq").alias("head"))
@@ -111,18 +111,10 @@ def chain_heads(evidence: DataFrame) -> DataFrame:
         F.max_by("record_hash", F.struct("captured_at", "id")).alias("head"), F.count(F.lit(1)).alias("records"))
 
 
-def record_at(evidence: DataFrame, case_id: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def record_at(evidence: DataFrame, case_id: str, k: int, width: float | None = None) -> DataFrame:
     """Record at zero-based position k of one case.
 
-    The position is found from counts per range of captured_at, then only the range that
+    The position is found from counts per slot of captured_at, then only the slot that
     holds it is ranked.
     """
-    from pyspark.sql import Window
-    rows = with_bucket(evidence.where(F.col("case_id") == case_id), "captured_at", rows_per_bucket)
-    counts = rows.groupBy("case_id", "__b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("case_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    target = (counts.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-              .where((F.col("skip") <= k) & (F.col("skip") + F.col("n") > k)).select("__b", "skip"))
-    inside = Window.partitionBy("__b").orderBy("captured_at", "id")
-    return (rows.join(target, "__b").withColumn("__n", F.row_number().over(inside) - 1 + F.col("skip"))
-            .where(F.col("__n") == k).drop("__b", "skip", "__n"))
+    return ordered.row_at(evidence.where(F.col("case_id") == case_id), ["captured_at", "id"], k, width)

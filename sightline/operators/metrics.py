@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.functions.grades import host_unhealthy
-from sightline.operators.skew import ROWS_PER_BUCKET, bucketed_lag, bucketed_running
+from sightline.operators import ordered
 
 
 def store_stats(graph: Mapping[str, DataFrame]) -> DataFrame:
@@ -78,7 +78,7 @@ def request_metrics(log: DataFrame, by: list[str], rollup: bool = False) -> Data
 
 
 def host_health(log: DataFrame, threshold: int = 5, gap_seconds: int = 60,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                width: float | None = None) -> DataFrame:
     """Runs of consecutive failures per host: start, end, length, whether the run opens the breaker.
 
     A success or more than ``gap_seconds`` since the last failure ends a run. Run numbers
@@ -86,24 +86,24 @@ def host_health(log: DataFrame, threshold: int = 5, gap_seconds: int = 60,
     """
     order = ["ts", "event_id"]
     rows = log.select("host", *order, host_unhealthy(F.col("status")).alias("bad"))
-    rows = bucketed_lag(rows, ["host"], order, {"prev_bad": "bad", "prev_ts": "ts"},
+    rows = ordered.lagged(rows, ["host"], order, {"prev_bad": "bad", "prev_ts": "ts"},
                         {"prev_bad": F.lit(None).cast("boolean"), "prev_ts": F.lit(None).cast("timestamp")},
-                        rows_per_bucket)
+                        width)
     gap = (F.unix_micros("ts") - F.unix_micros("prev_ts")) > gap_seconds * 1_000_000
     starts = F.col("bad") & (~F.coalesce("prev_bad", F.lit(False)) | F.coalesce(gap, F.lit(True)))
-    runs = bucketed_running(rows, ["host"], order, {"run": starts.cast("long")}, rows_per_bucket=rows_per_bucket)
+    runs = ordered.running(rows, ["host"], order, {"run": starts.cast("long")}, width=width)
     return (runs.where("bad").groupBy("host", "run").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("failures"))
         .withColumn("opens", F.col("failures") >= threshold))
 
 
 def rate_violations(log: DataFrame, limit: int, period_seconds: int, keys: list[str] | None = None,
-                    carry: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    carry: list[str] | None = None, width: float | None = None) -> DataFrame:
     """Requests that bring the count of the last period (both ends in) above ``limit``.
 
     Every request is one arrival now and one departure just after the period, so the
-    count in the period is a running sum. It is taken in two levels over balanced time
-    ranges: a busy host, or a burst, is spread over as many tasks as it needs.
+    count in the period is a running sum. It is taken in two levels over slots
+    of time, so a busy host is spread over many tasks.
     """
     keys, carry = keys or ["host"], carry or ["event_id"]
     us = F.unix_micros(F.col("ts"))
@@ -111,6 +111,5 @@ def rate_violations(log: DataFrame, limit: int, period_seconds: int, keys: list[
         F.struct(us.alias("at"), F.lit(1).alias("d")),
         F.struct((us + period_seconds * 1_000_000 + 1).alias("at"), F.lit(-1).alias("d"))))
     moves = log.select(*keys, *carry, "ts", move.alias("m")).select(*keys, *carry, "ts", "m.at", "m.d")
-    run = bucketed_running(moves, keys, ["at"], {"in_period": F.col("d").cast("long")}, peers=True,
-                           rows_per_bucket=rows_per_bucket)
+    run = ordered.running(moves, keys, ["at"], {"in_period": F.col("d").cast("long")}, peers=True, width=(width or ordered.SECONDS) * 1e6)
     return run.where((F.col("d") == 1) & (F.col("in_period") > limit)).select(*keys, *carry, "ts", "in_period")

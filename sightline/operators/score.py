@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,8 +60,8 @@ def method_factor(heuristic: Column, explicit: Column) -> Column:
             .when((explicit > 0) & (explicit <= 1), explicit).otherwise(F.lit(1.0)))
 
 
-def weight(obs: DataFrame, now: Column, cfg: ScoreConfig) -> Column:
-    """Per-observation weight; one definition feeds both the score and its explanation."""
+def grade_weight(obs: DataFrame, cfg: ScoreConfig) -> Column:
+    """The part of an observation's weight that does not age: grades, source weight and method."""
     rel = F.coalesce(_lookup(cfg.reliability, F.col("reliability")).cast("double"), F.lit(0.0))
     cred = F.coalesce(_lookup(cfg.credibility, F.col("credibility")).cast("double"), F.lit(0.0))
     grade = let(rel * cred, lambda g: F.when(g == 0, F.lit(fixed.UNKNOWN_GRADE_WEIGHT)).otherwise(g))
@@ -70,26 +70,36 @@ def weight(obs: DataFrame, now: Column, cfg: ScoreConfig) -> Column:
     cols = obs.columns
     method = method_factor(F.col("heuristic") if "heuristic" in cols else F.lit(False),
                            F.col("method_factor").cast("double") if "method_factor" in cols else F.lit(1.0))
+    return grade * method
+
+
+def weight(obs: DataFrame, now: Column, cfg: ScoreConfig) -> Column:
+    """Per-observation weight; one definition feeds both the score and its explanation."""
     age = (F.unix_micros(now) - F.unix_micros(F.col("observed_at"))) / F.lit(1e6)
     half = F.lit(float((cfg.half_life_hours or fixed.HALF_LIFE_HOURS) * 3600))
     decay = F.when(age <= 0, F.lit(1.0)).otherwise(F.pow(F.lit(0.5), age / half))
-    return F.least(F.greatest(grade * method * decay, F.lit(0.0)), F.lit(0.999))
+    return F.least(F.greatest(grade_weight(obs, cfg) * decay, F.lit(0.0)), F.lit(fixed.WEIGHT_CAP))
 
 
-def _prepared(obs: DataFrame, now, cfg: ScoreConfig) -> DataFrame:
+def prepared(obs: DataFrame, cfg: ScoreConfig, weigh: Callable[[DataFrame, ScoreConfig], Column]) -> DataFrame:
+    """subject, source_text, observed_at, grp, w, artifact, conflict of each observation."""
     from sightline.functions.keys import source_text
-    at = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     if "source_text" not in obs.columns:
         is_struct = dict(obs.dtypes)["source"].startswith("struct")
         obs = obs.withColumn("source_text", source_text(F.col("source")) if is_struct else F.col("source"))
     artifact = F.col("has_artifact") if "has_artifact" in obs.columns else F.size("evidence") > 0
     conflict = F.coalesce(F.col("conflict"), F.lit(False)) if "conflict" in obs.columns else F.lit(False)
     return obs.select("subject", "source_text", "observed_at",
-                      group_of(F.col("source_text"), cfg).alias("grp"), weight(obs, at, cfg).alias("w"),
+                      group_of(F.col("source_text"), cfg).alias("grp"), weigh(obs, cfg).alias("w"),
                       F.coalesce(artifact, F.lit(False)).cast("int").alias("artifact"),
                       conflict.cast("int").alias("conflict"))
 
 
+def _prepared(obs: DataFrame, now, cfg: ScoreConfig) -> DataFrame:
+    at = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    return prepared(obs, cfg, lambda rows, c: weight(rows, at, c))
+
+
 def _per_group(prep: DataFrame) -> DataFrame:
     """One row per (subject, group). The hash aggregate combines before the shuffle,
     so a subject or source holding a third of all rows costs one row per map task."""
@@ -98,7 +108,7 @@ def _per_group(prep: DataFrame) -> DataFrame:
         F.max("artifact").alias("artifact"))
 
 
-def _combine(groups: DataFrame, cfg: ScoreConfig) -> DataFrame:
+def combine_groups(groups: DataFrame, cfg: ScoreConfig) -> DataFrame:
     miss = F.product(F.lit(1.0) - F.col("w"))
     agg = groups.groupBy("subject").agg(
         (F.lit(1.0) - miss).alias("raw"), F.sum("n").alias("n_obs"), F.sum("conflicts").alias("n_conflicts"),
@@ -121,7 +131,7 @@ def final_confidence(raw: Column, conflicts: Column, total: Column, artifact: Co
 def confidence(obs: DataFrame, now, cfg: ScoreConfig | None = None) -> DataFrame:
     """subject, confidence, n_obs, n_conflicts, n_groups, artifact."""
     cfg = cfg or ScoreConfig()
-    return _combine(_per_group(_prepared(obs, now, cfg)), cfg).drop("raw")
+    return combine_groups(_per_group(_prepared(obs, now, cfg)), cfg).drop("raw")
 
 
 def _age_text(seconds: Column) -> Column:
@@ -144,7 +154,7 @@ def explain(obs: DataFrame, now, cfg: ScoreConfig | None = None) -> DataFrame:
         F.max("artifact").alias("artifact"),
         F.max_by(F.struct("source_text", "observed_at"),
                  F.struct("w", "source_text", "observed_at")).alias("top"))
-    total = _combine(best.select("subject", "grp", "w", "n", "conflicts", "artifact"), cfg)
+    total = combine_groups(best.select("subject", "grp", "w", "n", "conflicts", "artifact"), cfg)
     age = (F.unix_micros(at) - F.unix_micros(F.col("top.observed_at"))) / F.lit(1e6)
     group_lines = best.select(
         "subject", F.concat(F.lit("1"), F.col("grp")).alias("line_no"),

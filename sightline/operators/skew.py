@@ -1,118 +1,16 @@
-"""Shapes that keep a hot key from landing in one task.
-
-* :func:`attach` joins a fact table to a table with one row per key.  Keys holding
-  more rows than one task should take are spread over several slots on the fact side
-  and replicated over the same slots on the other side.
-* :func:`bucketed_lag` and :func:`bucketed_running` compute ordered functions in two
-  levels: inside (key, bucket) and then over one summary row per bucket, so the
-  sorted unit is a bucket and never a whole key.
-"""
+"""Joins of many facts to one row per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-ROWS_PER_SLOT = 2_000_000
-
-
-def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Keys with more than one slot's worth of rows, and how many slots they get.
-
-    At most ``rows(facts) / rows_per_slot`` keys qualify; whether that is little enough to be
-    broadcast is left to the measured size.
-    """
-    return (facts.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-            .where(F.col("__rows") > rows_per_slot)
-            .select(*on, F.ceil(F.col("__rows") / rows_per_slot).cast("int").alias("__slots")))
-
-
-def attach(facts: DataFrame, dims: DataFrame, on: Sequence[str] | str, how: str = "left",
-           rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """``facts`` joined to ``dims`` (unique on ``on``) without a hot reduce task.
-
-    ``how`` is left, inner, left_semi or left_anti. NULL keys never match, as in a plain join.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    hot = hot_keys(facts.where(F.col(on[0]).isNotNull()), on, rows_per_slot)
-    # from the row's own content, so a task that runs again deals its rows as before
-    content = F.xxhash64(*[c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind])
-    slot = F.when(F.col("__slots").isNotNull(), F.pmod(content, F.col("__slots")).cast("int")).otherwise(0)
-    left = facts.join(hot, on, "left").withColumn("__slot", slot).drop("__slots")
-    right = (dims.join(hot, on, "left")
-             .withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__slots"), F.lit(1)) - 1)))
-             .drop("__slots"))
-    return left.join(right, [*on, "__slot"], how).drop("__slot")
-
-
-def _order(cols: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in cols]
-
-
-ROWS_PER_BUCKET = 1_000_000
-
-
-def with_bucket(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "__b") -> DataFrame:
-    """Number the ranges of ``col`` so that each holds about ``rows_per_bucket`` rows.
-
-    Cut points are approximate quantiles (one mergeable sketch, one
-    number per bucket on the driver), so a burst gets more buckets instead of one large one.
-    Equal values always share a bucket and buckets follow the order of ``col``.
-    """
-    kind = dict(df.dtypes)[col]
-    number = F.unix_micros(F.col(col)) if kind == "timestamp" else F.col(col)
-    df = df.withColumn("__num", number.cast("double"))
-    n = max(2, -(-df.count() // rows_per_bucket))  # one path for every size
-    cuts = df.approxQuantile("__num", [i / n for i in range(1, n)], 1.0 / (4 * n))
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="__num", outputCol=out, handleInvalid="keep")
-    return cutter.transform(df).drop("__num")
-
-
-def bucketed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
-                 defaults: dict[str, Column] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Previous row's values per key in ``order``; ``values`` maps new name to source column.
-
-    Only the first row of each bucket looks across: it takes the last row of the previous
-    non-empty bucket from a table with one row per (key, bucket). Without keys that table
-    has one row per million input rows, which one task can order.
-    """
-    defaults = defaults or {}
-    cut = with_bucket(df, order[0], rows_per_bucket)
-    inside = Window.partitionBy(*keys, "__b").orderBy(*_order(order))
-    rec = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    d = cut.withColumn("__prev", F.lag(rec).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    tails = cut.groupBy(*keys, "__b").agg(F.max_by(rec, F.struct(*order)).alias("__tail"))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
-    carry = tails.select(*keys, "__b", F.lag("__tail").over(across).alias("__carry"))
-    joined = d.join(carry, [*keys, "__b"], "left")
-    for new in values:
-        prev = F.when(F.col("__first"), F.col("__carry")[new]).otherwise(F.col("__prev")[new])
-        seen = ~F.col("__first") | F.col("__carry").isNotNull()
-        joined = joined.withColumn(new, F.when(seen, prev).otherwise(defaults.get(new, F.lit(None))))
-    return joined.drop("__b", "__prev", "__first", "__carry")
+from pyspark.sql import DataFrame
 
 
-def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
-                     peers: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Inclusive running sums per key, in two levels (see :func:`bucketed_lag`).
+def attach(facts: DataFrame, dims: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """``facts`` joined to ``dims`` (unique on ``on``); NULL keys never match.
 
-    With ``peers`` rows that tie on the (single) order column all see the sum including every tie.
+    A key with a large part of the facts is split at run time by the skew rule of adaptive execution, which reads the sizes the
+    shuffle has written (see ``session.build_session``); nothing is counted beforehand.
     """
-    d = with_bucket(df, order[0], rows_per_bucket)
-    for i, expr in enumerate(sums.values()):
-        d = d.withColumn(f"__v{i}", expr)
-    totals = d.groupBy(*keys, "__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(sums))])
-    before = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*keys, "__b", *[F.sum(f"__t{i}").over(before).alias(f"__c{i}") for i in range(len(sums))])
-    inside = Window.partitionBy(*keys, "__b").orderBy(*_order(order))
-    inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, 0)
-    for i, n in enumerate(sums):
-        d = d.withColumn(n, F.sum(f"__v{i}").over(inside))
-    d = d.join(carry, [*keys, "__b"], "left")
-    for i, n in enumerate(sums):
-        d = d.withColumn(n, F.col(n) + F.coalesce(F.col(f"__c{i}"), F.lit(0)))
-    return d.drop("__b", *[f"__v{i}" for i in range(len(sums))], *[f"__c{i}" for i in range(len(sums))])
+    return facts.join(dims, [on] if isinstance(on, str) else list(on), how)

@@ -431,7 +431,7 @@ SELECT o_orderkey AS id, o_orderpriority AS case_id FROM (SELECT *, row_number()
 WHERE o_orderpriority = '1-URGENT' AND k = 42""")
 def w07(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("case_id"), F.col("o_orderdate").alias("captured_at"))
-    return integrity.record_at(o, "1-URGENT", 42, rows_per_bucket=1000).select("id", "case_id")
+    return integrity.record_at(o, "1-URGENT", 42, width=86400 * 30).select("id", "case_id")
 
 
 def audit_log(spark, sf) -> DataFrame:
@@ -456,12 +456,12 @@ def audit_log(spark, sf) -> DataFrame:
 
 @query("w05_audit_links", "SELECT event_id AS seq, event_id % 8 <> 0 OR event_id = 0 AS link_ok, event_id % 89 <> 0 AS hash_ok FROM events")
 def w05(spark, sf):
-    return integrity.audit_links(audit_log(spark, sf), rows_per_bucket=1500).select("seq", "link_ok", "hash_ok")
+    return integrity.audit_links(audit_log(spark, sf), width=1500).select("seq", "link_ok", "hash_ok")
 
 
 @query("w05_verify_audit", "SELECT count(*) AS entries, FALSE AS ok, CAST(0 AS BIGINT) AS broken_at_seq, 'hash mismatch' AS reason FROM events")
 def w05b(spark, sf):
-    return integrity.verify_audit(audit_log(spark, sf), rows_per_bucket=1500).select("entries", "ok", "broken_at_seq", "reason")
+    return integrity.verify_audit(audit_log(spark, sf), width=1500).select("entries", "ok", "broken_at_seq", "reason")
 
 
 # --- P1, K1, P2, A16 --------------------------------------------------------------------------------------

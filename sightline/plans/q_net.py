@@ -346,14 +346,14 @@ p AS (SELECT host, ts, event_id, status IN (429) OR status >= 500 AS bad, lag(st
 r AS (SELECT *, sum(CASE WHEN bad AND (pb IS NULL OR NOT pb OR epoch_us(ts) - epoch_us(pt) > 3600000000) THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts, event_id) AS run FROM p)
 SELECT host, CAST(run AS BIGINT) AS run, count(*) AS failures, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) >= 3 AS opens FROM r WHERE bad GROUP BY 1, 2""")
 def w09(spark, sf):
-    h = metrics.host_health(views.request_log(spark, sf), 3, 3600, rows_per_bucket=1500)
+    h = metrics.host_health(views.request_log(spark, sf), 3, 3600)
     return h.withColumn("started", F.unix_micros("started")).withColumn("ended", F.unix_micros("ended"))
 
 
 @query("w10_rate_violations", "WITH " + views.REQUEST_LOG + """
 SELECT host, event_id, n AS in_period FROM (SELECT host, event_id, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM request_log) WHERE n > 2""")
 def w10(spark, sf):
-    return metrics.rate_violations(views.request_log(spark, sf), 2, 3600, rows_per_bucket=3000).select("host", "event_id", "in_period")
+    return metrics.rate_violations(views.request_log(spark, sf), 2, 3600).select("host", "event_id", "in_period")
 
 
 @query("a18_scan_summary", "WITH " + views.REQUEST_LOG + """,

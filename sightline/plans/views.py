@@ -20,7 +20,11 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return obs_of(table(spark, sf, "events"))
+
+
+def obs_of(e: DataFrame) -> DataFrame:
+    """Events as observations; also of a stream."""
     v, eid, uid = F.col("value"), F.col("event_id"), F.col("user_id")
     k = F.regexp_extract("props", "(\\d+)", 1).cast("int")
     d = e.select(

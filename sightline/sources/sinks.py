@@ -1,45 +1,22 @@
-"""Graph tables on disk: keyed, merged idempotently, and JSON export of a listing."""
+"""Graph tables on disk: keyed, merged idempotently bucket by bucket, and JSON export of a listing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightline import schemas
 from sightline.operators import merge
+from sightline.sources import buckets
 
 
 def _path(directory: str, name: str) -> str:
     return f"{directory.rstrip('/')}/{name}"
 
 
-def _current(spark: SparkSession, directory: str, name: str) -> str | None:
-    """Folder of the newest complete version of a table, or None."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(_path(directory, name))
-    fs = base.getFileSystem(conf)
-    if not fs.exists(base):
-        return None
-    done = [s.getPath().toString() for s in fs.listStatus(base)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
-
-
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    schema = schemas.GRAPH_TABLES[name]
-    where = _current(spark, directory, name)
-    return spark.createDataFrame([], schema) if where is None else spark.read.schema(schema).parquet(where)
-
-
-def save_table(df: DataFrame, directory: str, name: str) -> None:
-    """Write the next version beside the current one; readers move over once it is complete."""
-    spark = df.sparkSession
-    now = _current(spark, directory, name)
-    n = 0 if now is None else int(now.rsplit("/v", 1)[1].split("-")[0]) + 1
-    df.select(*spark.createDataFrame([], schemas.GRAPH_TABLES[name]).columns).write.parquet(
-        f"{_path(directory, name)}/v{n:010d}-{uuid.uuid4().hex[:8]}")
+    return buckets.read(spark, _path(directory, name), schemas.GRAPH_TABLES[name]).drop("bucket")
 
 
 def merge_table(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -56,11 +33,13 @@ def merge_table(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     return merge.insert_if_absent(old, new, schemas.GRAPH_KEYS[name], order)
 
 
-def save_graph(batch: Mapping[str, DataFrame], directory: str) -> None:
-    """Merge a batch into the nine keyed tables. Saving the same batch again changes nothing."""
+def save_graph(batch: Mapping[str, DataFrame], directory: str, n_buckets: int = buckets.BUCKETS) -> None:
+    """Merge a batch into the nine keyed tables; only buckets of its keys are read and written. Saving a batch again changes nothing."""
     for name, new in batch.items():
-        old = load_table(new.sparkSession, directory, name)
-        save_table(merge_table(name, old, new.select(*old.columns)), directory, name)
+        schema = schemas.GRAPH_TABLES[name]
+        columns = new.sparkSession.createDataFrame([], schema).columns
+        buckets.merge_into(new.select(*columns), _path(directory, name), schema, schemas.GRAPH_KEYS[name],
+                           lambda old, rows, name=name, columns=columns: merge_table(name, old, rows).select(*columns), n_buckets)
 
 
 def export_json(page: DataFrame, total: DataFrame, path: str) -> None:

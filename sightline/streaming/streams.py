@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
-
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightline import fixed
 from sightline.functions import keys
+from sightline.operators import ordered, score_state
 from sightline.operators.integrity import chain_heads, evidence_hash
-from sightline.operators.score import ScoreConfig, confidence
-from sightline.operators.skew import attach, bucketed_lag
-from sightline.sources import sinks
+from sightline.operators.score import ScoreConfig
+from sightline.sources import buckets, sinks
 
 # executors need no copy of the package: state functions travel by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,27 +22,61 @@ def dedupe_stream(sdf: DataFrame, delay: str = "1 hour") -> DataFrame:
     return keys.with_ids(sdf, "observation").withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def upsert_stream(sdf: DataFrame, directory: str, table: str, checkpoint: str):
-    """Merge every micro-batch into a keyed table; a replayed batch changes nothing."""
+def upsert_stream(sdf: DataFrame, directory: str, table: str, checkpoint: str, n_buckets: int = buckets.BUCKETS):
+    """Merge every micro-batch into the touched buckets of a keyed table; a replayed batch changes nothing."""
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sinks.save_graph({table: batch}, directory)
+        sinks.save_graph({table: batch}, directory, n_buckets)
     return sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def score_stream(sdf: DataFrame, history: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None],
-                 now: str, checkpoint: str, cfg: ScoreConfig | None = None):
-    """Re-score the subjects a batch touched from their full history.
+GROUPS = f"{score_state.STATE}, upto long"
+
 
-    ``history(batch)`` returns the stored observations including the batch; only the
-    touched subjects are read from it, by semi-join.
+def apply_scores(batch: DataFrame, n: int, directory: str, horizon, cfg: ScoreConfig | None = None, unique: list[str] | None = None,
+                 n_buckets: int = buckets.BUCKETS) -> None:
+    """Merge one batch of observations into the score state below ``directory``; applying batch ``n`` again changes nothing.
+
+    Only buckets of the batch's subjects are read and written. Every bucket says up to which batch it has been merged, so a batch that
+    failed half-way is completed. With ``unique``, rows whose key an earlier batch (or the batch itself) has brought already are left out.
     """
-    def score(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+    spark, seen_at, state_at = batch.sparkSession, f"{directory}/seen", f"{directory}/state"
+    rows = batch.withColumn("bucket", buckets.bucket_of(["subject"], n_buckets))
+    if unique:
+        rows = rows.dropDuplicates(["bucket", *unique])
+        if buckets.exists(spark, seen_at):
+            kinds = dict(batch.dtypes)
+            schema = ", ".join(f"`{c}` {kinds[c]}" for c in unique)
+            seen = spark.read.schema(f"{schema}, batch long, bucket int").parquet(seen_at).where(F.col("batch") < n)
+            rows = rows.join(seen.where(F.col("bucket").isin(buckets.touched(rows))), ["bucket", *unique], "left_anti")
+    rows = rows.persist()
+    try:
+        if unique:
+            rows.select(*unique, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{seen_at}/batch={n}")
+        own = buckets.touched(rows)
+        if not own:
             return
-        touched = batch.select("subject").distinct()
-        sink(confidence(history(batch).join(touched, "subject", "left_semi"), now, cfg), batch_id)
-    return sdf.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+        old = buckets.read(spark, state_at, GROUPS, own)
+        done = {r.bucket for r in old.where(F.col("upto") >= n).select("bucket").distinct().collect()}  # at most one row per bucket
+        todo = [b for b in own if b not in done]
+        if todo:
+            new = score_state.state_of(rows.where(F.col("bucket").isin(todo)), horizon, cfg)
+            state = score_state.merged(old.where(F.col("bucket").isin(todo)).select(*new.columns), new)
+            buckets.overwrite(state.withColumn("upto", F.lit(n).cast("long")).withColumn("bucket", buckets.bucket_of(["subject"], n_buckets)), state_at)
+    finally:
+        rows.unpersist()
+
+
+def score_stream(sdf: DataFrame, directory: str, horizon, checkpoint: str, cfg: ScoreConfig | None = None, unique: list[str] | None = None,
+                 n_buckets: int = buckets.BUCKETS):
+    """Keep the confidence of every subject up to date from the arriving observations alone; see :func:`scores_at`."""
+    def apply(batch: DataFrame, n: int) -> None:
+        apply_scores(batch, n, directory, horizon, cfg, unique, n_buckets)
+    return sdf.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def scores_at(spark: SparkSession, directory: str, now, cfg: ScoreConfig | None = None) -> DataFrame:
+    """Confidence of every subject at ``now`` (not before the stream's horizon), from the state alone."""
+    return score_state.confidence_at(buckets.read(spark, f"{directory}/state", GROUPS), now, cfg)
 
 
 def rate_stream(sdf: DataFrame, size: str, slide: str | None, limit: int, keys_: list[str] | None = None,
@@ -69,27 +101,40 @@ def budget_stream(sdf: DataFrame, budgets: dict[str, float]) -> DataFrame:
     return run.withColumn("exceeded", over)
 
 
-def chain_stream(sdf: DataFrame, directory: str, checkpoint: str):
-    """Verify custody records as they arrive; the head per case is carried between batches.
+HEADS = "case_id string, head string, before string, upto long"
 
-    Batch n reads the heads batch n-1 left, checks its own records with the two-level
-    lag, and writes breaks/batch=n and heads/batch=n. A replayed batch rewrites the same
-    two folders, so a restart neither loses nor repeats a break.
+
+def verify_chain(batch: DataFrame, n: int, directory: str, n_buckets: int = buckets.BUCKETS) -> None:
+    """Verify one batch of custody records; the head of each case is carried between batches.
+
+    A case's row holds its head and the one before its last batch, so batch ``n`` finds the same start when it is applied again, and
+    rewrites breaks/batch=n. Only buckets of the batch's cases are read and written.
     """
-    def verify(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "case_id string, head string")
-        heads = empty if n == 0 else spark.read.schema("case_id string, head string").parquet(f"{directory}/heads/batch={n - 1}")
-        rows = bucketed_lag(batch, ["case_id"], ["captured_at", "id"], {"prior": "record_hash"},
-                            {"prior": F.lit(None).cast("string")})
-        rows = attach(rows, heads, "case_id")
-        expected = F.coalesce("prior", "head", F.lit(fixed.GENESIS_HASH))
+    spark, heads_at = batch.sparkSession, f"{directory}/heads"
+    batch = batch.withColumn("bucket", buckets.bucket_of(["case_id"], n_buckets)).persist()
+    try:
+        own = buckets.touched(batch)
+        old = buckets.read(spark, heads_at, HEADS, own)
+        start = old.select("case_id", F.when(F.col("upto") == n, F.col("before")).otherwise(F.col("head")).alias("carried"))
+        rows = ordered.lagged(batch, ["case_id"], ["captured_at", "id"], {"prior": "record_hash"})
+        rows = rows.join(start, "case_id", "left")
+        expected = F.coalesce("prior", "carried", F.lit(fixed.GENESIS_HASH))
         problem = F.when(F.col("prev_hash") != expected, "link").when(F.col("record_hash") != evidence_hash(), "content")
         rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("case_id", "id", "problem") \
             .write.mode("overwrite").parquet(f"{directory}/breaks/batch={n}")
-        latest = chain_heads(batch).select("case_id", "head")
-        kept = heads.join(latest.select("case_id"), "case_id", "left_anti")
-        latest.unionByName(kept).write.mode("overwrite").parquet(f"{directory}/heads/batch={n}")
+        if own:
+            latest = chain_heads(batch).select("case_id", "head").join(start, "case_id", "left").select(
+                "case_id", "head", F.col("carried").alias("before"), F.lit(n).cast("long").alias("upto"))
+            kept = old.drop("bucket").join(latest.select("case_id"), "case_id", "left_anti")
+            buckets.overwrite(latest.unionByName(kept).withColumn("bucket", buckets.bucket_of(["case_id"], n_buckets)), heads_at)
+    finally:
+        batch.unpersist()
+
+
+def chain_stream(sdf: DataFrame, directory: str, checkpoint: str, n_buckets: int = buckets.BUCKETS):
+    """Verify custody records as they arrive; a restart neither loses nor repeats a break."""
+    def verify(batch: DataFrame, n: int) -> None:
+        verify_chain(batch, n, directory, n_buckets)
     return sdf.writeStream.foreachBatch(verify).option("checkpointLocation", checkpoint)
 
 

@@ -5,42 +5,41 @@ import random
 
 from pyspark.sql import Window, functions as F
 
-from sightline.operators import metrics, netjoin, skew
+from sightline.operators import metrics, netjoin, ordered, skew
 
 
-def test_attach_splits_a_hot_key_and_keeps_every_row(spark):
+def test_attach_keeps_every_row(spark):
     facts = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
     facts = facts.unionByName(spark.createDataFrame([(9999, None)], "id long, k string"))
     dims = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "k string, v int")
     for how in ("left", "inner", "left_semi", "left_anti"):
         want = sorted(map(str, facts.join(dims, "k", how).select("id", "k").collect()))
-        got = sorted(map(str, skew.attach(facts, dims, "k", how, rows_per_slot=100).select("id", "k").collect()))
+        got = sorted(map(str, skew.attach(facts, dims, "k", how).select("id", "k").collect()))
         assert got == want, how
-    assert skew.hot_keys(facts, ["k"], 100).count() == 1
 
 
-def test_bucketed_lag_equals_plain_lag(spark):
-    rows = spark.range(2000).select((F.col("id") * 37 % 500).alias("t"), "id", (F.col("id") % 3).alias("k"))
+def test_slotted_lag_equals_plain_lag(spark):
+    rows = spark.range(2000).select((F.col("id") * 37 % 500).alias("t"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
     w = Window.partitionBy("k").orderBy("t", "id")
     want = {(r.id, r.p) for r in rows.withColumn("p", F.lag("id").over(w)).collect()}
-    got = {(r.id, r.p) for r in skew.bucketed_lag(rows, ["k"], ["t", "id"], {"p": "id"}, rows_per_bucket=60).collect()}
+    got = {(r.id, r.p) for r in ordered.lagged(rows, ["k"], ["t", "id"], {"p": "id"}, width=15).collect()}
     assert got == want
 
 
-def test_bucketed_running_equals_plain_running_sum(spark):
-    rows = spark.range(2000).select((F.col("id") * 37 % 500).alias("t"), "id", (F.col("id") % 3).alias("k"))
+def test_slotted_running_equals_plain_running_sum(spark):
+    rows = spark.range(2000).select((F.col("id") * 37 % 500).alias("t"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     peers = Window.partitionBy("k").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     for w, order, p in ((plain, ["t", "id"], False), (peers, ["t"], True)):
         want = {(r.id, r.s) for r in rows.withColumn("s", F.sum("id").over(w)).collect()}
-        got = {(r.id, r.s) for r in skew.bucketed_running(rows, ["k"], order, {"s": F.col("id")}, p, rows_per_bucket=60).collect()}
+        got = {(r.id, r.s) for r in ordered.running(rows, ["k"], order, {"s": F.col("id")}, p, width=15).collect()}
         assert got == want
 
 
 def test_rate_violations_in_a_burst(spark):
     rows = [("h", i, 1_700_000_000 + (i // 50)) for i in range(500)] + [("g", 1000 + i, 1_700_000_000 + 100 * i) for i in range(20)]
     log = spark.createDataFrame(rows, "host string, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r.event_id: r.in_period for r in metrics.rate_violations(log, 3, 5, rows_per_bucket=40).collect()}
+    got = {r.event_id: r.in_period for r in metrics.rate_violations(log, 3, 5, width=4).collect()}
     want = {}
     for host, eid, s in rows:
         n = sum(1 for h2, _, s2 in rows if h2 == host and s - 5 <= s2 <= s)

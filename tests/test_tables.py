@@ -62,12 +62,12 @@ def audit_rows(n):
 
 def test_audit_chain_tampering(spark):
     rows = audit_rows(40)
-    ok = integrity.verify_audit(spark.createDataFrame(rows, schemas.AUDIT), rows_per_bucket=7).first()
+    ok = integrity.verify_audit(spark.createDataFrame(rows, schemas.AUDIT), width=7).first()
     assert ok.ok and ok.entries == 40 and ok.head_hash == rows[-1][7]
     edited = [r[:5] + ('{"i":99}',) + r[6:] if r[0] == 21 else r for r in rows]
-    assert integrity.verify_audit(spark.createDataFrame(edited, schemas.AUDIT), rows_per_bucket=7).first().broken_at_seq == 21
+    assert integrity.verify_audit(spark.createDataFrame(edited, schemas.AUDIT), width=7).first().broken_at_seq == 21
     deleted = [r for r in rows if r[0] != 14]
-    bad = integrity.verify_audit(spark.createDataFrame(deleted, schemas.AUDIT), rows_per_bucket=7).first()
+    bad = integrity.verify_audit(spark.createDataFrame(deleted, schemas.AUDIT), width=7).first()
     assert (bad.ok, bad.broken_at_seq, bad.reason) == (False, 15, "prev_hash does not match previous head")
     assert integrity.verify_audit(spark.createDataFrame([], schemas.AUDIT)).first().head_hash == "0" * 64
 

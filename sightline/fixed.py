@@ -203,19 +203,3 @@ LOW_FACTS = ["exists", "attr", "http_status"]
 
 # --- retention, hours and days -------------------------------------------------
 RETENTION_DAYS = {"evidence": 365, "observations": 730, "audit": 2555, "high": 90}
-
-# --- public suffixes: a working subset; callers pass their own full list --------
-PUBLIC_SUFFIXES = [
-    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "dev", "app",
-    "ai", "me", "tv", "eu", "de", "fr", "nl", "it", "es", "pl", "se", "no", "fi", "dk", "ch",
-    "at", "be", "cz", "ru", "us", "ca", "mx", "br", "com.br", "net.br", "org.br", "ar",
-    "com.ar", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk",
-    "ie", "au", "com.au", "net.au", "org.au", "edu.au", "gov.au", "nz", "co.nz", "net.nz",
-    "org.nz", "govt.nz", "jp", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "kr", "co.kr",
-    "or.kr", "cn", "com.cn", "net.cn", "org.cn", "gov.cn", "tw", "com.tw", "org.tw", "hk",
-    "com.hk", "sg", "com.sg", "my", "com.my", "id", "co.id", "or.id", "go.id", "ac.id", "web.id",
-    "in", "co.in", "net.in", "org.in", "gov.in", "ac.in", "za", "co.za", "org.za", "tr",
-    "com.tr", "ua", "com.ua", "il", "co.il", "arpa", "in-addr.arpa", "ip6.arpa",
-    "github.io", "gitlab.io", "pages.dev", "workers.dev", "herokuapp.com", "blogspot.com",
-    "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp",
-]

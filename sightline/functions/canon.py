@@ -119,12 +119,18 @@ def host_name(host: Column, literal: Column | None = None) -> Column:
     return F.when(literal.isNotNull(), literal).when(~host.startswith("[") & _valid_host(host), host)
 
 
+_PLAIN_NAME = "^(?:[A-Za-z0-9_-]++\\.)*+(?=[A-Za-z0-9_-]*[A-Za-z_-])[A-Za-z0-9_-]++\\.?$"
+
+
 def domain(v: Column, aids: Aids | None = None) -> Column:
     if aids is not None:
         return host_name(aids.host, aids.ip)
+    # a plain name, whose last label is no number, needs no parsing
+    plain = F.regexp_replace(F.lower(v), "\\.$", "")
     text = strip_url_parts(v)
     host = F.when(text.startswith("["), text).otherwise(bare_host(v))
-    return let(host, lambda h: let(ip(h), lambda a: host_name(F.when(~h.rlike(NON_ASCII), F.lower(h)), a)))
+    parsed = let(host, lambda h: let(ip(h), lambda a: host_name(F.when(~h.rlike(NON_ASCII), F.lower(h)), a)))
+    return F.when(v.rlike(_PLAIN_NAME), F.when(F.octet_length(plain) <= 253, plain)).otherwise(parsed)
 
 
 _V4_CIDR = net.V4[:-1] + "/(3[0-2]|[12]?[0-9])$"

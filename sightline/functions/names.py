@@ -13,11 +13,11 @@ from sightline.functions.bind import let, trim_ws, whole_number
 # --- F1, F2: public suffixes -----------------------------------------------------
 
 
-def suffix_length(name: Column, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> Column:
+def suffix_length(name: Column, rules: Sequence[str]) -> Column:
     """Number of labels in the public suffix of ``name``.
 
-    The rule list is configuration; it sits in the expression as a hash set, so no
-    join and no shuffle is needed however many names there are.
+    For a short list of rules, which sits in the expression as a hash set; a full list is a
+    table, see :mod:`sightline.operators.suffix`.
     """
     plain = [r for r in rules if not r.startswith(("*.", "!"))]
     wild = [r[2:] for r in rules if r.startswith("*.")]
@@ -61,30 +61,16 @@ def _split(name: Column, rules: Sequence[str]) -> Column:
     return let(_host(name), of)
 
 
-def registrable(name: Column, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> Column:
+def registrable(name: Column, rules: Sequence[str]) -> Column:
     """Suffix plus one label; NULL for a bare suffix, a single label or an address."""
     return _split(name, rules).getField("registrable")
 
 
-def public_suffix(name: Column, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> Column:
+def public_suffix(name: Column, rules: Sequence[str]) -> Column:
     return _split(name, rules).getField("suffix")
 
 
-def host_class(name: Column, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> Column:
-    return F.when(registrable(name, rules) == F.lower(name), "domain").otherwise("subdomain")
-
-
-def with_registrable(df: DataFrame, col: str, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> DataFrame:
-    name = F.col(col)
-    return (df.withColumn("__reg", _split(name, rules))
-            .withColumn("registrable", F.coalesce(F.col("__reg.registrable"), _host(name)))
-            .withColumn("suffix", F.coalesce(F.col("__reg.suffix"), F.lit("")))
-            .withColumn("host_class", F.when(F.col("__reg.registrable") == F.lower(name), "domain")
-                        .otherwise("subdomain"))
-            .drop("__reg"))
-
-
-def in_domain(col: Column, root: Column | str, rules: Sequence[str] = fixed.PUBLIC_SUFFIXES) -> Column:
+def in_domain(col: Column, root: Column | str, rules: Sequence[str]) -> Column:
     """Same registrable domain as ``root``, or below it, at a label boundary."""
     root_col = F.lit(root) if isinstance(root, str) else root
     return let(F.coalesce(registrable(col, rules), _host(col)),

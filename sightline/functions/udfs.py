@@ -7,6 +7,7 @@ batch of ordinary rows costs one vectorised null test.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 
@@ -33,22 +34,18 @@ def _nfc(values: pd.Series) -> pd.Series:
     return _each(values, lambda v: unicodedata.normalize("NFC", v))
 
 
+#: Kept as they are by non-transitional processing: sharp s, final sigma, the two joiners.
+_DEVIATIONS = "\u00df\u03c2\u200c\u200d"
+
+
 def _ascii_name(name: str) -> str | None:
+    """ASCII form of a host name: compatibility fold, dots made plain, Punycode. Uses the standard library alone, so all workers agree."""
+    fold = lambda t: unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    mapped = "".join(part if part in _DEVIATIONS else fold(part) for part in re.split(f"([{_DEVIATIONS}])", name) if part)
+    mapped = unicodedata.normalize("NFC", mapped)
+    labels = re.split("[.\u3002]", mapped)
     try:
-        import idna
-        mapped = idna.uts46_remap(name, std3_rules=False, transitional=False)
-    except ImportError:  # stdlib fallback: compatibility fold instead of the mapping table
-        mapped = unicodedata.normalize("NFKC", name).casefold()
-    except Exception:
-        return None
-    try:
-        labels = []
-        for label in mapped.replace("。", ".").split("."):
-            if label.isascii():
-                labels.append(label.lower())
-            else:
-                labels.append("xn--" + label.encode("punycode").decode("ascii"))
-        return ".".join(labels)
+        return ".".join(x.lower() if x.isascii() else "xn--" + x.encode("punycode").decode("ascii") for x in labels)
     except UnicodeError:
         return None
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline import fixed
 from sightline.functions import grades, names
 from sightline.operators.canonicalise import with_host
+from sightline.operators.suffix import with_registrable
 
 
 def host_history(captures: DataFrame, domain: str) -> DataFrame:
@@ -20,12 +21,12 @@ def host_history(captures: DataFrame, domain: str) -> DataFrame:
                                     F.count(F.lit(1)).alias("captures"))
 
 
-def all_host_history(captures: DataFrame) -> DataFrame:
+def all_host_history(captures: DataFrame, suffixes: DataFrame) -> DataFrame:
     """The same for every registrable domain at once."""
     ok = with_host(captures.where(grades.capture_ok(F.col("status"))), "original").where(F.col("host").isNotNull())
     per_host = ok.groupBy("host").agg(F.min("stamp").alias("first_seen"), F.max("stamp").alias("last_seen"),
                                       F.count(F.lit(1)).alias("captures"))
-    return names.with_registrable(per_host, "host")
+    return with_registrable(per_host, "host", suffixes)
 
 
 def ct_names(certs: DataFrame, domain: str) -> DataFrame:

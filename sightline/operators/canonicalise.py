@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions import canon, keys
-from sightline.functions.bind import fenced, let
+from sightline.functions.bind import fenced
+from sightline.operators.skew import attach
 
 
 def canonicalise(df: DataFrame, type_col: str = "type", value_col: str = "value",
@@ -57,21 +58,28 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             df.where(F.col("canonical").isNull()).drop("canonical", "entity_id"))
 
 
-def infer_type(df: DataFrame, col: str) -> DataFrame:
+def _host_like(v: Column) -> Column:
+    return F.when(v.rlike("^[A-Za-z0-9.-]+$"), canon.domain(v))
+
+
+#: (type, pattern a value needs for it, canonical form), in the order in which they are tried.
+_TRIED = (("ip", "[.:]", canon.ip), ("asn", "^(?i)as[0-9]", canon.asn), ("cidr", "/", canon.cidr), ("wallet", "^[^:]+:|^[0-9A-Za-z]{8,128}$", canon.wallet),
+          ("cve", "^(?i)cve-", canon.cve), ("email", "@", canon.email), ("phone", "(?:\\p{Nd}\\P{Nd}*){7}", canon.phone), ("host", "[.]", _host_like))
+
+
+def infer_type(df: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:
     """Type an untyped value: ip, asn, cidr, wallet, cve, email, phone, then host name.
 
-    Host names are split into apex and subdomain by the public-suffix rules.
+    A cheap pattern stands before each form, and type and form are one text, so a value pays for its own branch alone. Host names are
+    split into apex and subdomain by the public-suffix rules of ``suffixes`` (see :mod:`sightline.operators.suffix`).
     """
-    from sightline.functions import names
-    df = df.withColumn("__v", F.regexp_replace(F.col(col), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", ""))
+    from sightline.operators.suffix import with_registrable
     v = F.col("__v")
-    host = F.when(v.contains(".") & v.rlike("^[A-Za-z0-9.-]+$"), canon.domain(v))
-    tried = [("ip", canon.ip(v)), ("asn", canon.asn(v)), ("cidr", canon.cidr(v)),
-             ("wallet", canon.wallet(v)), ("cve", canon.cve(v)), ("email", canon.email(v)),
-             ("phone", canon.phone(v))]
-    named = [let(c, lambda x, t=t: F.when(x.isNotNull(), F.struct(F.lit(t).alias("t"), x.alias("c")))) for t, c in tried]
-    named.append(let(host, lambda h: F.when(h.isNotNull(), F.struct(names.host_class(h).alias("t"), h.alias("c")))))
-    return (df.withColumn("__pick", fenced(F.when(v != "", F.coalesce(*named))))
-            .withColumn("inferred_type", F.col("__pick.t"))
-            .withColumn("canonical", F.col("__pick.c"))
-            .drop("__pick", "__v"))
+    df = df.withColumn("__v", fenced(F.regexp_replace(F.col(col), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")))
+    picked = F.coalesce(*[F.when(v.rlike(shape), F.concat(F.lit(f"{name}\x01"), form(v))) for name, shape, form in _TRIED])
+    df = df.withColumn("__pick", fenced(F.when(v != "", picked)))
+    df = df.withColumns({"__t": F.substring_index("__pick", "\x01", 1), "__c": F.expr("substr(__pick, instr(__pick, '\x01') + 1)")})
+    df = df.withColumn("__h", F.when(F.col("__t") == "host", F.col("__c")))
+    hosts = with_registrable(df.select("__h").where("__h IS NOT NULL").distinct(), "__h", suffixes).select("__h", F.col("host_class").alias("__class"))
+    return (attach(df, hosts, "__h").withColumn("inferred_type", F.when(F.col("__t") == "host", F.col("__class")).otherwise(F.col("__t")))
+            .withColumn("canonical", F.col("__c")).drop("__v", "__c", "__t", "__h", "__class", "__pick"))

@@ -9,6 +9,7 @@ from sightline.functions import canon, keys, names, net
 from sightline.functions.grades import capture_ok
 from sightline.functions.udfs import stable_json
 from sightline.operators import canonicalise as cz
+from sightline.operators.suffix import suffix_rules, with_in_domain, with_registrable
 from sightline.plans import views
 from sightline.plans.catalog import query, table
 
@@ -214,7 +215,7 @@ def c22(spark, sf):
     v = (F.when(n == 1, F.concat("addr", F.lit(":8080"))).when(n == 2, F.concat(F.lit(" as"), ok)).when(n == 3, F.concat("addr", F.lit("/24")))
          .when(n == 4, "CVE-2021-44228").when(n == 5, F.concat(F.lit("u"), ok, F.lit("@mail.example.com")))
          .when(n == 6, F.concat(F.lit("h"), ok, F.lit(".shop.example.co.uk"))).otherwise(F.concat(F.lit("Shop"), F.lit("-x.co.uk"))))
-    return cz.infer_type(a.withColumn("v", v), "v").select(
+    return cz.infer_type(a.withColumn("v", v), "v", suffix_rules(views.suffix_list(spark, sf))).select(
         "l_orderkey", "l_linenumber", "addr", F.when((n == 2) & (F.col("l_orderkey") == 0), None).otherwise(F.col("inferred_type")).alias("inferred_type"))
 
 
@@ -294,21 +295,46 @@ def c00(spark, sf):
 # --- F* -------------------------------------------------------------------------------------------
 
 
-@query("f01_registrable", f"""
-SELECT page_id, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '.uk' END AS registrable,
-       regexp_extract(host, '([^.]+)$', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '.uk' END AS suffix,
-       CASE WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) = host THEN 'domain' ELSE 'subdomain' END AS host_class
-FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_HOST} ELSE regexp_replace({_HOST}, '\\.[a-z]+$', '.co') END AS host FROM pages)""")
+_NAMES_SQL = "WITH " + views.SUFFIX_RULES + """,
+n AS (SELECT c_custkey, (CASE WHEN c_custkey % 9 < 5 THEN 'a' || (c_custkey % 50) || '.' WHEN c_custkey % 9 = 5 THEN 'x.y.' ELSE '' END)
+        || (CASE c_custkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'city.' ELSE 'foo' || (c_custkey % 40) || '.' END)
+        || (CASE c_custkey % 8 WHEN 0 THEN 'com.co' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'w.' || c WHEN 3 THEN 'com.' || c WHEN 4 THEN c WHEN 5 THEN 'unlisted' WHEN 6 THEN 'com' ELSE 'w.' || c END) AS host
+      FROM customer JOIN (SELECT n_nationkey, lower(substr(n_name, 1, 2)) || n_nationkey AS c FROM nation) ON n_nationkey = c_nationkey),
+l AS (SELECT DISTINCT host, string_split(host, '.') AS w FROM n),
+s AS (SELECT host, len(w) AS n, unnest(range(0, len(w))) AS depth, w FROM l),
+m AS (SELECT host, n, CASE kind WHEN 2 THEN n - depth - 1 WHEN 0 THEN n - depth WHEN 1 THEN CASE WHEN depth > 0 THEN n - depth + 1 END END AS k, kind = 2 AS spared
+      FROM s JOIN rules ON rules.suffix = array_to_string(w[depth + 1:], '.')),
+b AS (SELECT l.host, len(w) AS n, w, coalesce(max(k) FILTER (spared), max(k), 1) AS k FROM l LEFT JOIN m ON m.host = l.host GROUP BY l.host, w),
+r AS (SELECT host, CASE WHEN n > k THEN array_to_string(w[CAST(n - k AS INTEGER):], '.') END AS reg, CASE WHEN n > k THEN array_to_string(w[CAST(n - k + 1 AS INTEGER):], '.') END AS suffix FROM b)
+"""
+
+
+def _suffix_names(spark, sf) -> DataFrame:
+    """Customers with a host below suffixes of every kind."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lower(F.substring("n_name", 1, 2)), F.col("n_nationkey")).alias("cc")), "c_nationkey")
+    k = F.col("c_custkey")
+    head = F.when(k % 9 < 5, F.concat(F.lit("a"), k % 50, F.lit("."))).when(k % 9 == 5, "x.y.").otherwise("")
+    body = F.when(k % 11 == 0, "").when(k % 11 == 1, "city.").otherwise(F.concat(F.lit("foo"), k % 40, F.lit(".")))
+    w = F.concat(F.lit("w."), F.col("cc"))
+    tail = (F.when(k % 8 == 0, "com.co").when(k % 8 == 1, "co.uk").when(k % 8 == 2, w).when(k % 8 == 3, F.concat(F.lit("com."), F.col("cc")))
+            .when(k % 8 == 4, F.col("cc")).when(k % 8 == 5, "unlisted").when(k % 8 == 6, "com").otherwise(w))
+    return c.select("c_custkey", F.concat(head, body, tail).alias("host"))
+
+
+@query("f01_registrable", _NAMES_SQL + """
+SELECT c_custkey, coalesce(reg, n.host) AS registrable, coalesce(suffix, '') AS suffix, CASE WHEN reg = n.host THEN 'domain' ELSE 'subdomain' END AS host_class
+FROM n JOIN r ON r.host = n.host""")
 def f01(spark, sf):
-    h = views.hosts(spark, sf)
-    name = F.when(F.col("page_id") % 2 == 0, F.col("host")).otherwise(F.regexp_replace("host", "\\.[a-z]+$", ".co.uk"))
-    return names.with_registrable(h.withColumn("name", name), "name").select("page_id", "registrable", "suffix", "host_class")
+    rules = suffix_rules(views.suffix_list(spark, sf))
+    return with_registrable(_suffix_names(spark, sf), "host", rules).select("c_custkey", "registrable", "suffix", "host_class")
 
 
-@query("f02_in_domain", f"""
-SELECT page_id, {_HOST} = 'example.com' OR {_HOST} LIKE '%.example.com' AS inside FROM pages""")
+@query("f02_in_domain", _NAMES_SQL + """
+SELECT c_custkey, coalesce(reg, n.host) = 'foo8.com.co' OR coalesce(reg, n.host) LIKE '%.foo8.com.co' AS inside FROM n JOIN r ON r.host = n.host""")
 def f02(spark, sf):
-    return views.hosts(spark, sf).select("page_id", names.in_domain(F.col("host"), "www.example.com").alias("inside"))
+    rules = suffix_rules(views.suffix_list(spark, sf))
+    return with_in_domain(_suffix_names(spark, sf), "host", "www.foo8.com.co", rules).select("c_custkey", "inside")
 
 
 @query("f03_names_under", f"""

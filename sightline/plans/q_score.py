@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import aggregate, consensus, metrics, score
+from sightline.operators.suffix import suffix_rules
 from sightline.plans import views
 from sightline.plans.catalog import query, table
 
@@ -190,7 +191,7 @@ SELECT host, min(stamp) AS first_seen, max(stamp) AS last_seen, count(*) AS capt
        regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS registrable FROM captures
 WHERE (status BETWEEN 200 AND 399 OR status = 403) GROUP BY 1""")
 def a11b(spark, sf):
-    return aggregate.all_host_history(views.captures(spark, sf)).select("host", "first_seen", "last_seen", "captures", "registrable")
+    return aggregate.all_host_history(views.captures(spark, sf), suffix_rules(views.suffix_list(spark, sf))).select("host", "first_seen", "last_seen", "captures", "registrable")
 
 
 _CERTS = """

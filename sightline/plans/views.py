@@ -82,6 +82,23 @@ conf AS (
   FROM (SELECT *, raw * (1 - 0.25 * least(1.0, n_conflicts / n_obs)) AS pen FROM scored))"""
 
 
+def suffix_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule lines in the public list's format, made from ``nation``: country-like endings, second-level ones, wildcards and exceptions."""
+    n = table(spark, sf, "nation")
+    cc = F.concat(F.lower(F.substring("n_name", 1, 2)), F.col("n_nationkey").cast("string"))
+    lines = n.select(F.explode(F.array(
+        F.concat(F.lit("// "), F.col("n_name")), F.lit(""), cc, F.concat(F.lit("com."), cc), F.concat(F.lit("*.w."), cc, F.lit("  // wildcard")),
+        F.concat(F.lit("!city.w."), cc), F.lit("com"), F.lit("net"), F.lit("org"), F.lit("co"), F.lit("com.co"), F.lit("uk"), F.lit("co.uk"))).alias("value"))
+    return lines
+
+
+SUFFIX_RULES = """
+cc AS (SELECT lower(substr(n_name, 1, 2)) || n_nationkey AS c FROM nation),
+rules(suffix, kind) AS (
+  SELECT c, 0 FROM cc UNION ALL SELECT 'com.' || c, 0 FROM cc UNION ALL SELECT 'w.' || c, 1 FROM cc UNION ALL SELECT 'city.w.' || c, 2 FROM cc
+  UNION ALL SELECT unnest(['com', 'net', 'org', 'co', 'com.co', 'uk', 'co.uk']), 0)"""
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     pid = F.col("page_id")

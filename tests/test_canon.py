@@ -6,8 +6,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.functions import keys, names, net
+from sightline import fixed
+from sightline.functions import keys, names, net, udfs
 from sightline.functions.udfs import keccak256
+from sightline.operators import suffix
 from sightline.operators.canonicalise import canonicalise, infer_type, split_quarantine
 
 PAIRS = [
@@ -49,7 +51,8 @@ def test_canonical_forms_ids_and_quarantine(spark):
 def test_type_inference(spark):
     cases = [("1.2.3.4", "ip"), ("AS5", "asn"), ("10.0.0.0/8", "cidr"), ("btc:xyz12345", "wallet"), ("CVE-2020-1234", "cve"),
              ("a@b.com", "email"), ("+62812345-6789", "phone"), ("www.example.co.uk", "subdomain"), ("example.co.uk", "domain"), ("foo bar", None)]
-    got = {r.v: r.inferred_type for r in infer_type(spark.createDataFrame([(a,) for a, _ in cases], "v string"), "v").collect()}
+    got = {r.v: r.inferred_type for r in infer_type(spark.createDataFrame([(a,) for a, _ in cases], "v string"), "v",
+                                                     suffix.suffix_rules(spark.createDataFrame([("com",), ("co.uk",)], "value string"))).collect()}
     assert got == dict(cases)
 
 
@@ -65,14 +68,49 @@ def test_double_text(spark, x, text):
     assert spark.createDataFrame([(x,)], "x double").select(keys.double_text(F.col("x")).alias("t")).first().t == text
 
 
+RULES = """// a comment
+com
+co
+com.co  // two rules meet
+co.uk
+uk
+
+*.ck
+!www.ck
+*.w.example
+!a.b.w.example
+b\u00fccher
+"""
+
+
 def test_public_suffix_rules(spark):
-    rows = [("a.b.example.co.uk", "example.co.uk"), ("co.uk", None), ("localhost", None), ("10.0.0.1", None), ("x.foo.ck", "x.foo.ck"), ("foo.ck", None),
-            ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("a.b.unknown", "b.unknown"), ("Example.COM.", "example.com")]
-    df = spark.createDataFrame([(a,) for a, _ in rows], "n string").select("n", names.registrable(F.col("n")).alias("r"))
-    assert {r.n: r.r for r in df.collect()} == dict(rows)
+    rows = [("a.b.example.co.uk", "example.co.uk"), ("co.uk", None), ("localhost", None), ("10.0.0.1", None), ("x.foo.ck", "x.foo.ck"), ("foo.ck", None), ("ck", None),
+            ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("a.b.unknown", "b.unknown"), ("Example.COM.", "example.com"), ("a.foo.com.co", "foo.com.co"), ("com.co", None),
+            ("w.example", "w.example"), ("v.w.example", None), ("u.v.w.example", "u.v.w.example"), ("x.a.b.w.example", "a.b.w.example"), ("n.xn--bcher-kva", "n.xn--bcher-kva"),
+            ("", None), (None, None), ("2001:db8::1", None)]
+    rules = suffix.suffix_rules(spark.createDataFrame([(x,) for x in RULES.split("\n")], "value string"))
+    df = spark.createDataFrame([(a, i) for i, (a, _) in enumerate(rows)], "n string, suffix int")
+    got = suffix.with_registrable(df.drop("suffix").withColumn("i", F.lit(1)), "n", rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = dict(rows)[r.n]
+        assert r.registrable == (want or (r.n.lower().rstrip(".") if r.n else r.n)) and (r.suffix == "") == (want is None), r
+    short = [x.split()[0] for x in RULES.split("\n") if x and not x.startswith("//") and x.isascii()]
+    names_only = spark.createDataFrame([(a,) for a, _ in rows[:17]], "n string").select("n", names.registrable(F.col("n"), short).alias("r"))
+    assert {r.n: r.r for r in names_only.collect()} == dict(rows[:17])
     probe = spark.createDataFrame([("notexample.com",), ("example.com.evil.com",), ("a.example.com",), ("example.com",)], "n string")
-    inside = {r.n: r.i for r in probe.select("n", names.in_domain(F.col("n"), "example.com").alias("i")).collect()}
+    inside = {r.n: r.inside for r in suffix.with_in_domain(probe, "n", "example.com", rules).collect()}
     assert inside == {"notexample.com": False, "example.com.evil.com": False, "a.example.com": True, "example.com": True}
+    assert suffix.registrable_names(probe.withColumnRenamed("n", "host"), rules.limit(0)).count() == 4
+
+
+def test_no_list_of_suffixes_is_built_in():
+    assert not hasattr(fixed, "PUBLIC_SUFFIXES")
+
+
+def test_names_become_ascii_the_same_way_everywhere():
+    assert udfs._ascii_name("B\u00dcCHER.Example") == "xn--bcher-kva.example"
+    assert udfs._ascii_name("fa\u00df.example") == "xn--fa-hia.example" and udfs._ascii_name("\uff41\u3002example") == "a.example"
 
 
 def test_ptr_names(spark):
@@ -81,6 +119,6 @@ def test_ptr_names(spark):
 
 
 def test_masked_addresses_are_refused(spark):
-    vals = ["a***b@example.com", "XXXXX@privacy.example", "real@example.com", "mail: a@b.com", "a@b.com c@d.com", "data redacted"]
+    vals = ["q#**hidden@example.org", "xxxx@shield.example", "real@example.com", "mail: a@b.com", "a@b.com c@d.com", "data redacted"]
     got = [r.e for r in spark.createDataFrame([(v,) for v in vals], "v string").select(names.extract_email(F.col("v")).alias("e")).collect()]
     assert got == [None, None, "real@example.com", None, None, None]

@@ -106,6 +106,15 @@ def mask_key(k: Column, n: Column) -> Column:
     return F.rpad(F.concat(F.substring(k, F.lit(1), whole), part), F.length(k), F.lit("0"))
 
 
+def fill_key(k: Column, n: Column) -> Column:
+    """The last key under the first ``n`` bits of ``k``: the rest set to one. Pass plain columns."""
+    whole = F.floor(n / 4).cast("int")
+    nibble = F.conv(F.substring(k, whole + 1, F.lit(1)), 16, 10).cast("int")
+    ones = F.when(n % 4 == 1, 7).when(n % 4 == 2, 3).when(n % 4 == 3, 1).otherwise(0)
+    part = F.when(n % 4 > 0, F.lower(F.hex(nibble.bitwiseOR(ones).cast("long")))).otherwise("")
+    return F.rpad(F.concat(F.substring(k, F.lit(1), whole), part), F.length(k), F.lit("f"))
+
+
 def halves(key: Column) -> Column:
     """Hex key as struct(hi, lo) of signed 64-bit integers; v4 sits in ``lo``. Pass a plain column."""
     four = F.length(key) == 8

@@ -127,24 +127,31 @@ def cap_names(df: DataFrame, keys: list[str], n: int, name: str = "name") -> Dat
     return top.join(counts, keys).withColumn("truncated", F.col("found") > n)
 
 
-def merge_entity_batch(ents: DataFrame) -> DataFrame:
-    """Merge rows of one id inside a batch: tags united, first display, seen bounds, attrs united.
+def entity_parts(ents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch of entity rows as (one row per id, distinct (id, tag) rows, distinct (id, k, value, o) supports).
 
-    Tags and attribute keys are made distinct before they are gathered, so a popular
-    entity contributes one row per different tag.
+    Tags and supports stay rows, made distinct on the map side; a popular entity never becomes one long list.
     """
     base = ents.groupBy("id").agg(
         F.min_by("type", "first_seen").alias("type"), F.min_by("value", "first_seen").alias("value"),
         F.min_by("display", F.struct(F.col("display") == "", F.col("first_seen"), F.col("display"))).alias("display"),
         F.max("confidence").alias("confidence"), F.max("sensitivity").alias("sensitivity"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    tags = (ents.select("id", F.explode("tags").alias("tag")).where(F.col("tag") != "").distinct()
-            .groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags")))
+    tags = ents.select("id", F.explode("tags").alias("tag")).where(F.col("tag") != "").distinct()
     kv = ents.select("id", "last_seen", F.explode("attrs").alias("k", "v"))
-    value = kv.groupBy("id", "k").agg(F.max_by("v.value", F.struct("last_seen", "v.value")).alias("value"))
-    obs = (kv.select("id", "k", F.explode_outer("v.obs").alias("o")).distinct()
-           .groupBy("id", "k").agg(F.array_sort(F.collect_set("o")).alias("obs")))
-    attrs = value.join(obs, ["id", "k"]).groupBy("id").agg(
+    # one aggregate gives each attribute's newest value; each support comes with it
+    said = kv.select("id", "last_seen", "k", F.col("v.value").alias("value"), F.explode_outer("v.obs").alias("o"))
+    newest = F.max_by("value", F.struct("last_seen", "value"))
+    per_support = said.groupBy("id", "k", "o").agg(newest.alias("value"), F.max(F.struct("last_seen", "value")).alias("at"))
+    value = per_support.groupBy("id", "k").agg(F.max_by("value", "at").alias("value"))
+    return base, tags, per_support.select("id", "k", "o").join(value, ["id", "k"])
+
+
+def merge_entity_batch(ents: DataFrame) -> DataFrame:
+    """:func:`entity_parts` gathered into one row per id with arrays, for callers that ask for them."""
+    base, tags, supports = entity_parts(ents)
+    tags = tags.groupBy("id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    attrs = supports.groupBy("id", "k", "value").agg(F.array_sort(F.collect_list("o")).alias("obs")).groupBy("id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.struct("value", "obs").alias("v"))))).alias("attrs"))
     out = base.join(tags, "id", "left").join(attrs, "id", "left")
     return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))

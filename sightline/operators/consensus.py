@@ -74,23 +74,27 @@ def any_flag(claims: DataFrame, col: str, key: str = "addr") -> DataFrame:
 def resolver_consensus(answers: DataFrame, k: int = 2) -> DataFrame:
     """Best answer set per question and its status.
 
-    ``answers``: (question, resolver, status, type, pref, data); a resolver with no
-    record has one row with NULL data. TTL plays no part. One resolver's answer to one
-    question is a DNS message, so the set that is sorted into a key is small by format;
-    repeated rows are removed first.
+    ``answers``: (question, resolver, status, type, pref, data); a resolver with no record has one row with NULL data. TTL plays no part.
+    An answer set is known by a digest that does not depend on order and merges on the map side (number, sum and exclusive-or of two
+    hashes of its distinct records), so no set is gathered to be compared; the text is made for the sets with most votes alone, from
+    the records of one resolver each.
     """
-    rows = answers.select("question", "resolver", "status", F.when(F.col("data").isNotNull(), F.concat_ws(
-        ":", F.col("type"), F.coalesce("pref", F.lit(0)).cast("string"), F.col("data"))).alias("part")).distinct()
-    per = rows.groupBy("question", "resolver").agg(
-        F.max("status").alias("status"),
-        F.array_join(F.array_sort(F.collect_set("part")), "|").alias("answer"))
+    part = F.when(F.col("data").isNotNull(), F.concat_ws(":", F.col("type"), F.coalesce("pref", F.lit(0)).cast("string"), F.col("data")))
+    rows = answers.select("question", "resolver", "status", part.alias("part")).distinct()
+    records = rows.groupBy("question", "resolver", "part").agg(F.max("status").alias("status"))
+    per = records.groupBy("question", "resolver").agg(
+        F.max("status").alias("status"), F.count("part").alias("records"), F.sum(F.when(F.col("part").isNotNull(), F.xxhash64("part").cast("decimal(20,0)"))).alias("h1"),
+        F.bit_xor(F.when(F.col("part").isNotNull(), F.xxhash64(F.lit("set"), "part"))).alias("h2"))
     status = per.groupBy("question").agg(
         F.count_if((F.col("status") != 0) & (F.col("status") != 3)).alias("failed"),
         F.count_if(F.col("status") == 3).alias("nx"), F.count(F.lit(1)).alias("resolvers"))
-    votes = (per.where((F.col("answer") != "") & (F.col("status") == 0))
-             .groupBy("question", "answer").agg(F.count(F.lit(1)).alias("n")))
-    best = votes.groupBy("question").agg(
-        F.min_by(F.struct("answer", "n"), F.struct(-F.col("n"), F.col("answer"))).alias("b"))
+    votes = (per.where((F.col("records") > 0) & (F.col("status") == 0)).groupBy("question", "records", "h1", "h2")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("resolver").alias("resolver")))
+    top = votes.groupBy("question").agg(F.max("n").alias("n"))
+    leading = votes.join(top, ["question", "n"]).select("question", "resolver", "n")
+    texts = (records.where("part IS NOT NULL").join(leading, ["question", "resolver"]).groupBy("question", "resolver", "n")
+             .agg(F.expr("listagg(part, '|') WITHIN GROUP (ORDER BY part)").alias("answer")))
+    best = texts.groupBy("question").agg(F.min(F.struct("answer", "n")).alias("b"))
     j = status.join(best, "question", "left")
     n = F.coalesce(F.col("b.n"), F.lit(0))
     verdict = (F.when(n >= k, "agreed").when(n > 0, "disagreement").when(F.col("nx") > 0, "nxdomain")

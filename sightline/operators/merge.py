@@ -10,18 +10,27 @@ from sightline.functions import keys
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """attrs and sensitivity replaced, display kept when the new one is empty, confidence max, seen bounds.
 
-    One aggregation over both sides; each id meets itself only, after map-side combining.
+    One aggregation over both sides; each id meets itself only, after map-side combining. Tags are made distinct as (id, tag) rows
+    before they meet in the column that the table has for them.
     """
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     latest = F.struct("__new", "last_seen")
     shown = F.struct((F.coalesce("display", F.lit("")) != "").cast("int"), F.col("__new"), F.col("last_seen"), F.col("display"))
-    return both.groupBy("id").agg(
+    tags = merge_tags(*(d.select(F.col("id").alias("entity_id"), F.explode("tags").alias("tag")) for d in (old, new)))
+    listed = tags.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    merged = both.groupBy("id").agg(
         F.max_by("type", latest).alias("type"), F.max_by("value", latest).alias("value"),
         F.max_by("display", shown).alias("display"),
         F.max_by(F.col("attrs"), latest).alias("attrs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"),
         F.max("confidence").alias("confidence"), F.max_by("sensitivity", latest).alias("sensitivity"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return (merged.join(listed, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+            .select("id", "type", "value", "display", "attrs", "tags", "confidence", "sensitivity", "first_seen", "last_seen"))
+
+
+def merge_tags(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(entity_id, tag) rows of both, each once."""
+    return old.unionByName(new).distinct()
 
 
 def _first_per_key(df: DataFrame, on: list[str], order) -> DataFrame:
@@ -35,8 +44,8 @@ def _first_per_key(df: DataFrame, on: list[str], order) -> DataFrame:
 def insert_if_absent(old: DataFrame, new: DataFrame, on: list[str], order=None) -> DataFrame:
     """Keep every old row; add new keys once."""
     order = F.lit(0) if order is None else order
-    fresh = new.join(old.select(*on), on, "left_anti")
-    return old.unionByName(_first_per_key(fresh, on, order), allowMissingColumns=True)
+    fresh = _first_per_key(new, on, order).join(old.select(*on), on, "left_anti")
+    return old.unionByName(fresh, allowMissingColumns=True)
 
 
 def insert_observations(old: DataFrame, new: DataFrame, link: DataFrame, scan_id: str) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,8 @@
-"""Suffix, prefix and interval joins, rewritten as equi-joins.
+"""Suffix, prefix and interval joins.
 
 None of them compares every row with every rule. A name is exploded into its label
-suffixes, an address into its masked keys at the prefix lengths that occur, a point
-into its aligned blocks; the rule side then matches on equality and Spark may hash,
-sort or (when it measures the rule side as small) broadcast it.
+suffixes, which meet the rules on equality; prefixes and intervals are flattened into
+disjoint segments, in which an address or a number is looked up in one ordered pass.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sightline import fixed
 from sightline.functions import net
 from sightline.functions.bind import fenced, let, trim_ws
+from sightline.operators import segments
 from sightline.operators.skew import attach
 
 
@@ -33,70 +33,70 @@ def with_prefix(rules: DataFrame, col: str) -> DataFrame:
     return h.select("*", F.col("__h.hi").alias("net_hi"), F.col("__h.lo").alias("net_lo")).drop("__p", "__k", "__h")
 
 
-def best_prefix(addrs: DataFrame, addr_col: str, rules: DataFrame, carried: list[str],
-                urgent: Column | None = None) -> DataFrame:
-    """The winning rule per distinct address: urgent rules first, then the longest prefix.
+#: Lines of keys: v4 and v6 addresses, whole numbers. Digits that name a block of rules and a slot of addresses.
+V4, V6, NUMBER = 4, 6, 0
+BLOCK_DIGITS = {V4: 2, V6: 2}
+SLOT_DIGITS = {V4: 4, V6: 10}
+NUMBER_WIDTH = 16
 
-    ``rules`` comes from :func:`with_prefix`. An address is probed once per prefix length
-    that occurs (at most 33 + 129, so that table is broadcast), the matches are reduced to
-    one integer rank per address by a hash aggregate, and only the winner's columns are
-    joined back. Of equal rules the largest row wins. Addresses no rule contains are absent.
+
+def _prefix_ranges(rules: DataFrame, col: str, carried: list[str], urgent: Column) -> DataFrame:
+    """Prefix rows as ranges of hexadecimal keys with a rank: urgent rules first, then longer ones, then the larger row."""
+    d = rules.withColumn("__p", fenced(net.prefix_struct(F.col(col)))).where(F.col("__p").isNotNull())
+    width = F.length("__p.key")
+    last = net.fill_key(F.col("__k"), F.col("__bits"))
+    d = d.withColumns({"__k": F.col("__p.key"), "__bits": F.col("__p.bits"), "__width": width, "__urgent": urgent.cast("int")})
+    one = d.groupBy(F.col("__p.family").alias("space"), F.col("__k"), F.col("__bits"), F.col("__urgent")).agg(F.max(F.struct(*carried)).alias("rule"))
+    rank = -(F.col("__urgent") * 1000 + F.col("__bits"))
+    return one.select("space", F.col("__k").alias("first"), last.alias("last"), rank.alias("rank"), F.col("__bits").alias("bits"), "rule")
+
+
+def _blocks_of(digits: dict[int, int]) -> Column:
+    """Names of all blocks between the first and the last key of a range."""
+    n = F.lit(None).cast("int")
+    for space, d in digits.items():
+        n = F.when(F.col("space") == space, d).otherwise(n)
+    number = lambda c: F.conv(F.left(c, n), 16, 10).cast("long")
+    return F.transform(F.sequence(number(F.col("first")), number(F.col("last"))), lambda b: F.lower(F.lpad(F.hex(b), n, F.lit("0"))))
+
+
+def best_prefix(addrs: DataFrame, addr_col: str, rules: DataFrame, prefix_col: str, carried: list[str], urgent: Column | None = None) -> DataFrame:
+    """The winning rule per distinct address: urgent rules first, then the longest prefix; of equal rules the largest row.
+
+    Nested prefixes are flattened into disjoint segments of the address line, in which each address is looked up once
+    (see :mod:`sightline.operators.segments`). Addresses no rule contains are absent.
     """
-    urgent = F.lit(0) if urgent is None else urgent.cast("int")
-    ranked = rules.withColumn("__u", urgent).groupBy(*NET, "__u").agg(
-        F.max(F.struct(*[c for c in carried if c not in NET])).alias("__r"))
-    keyed = (addrs.select(F.col(addr_col)).where(F.col(addr_col).isNotNull()).distinct()
-             .withColumn("__k", fenced(net.ip_key(F.col(addr_col)))).where(F.col("__k").isNotNull())
-             .withColumn("family", net.family(F.col("__k"))).withColumn("__h", fenced(net.halves(F.col("__k")))))
-    points = keyed.select(addr_col, "family", F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
-    lengths = F.broadcast(rules.select("family", "bits").distinct())
-    probes = masked(points.join(lengths, "family"), "__hi", "__lo")
-    rank = probes.join(ranked.drop("__r"), NET).groupBy(addr_col, "family", "__hi", "__lo").agg(
-        F.max(F.col("__u") * 1000 + F.col("bits")).alias("__rank"))
-    won = rank.withColumn("bits", fenced(F.col("__rank") % 1000)).withColumn("__u", fenced(F.floor(F.col("__rank") / 1000).cast("int")))
-    out = masked(won, "__hi", "__lo").join(ranked, [*NET, "__u"])
-    return out.select(addr_col, "bits", *[F.col("__r")[c].alias(c) for c in carried if c not in NET])
+    marks = segments.markers(_prefix_ranges(rules, prefix_col, carried, F.lit(False) if urgent is None else urgent), _blocks_of(BLOCK_DIGITS), BLOCK_DIGITS)
+    points = (addrs.select(F.col(addr_col).alias("__addr")).where(F.col("__addr").isNotNull()).distinct()
+              .withColumn("pos", fenced(net.ip_key(F.col("__addr")))).where(F.col("pos").isNotNull()).withColumn("space", net.family(F.col("pos"))))
+    won = segments.looked_up(points.select("space", "pos", "__addr"), marks, SLOT_DIGITS).where("won IS NOT NULL")
+    return won.select(F.col("__addr").alias(addr_col), F.col("won.bits").alias("bits"), *[F.col("won.rule")[c].alias(c) for c in carried])
 
 
 def longest_prefix(addrs: DataFrame, prefixes: DataFrame, addr_col: str = "addr",
                    prefix_col: str = "prefix") -> DataFrame:
     """Each address row with the most specific prefix row that contains it (or NULLs)."""
     carried = prefixes.columns
-    best = best_prefix(addrs, addr_col, with_prefix(prefixes, prefix_col), carried).drop("bits")
+    best = best_prefix(addrs, addr_col, prefixes, prefix_col, carried).drop("bits")
     return attach(addrs, best, addr_col).select(*addrs.columns, *carried)
 
 
-def _level(lo: Column, hi: Column) -> Column:
-    """Smallest power of two at least as wide as the interval."""
-    return F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int")
-
-
-def interval_pairs(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
-    """(distinct point, range) pairs with lo <= point <= hi.
+def interval_lookup(points: DataFrame, ranges: DataFrame, point: str = "asn", lo: str = "lo", hi: str = "hi",
+                    order: str = "ord", bits: int = 32) -> DataFrame:
+    """First range (by ``order``) containing each point; NULLs where none does. Points and bounds are numbers of up to ``bits`` bits.
 
-    An interval is filed under the block size just covering it, in the one or two
-    aligned blocks it touches; a point probes one block per occurring size (at most 64).
+    Ranges are flattened into disjoint segments, so one that covers everything is no hot key. Rules are swept in 256 blocks.
     """
-    filed = (ranges.withColumn("__lv", _level(F.col(lo), F.col(hi)))
-             .withColumn("__first", F.expr(f"shiftright({lo}, __lv)"))
-             .withColumn("__last", F.expr(f"shiftright({hi}, __lv)"))
-             .withColumn("__blk", F.explode(F.sequence(F.col("__first"), F.col("__last"))))
-             .drop("__first", "__last"))
-    sizes = [r[0] for r in filed.select("__lv").distinct().collect()]  # block sizes: at most 64 rows
-    probes = (points.select(point).where(F.col(point).isNotNull()).distinct()
-              .withColumn("__lv", F.explode(F.array(*[F.lit(x) for x in sizes]).cast("array<int>")))
-              .withColumn("__blk", F.expr(f"shiftright({point}, __lv)")))
-    return (probes.join(filed, ["__lv", "__blk"]).where(F.col(point).between(F.col(lo), F.col(hi)))
-            .drop("__lv", "__blk"))
-
-
-def interval_lookup(points: DataFrame, ranges: DataFrame, point: str = "asn", lo: str = "lo", hi: str = "hi",
-                    order: str = "ord") -> DataFrame:
-    """First range (by ``order``) containing each point; NULLs where none does."""
     carried = ranges.columns
-    pairs = interval_pairs(points, point, ranges, lo, hi)
-    best = pairs.groupBy(point).agg(F.min_by(F.struct(*carried), F.col(order)).alias("__r"))
-    out = attach(points, best, point)
+    digits = {NUMBER: NUMBER_WIDTH - max(0, bits - 8) // 4}
+    key = lambda c: F.lower(F.lpad(F.hex(F.col(c).cast("long")), NUMBER_WIDTH, F.lit("0")))
+    valid = ranges.where((F.col(hi) >= F.greatest(F.col(lo), F.lit(0))) & F.col(order).isNotNull())
+    bounded = valid.withColumn("__lo", F.greatest(F.col(lo), F.lit(0)).cast("long"))
+    spans = bounded.select(F.lit(NUMBER).alias("space"), key("__lo").alias("first"), key(hi).alias("last"), F.col(order).alias("rank"), F.struct(*carried).alias("rule"))
+    marks = segments.markers(spans, _blocks_of(digits), digits)
+    asked = points.select(F.col(point).cast("long").alias("__n")).where("__n >= 0").distinct().select(F.lit(NUMBER).alias("space"), key("__n").alias("pos"), "__n")
+    won = segments.looked_up(asked, marks, {NUMBER: digits[NUMBER] + 2}).where("won IS NOT NULL").select("__n", F.col("won.rule").alias("__r"))
+    out = attach(points.withColumn("__n", F.col(point).cast("long")), won, "__n")
     return out.select(*points.columns, *[F.col("__r")[c].alias(c) for c in carried])
 
 
@@ -143,8 +143,8 @@ def classify_address(df: DataFrame, col: str = "addr",
                      classes: list[tuple[str, str]] = fixed.ADDRESS_CLASSES) -> DataFrame:
     """Most specific special-purpose class of an address, ``public`` where none holds."""
     spark = df.sparkSession
-    rules = with_prefix(spark.createDataFrame(classes, "cidr string, address_class string"), "cidr")
-    best = best_prefix(df, col, rules, ["address_class", "cidr"]).select(col, "address_class", F.col("cidr").alias("matched"))
+    rules = spark.createDataFrame(classes, "cidr string, address_class string")
+    best = best_prefix(df, col, rules, "cidr", ["address_class", "cidr"]).select(col, "address_class", F.col("cidr").alias("matched"))
     out = attach(df, best, col)
     valid = net.ip_key(F.col(col)).isNotNull()
     return out.withColumn("address_class", F.when(valid, F.coalesce(F.col("address_class"), F.lit("public")))

@@ -75,8 +75,8 @@ def scope_domains(df: DataFrame, rules: DataFrame, deny_regex: Sequence[str] = (
 
 def scope_ips(df: DataFrame, rules: DataFrame, col: str = "value") -> DataFrame:
     """``rules``: (action, pattern cidr). Containment in a deny prefix wins; then the most specific allow."""
-    r = with_prefix(_prefix_rules(rules), "pattern").withColumn("allow", F.col("action") == "allow")
-    best = best_prefix(df, col, r, ["allow", "pattern"], ~F.col("allow"))
+    r = _prefix_rules(rules).withColumn("allow", F.col("action") == "allow")
+    best = best_prefix(df, col, r, "pattern", ["allow", "pattern"], ~F.col("allow"))
     named = best.select(col, F.struct("allow", F.when(F.col("allow"), "allow.cidrs").otherwise("deny.cidrs").alias("rule"), "pattern").alias("__w"))
     return _decide(df, named, col)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from sightline import fixed
@@ -11,6 +13,8 @@ from sightline.operators import change, graph, integrity, listing, merge, metric
 from sightline.operators.integrity import evidence_hash
 from sightline.plans import views
 from sightline.plans.catalog import query, table
+from sightline.session import ensure_checkpoint_dir
+from sightline.sources import sinks
 from sightline.sources.logs import blob_path
 
 
@@ -284,6 +288,22 @@ def m03(spark, sf):
     return m.select("id", "from_id", "to_id", "confidence", "heuristic")
 
 
+@query("s15_saved_graph", """
+SELECT 'relation' AS t, substr(sha256('o' || l_orderkey || chr(0) || 'p' || l_partkey || chr(0) || 'mentions'), 1, 32) AS id, max(l_discount) AS confidence FROM lineitem GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT DISTINCT 'tag', 'o' || l_orderkey || '/' || l_returnflag, CAST(0 AS DOUBLE) FROM lineitem""")
+def s15(spark, sf):
+    li = table(spark, sf, "lineitem")
+    rels = keys.with_ids(li.select(
+        F.concat(F.lit("o"), F.col("l_orderkey")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("to_id"), F.lit("mentions").alias("type"),
+        F.col("l_discount").alias("confidence"), F.lit(False).alias("heuristic"), F.array().cast("array<string>").alias("obs"), "l_linenumber"), "relation")
+    tags = li.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("entity_id"), F.col("l_returnflag").alias("tag"), "l_linenumber")
+    where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/graphs/{uuid.uuid4().hex}"
+    for part in ("l_linenumber <= 3", "l_linenumber > 3", "l_linenumber <= 3"):  # the last is a replay
+        sinks.save_graph({"relations": rels.where(part).drop("l_linenumber"), "tags": tags.where(part).drop("l_linenumber")}, where, 16)
+    return (sinks.load_table(spark, where, "relations").select(F.lit("relation").alias("t"), "id", "confidence")
+            .unionByName(sinks.load_table(spark, where, "tags").select(F.lit("tag").alias("t"), F.concat_ws("/", "entity_id", "tag").alias("id"), F.lit(0.0).alias("confidence"))))
+
+
 @query("m04_insert_findings", """
 WITH f AS (SELECT 'u' || user_id AS entity_id, event_type AS kind, CAST(event_id % 5 AS VARCHAR) AS attrs_key, ts, event_id % 2 AS half FROM events)
 SELECT substr(sha256('finding' || chr(0) || entity_id || chr(0) || kind || chr(0) || attrs_key || chr(0)), 1, 32) AS id,

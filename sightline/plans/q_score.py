@@ -165,6 +165,20 @@ def _dns(spark, sf):
         F.when(~((ok % 29 == 0) | (F.col("l_partkey") % 31 == 0) | (F.col("l_suppkey") % 13 == 0)), F.col("l_returnflag")).alias("data"))
 
 
+@query("u03_replaced_tables", "WITH " + views.OBS + """,
+w AS (SELECT *, least(greatest((CASE WHEN r * c = 0 THEN 0.2 ELSE r * c END) * (CASE source WHEN 'pdns/otx:api' THEN CAST(0.5 AS DOUBLE) WHEN 'dns/doh:query' THEN 0.25 ELSE 1.0 END)
+        * (CASE WHEN heuristic THEN 0.6 WHEN method_factor > 0 AND method_factor <= 1 THEN method_factor ELSE 1.0 END) * (CASE WHEN age <= 0 THEN 1.0 ELSE pow(0.5, age / 864000.0) END), 0.0), 0.999) AS w
+      FROM (SELECT *, CASE reliability WHEN 'A' THEN CAST(0.9 AS DOUBLE) WHEN 'B' THEN 0.6 ELSE 0.0 END AS r, CASE credibility WHEN '1' THEN CAST(1.0 AS DOUBLE) WHEN '2' THEN 0.7 ELSE 0.0 END AS c,
+                   (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(observed_at)) / 1e6 AS age, CASE WHEN source LIKE 'whois/%' OR source LIKE 'dns/%' THEN 'own' ELSE source END AS grp FROM obs)),
+g AS (SELECT subject, grp, max(w) AS w, count(*) AS n, count(*) FILTER (conflict) AS nc, max(CAST(has_artifact AS INTEGER)) AS art FROM w GROUP BY subject, grp),
+s AS (SELECT subject, sum(n) AS n, sum(nc) AS nc, max(art) AS art, 1 - product(1 - w) AS raw FROM g GROUP BY subject)
+SELECT subject, round(least(CASE WHEN art > 0 THEN p ELSE least(p, 0.5) END, 0.9), 6) AS confidence FROM (SELECT *, raw * (1 - 0.5 * least(1.0, nc / n)) AS p FROM s)""")
+def u03(spark, sf):
+    cfg = score.ScoreConfig(reliability={"A": 0.9, "B": 0.6}, credibility={"1": 1.0, "2": 0.7}, groups={"own": ["iana", "doh"]},
+                            source_weights={"pdns/otx:api": 0.5, "dns/doh:query": 0.25}, half_life_hours=240, conflict_penalty=0.5, cap=0.9)
+    return score.confidence(views.obs(spark, sf), views.NOW, cfg).select("subject", F.round("confidence", 6).alias("confidence"))
+
+
 @query("a10_resolver_consensus", "WITH " + _DNS + """,
 per AS (SELECT question, resolver, max(status) AS status,
                coalesce(string_agg(DISTINCT type || ':' || pref || ':' || data, '|' ORDER BY type || ':' || pref || ':' || data), '') AS answer
@@ -311,19 +325,26 @@ k AS (SELECT id, tag, max_by(v, ts) AS v FROM (SELECT id, tag, ts, regexp_extrac
 SELECT id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen,
        (SELECT string_agg(tag || '=' || v, ',' ORDER BY tag) FROM k WHERE k.id = b.id) AS attrs FROM b GROUP BY 1""")
 def a17(spark, sf):
-    e = table(spark, sf, "events")
-    rows = e.select(
+    m = aggregate.merge_entity_batch(_entity_batch(spark, sf))
+    return m.select("id", F.array_join("tags", ",").alias("tags"), F.unix_micros("first_seen").alias("first_seen"),
+                    F.unix_micros("last_seen").alias("last_seen"),
+                    F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat_ws(
+                        "=", x["key"], x["value"]["value"])), ",").alias("attrs"))
+
+
+def _entity_batch(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(
         F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.lit("username").alias("type"),
         F.concat(F.lit("u"), F.col("user_id")).alias("value"), F.lit("").alias("display"),
         F.array("event_type").alias("tags"), F.lit(0.0).alias("confidence"), F.lit(0).alias("sensitivity"),
         F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"),
         F.create_map(F.col("event_type"), F.struct(F.regexp_extract("props", "(\\d+)", 1).alias("value"),
                                                    F.array().cast("array<string>").alias("obs"))).alias("attrs"))
-    m = aggregate.merge_entity_batch(rows)
-    return m.select("id", F.array_join("tags", ",").alias("tags"), F.unix_micros("first_seen").alias("first_seen"),
-                    F.unix_micros("last_seen").alias("last_seen"),
-                    F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat_ws(
-                        "=", x["key"], x["value"]["value"])), ",").alias("attrs"))
+
+
+@query("a17_entity_tags", "SELECT DISTINCT 'u' || user_id AS id, event_type AS tag FROM events")
+def a17b(spark, sf):
+    return aggregate.entity_parts(_entity_batch(spark, sf))[1]
 
 
 @query("w08_cap_names", """

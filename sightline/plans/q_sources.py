@@ -263,7 +263,7 @@ SELECT event_id AS seq, epoch_us(ts) // 1000 * 1000 AS at, event_type AS action,
 WHERE event_id >= 100 AND event_id < (SELECT max(event_id) // 2 FROM events)""")
 def s13(spark, sf):
     e = table(spark, sf, "events")
-    top = e.agg((F.floor(F.max("event_id") / 2)).alias("cut")).first()["cut"]
+    top = e.agg(F.floor(F.max("event_id") / 2)).scalar()
     line = F.concat(F.lit('{"seq":'), F.col("event_id"), F.lit(',"at":"'), rfc3339(F.timestamp_millis(F.unix_millis("ts"))), F.lit('","actor":"u","action":"'), F.col("event_type"), F.lit('","detail":{"k":'),
                     F.regexp_extract("props", "(\\d+)", 1), F.lit('},"prev_hash":"p","hash":"h"}'))
     lines = e.select(F.col("event_id").alias("pos"), F.when(F.col("event_id") == top, '{"seq": 12, "at":').otherwise(line).alias("line"))
@@ -368,13 +368,31 @@ def _finding_rows(spark, sf) -> DataFrame:
                     F.col("o_orderdate").alias("observed_at"), rel.alias("relations"))
 
 
+def _proof(f: DataFrame) -> DataFrame:
+    """Artifacts of the first ten tasks."""
+    return f.where("task_id < 10").select("task_id", F.concat(F.lit("ev-"), "object_key").alias("id"), F.sha2(F.col("object_key").cast("binary"), 256).alias("sha256"))
+
+
+@query("u04_evidence_links", """
+WITH o AS (SELECT o_orderkey % 100 AS task_id, 'acct' || (o_orderkey % 700) AS acct, o_orderpriority AS source FROM orders),
+ids AS (SELECT *, replace(array_to_string(list_transform(string_split(sha256('account' || chr(0) || acct), ''),
+   lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), ''), ',', '') AS bits FROM (SELECT DISTINCT acct FROM o)),
+ent AS (SELECT acct, array_to_string(list_transform(range(0, 26), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', 1 + CAST(list_sum(
+   list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER))) AS INTEGER), 1)), '') AS id FROM ids),
+ob AS (SELECT DISTINCT task_id, substr(sha256(source || chr(0) || ent.id || chr(0) || 'exists' || chr(0) || o.acct || chr(0)), 1, 32) AS observation_id FROM o JOIN ent USING (acct)),
+ev AS (SELECT DISTINCT task_id, 'ev-' || acct AS evidence_id, sha256(acct) AS sha256 FROM o WHERE task_id < 10)
+SELECT DISTINCT observation_id, evidence_id, sha256 FROM ob JOIN ev USING (task_id)""")
+def u04b(spark, sf):
+    f = _finding_rows(spark, sf)
+    return registry.fan_out(f, _proof(f))[3]
+
+
 @query("u04_fan_out", """
 SELECT 'entities' AS t, count(DISTINCT o_orderkey % 700) AS n FROM orders UNION ALL SELECT 'observations', count(*) FROM (SELECT DISTINCT o_orderkey % 700, o_orderpriority FROM orders)
 UNION ALL SELECT 'relations', count(*) FROM (SELECT DISTINCT o_orderkey % 700, o_custkey FROM orders)
 UNION ALL SELECT 'verified', count(*) FROM (SELECT o_orderkey % 700, o_orderpriority FROM orders GROUP BY 1, 2 HAVING bool_or(o_orderkey % 100 < 10))""")
 def u04(spark, sf):
     f = _finding_rows(spark, sf)
-    ev = f.where("task_id < 10").select("task_id", F.sha2(F.col("object_key").cast("binary"), 256).alias("sha256"))
-    ents, obs, rels = registry.fan_out(f, ev)
+    ents, obs, rels, _ = registry.fan_out(f, _proof(f))
     c = lambda d, n: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("t"), "n")
     return c(ents, "entities").unionByName(c(obs, "observations")).unionByName(c(rels, "relations")).unionByName(c(obs.where("has_artifact"), "verified"))

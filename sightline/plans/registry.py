@@ -52,7 +52,7 @@ def register_adapter(provider: str, fn: Transform, weight: float = 1.0) -> None:
 
 
 def adapt(raw: DataFrame, provider_col: str = "provider") -> DataFrame:
-    """Run every registered adapter on its own provider's rows and unite the results."""
+    """Every provider's rows through its registered adapter, united. Rows of other providers are left out."""
     parts = [fn(raw.where(F.col(provider_col) == p)).withColumn("weight", F.lit(w))
              for p, (fn, w) in sorted(ADAPTERS.items())]
     out = parts[0]
@@ -61,14 +61,15 @@ def adapt(raw: DataFrame, provider_col: str = "provider") -> DataFrame:
     return out
 
 
-def fan_out(findings: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Findings to (entities, observations, relations).
+def fan_out(findings: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Findings to (entities, observations, relations, evidence links).
 
     ``findings``: task_id, entity struct(type, value), subject (NULL: the entity itself),
     predicate, object_key, source, reliability, credibility, observed_at, and relations
-    array of struct(to_id, type, heuristic). ``evidence``: (task_id, sha256). Relations of a
-    finding start at its entity. Whether a task captured evidence is carried as a flag and a
-    count, so a task with very many artifacts is not gathered into its observations.
+    array of struct(to_id, type, heuristic). ``evidence``: (task_id, id, sha256). Relations of a
+    finding start at its entity. An observation carries a flag and a count of artifacts; which ones they are
+    is a table of (observation_id, evidence_id, sha256) rows, so a task with very many artifacts is not gathered
+    into its observations.
     """
     f = findings.where(F.coalesce("entity.value", F.lit("")) != "")
     f = f.withColumn("entity_id", keys.entity_id(F.col("entity.type"), F.col("entity.value")))
@@ -76,9 +77,12 @@ def fan_out(findings: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFr
     proof = evidence.groupBy("task_id").agg(F.countDistinct("sha256").alias("n_evidence"))
     f2 = attach(f, proof, "task_id").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
     ents = f.select(F.col("entity_id").alias("id"), "entity.type", "entity.value").distinct()
-    obs = keys.with_ids(f2.select("subject", "predicate", "object_key", "source", "reliability", "credibility",
-                                  "observed_at", "n_evidence"), "observation")
-    obs = obs.groupBy("id").agg(
+    seen = keys.with_ids(f2.select("task_id", "subject", "predicate", "object_key", "source", "reliability", "credibility",
+                                   "observed_at", "n_evidence"), "observation")
+    links = (seen.where("n_evidence > 0").select("task_id", F.col("id").alias("observation_id")).distinct()
+             .join(evidence.select("task_id", F.col("id").alias("evidence_id"), "sha256").distinct(), "task_id")
+             .select("observation_id", "evidence_id", "sha256").distinct())
+    obs = seen.groupBy("id").agg(
         F.min_by(F.struct("subject", "predicate", "object_key", "source", "reliability", "credibility", "observed_at"),
                  "observed_at").alias("o"), F.max("n_evidence").alias("n_evidence"))
     obs = obs.select("id", "o.*", "n_evidence", (F.col("n_evidence") > 0).alias("has_artifact"))
@@ -86,4 +90,4 @@ def fan_out(findings: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFr
     rels = keys.with_ids(rels, "relation").groupBy("id").agg(
         F.first("from_id").alias("from_id"), F.first("to_id").alias("to_id"), F.first("type").alias("type"),
         F.bool_and("heuristic").alias("heuristic"))
-    return ents, obs, rels
+    return ents, obs, rels, links

@@ -68,3 +68,34 @@ def test_interval_lookup_first_wins(spark):
         spark.createDataFrame([(p,) for p in points], "asn long"), spark.createDataFrame(ranges, "ord int, lo long, hi long, e string")).collect()}
     for p in points:
         assert got[p] == next((e for _, lo, hi, e in ranges if lo <= p <= hi), None)
+
+
+def test_nested_prefixes_with_a_rule_for_everything(spark):
+    rng = random.Random(12)
+    nets = ["0.0.0.0/0", "::/0", "10.0.0.0/8", "10.0.0.0/8", "255.255.255.255/32", "ff00::/8"]
+    nets += [str(ipaddress.ip_network((rng.randrange(2 ** 32) & 0x0F0F0FFF, rng.randrange(1, 33)), strict=False)) for _ in range(60)]
+    nets += [str(ipaddress.ip_network((rng.randrange(2 ** 128) >> rng.choice([0, 3, 60]), rng.randrange(1, 129)), strict=False)) for _ in range(60)]
+    addrs = [str(ipaddress.ip_address(rng.randrange(2 ** 32) & 0x0F0F0FFF)) for _ in range(300)] + [str(ipaddress.ip_address(rng.randrange(2 ** 128) >> rng.choice([0, 3, 60]))) for _ in range(100)]
+    addrs += [str(ipaddress.ip_network(n)[i]) for n in nets for i in (0, -1)] + ["bad", None, "10.0.0.1"]
+    for rules in (nets, nets[2:], []):
+        table = spark.createDataFrame([(n, i) for i, n in enumerate(rules)], "prefix string, i int")
+        got = {r.addr: r.prefix for r in netjoin.longest_prefix(spark.createDataFrame([(a,) for a in addrs], "addr string"), table).collect()}
+        for a in addrs:
+            ip = None if a in ("bad", None) else ipaddress.ip_address(a)
+            ip = getattr(ip, "ipv4_mapped", None) or ip
+            fits = [n for n in rules if ip is not None and ipaddress.ip_network(n).version == ip.version and ip in ipaddress.ip_network(n)]
+            assert got[a] == max(fits, key=lambda n: (int(n.split("/")[1]), n), default=None), a
+
+
+def test_overlapping_intervals_and_a_full_one(spark):
+    rng = random.Random(13)
+    spans = [(0, 2 ** 32 - 1, 900), (5, 5, 1), (5, 5, 0), (7, 3, 0)] + [(lo, lo + rng.randrange(2 ** rng.randrange(1, 31)), i + 10) for i, lo in enumerate(rng.randrange(2 ** 32) for _ in range(80))]
+    spans = [(lo, min(hi, 2 ** 32 - 1), o) for lo, hi, o in spans]
+    points = [rng.randrange(2 ** 32) for _ in range(200)] + [x for lo, hi, _ in spans for x in (lo, hi, max(0, lo - 1))] + [None, 5]
+    for rules in (spans, spans[1:]):
+        table = spark.createDataFrame(rules, "lo long, hi long, ord int")
+        got = netjoin.interval_lookup(spark.createDataFrame([(p,) for p in points], "asn long"), table).collect()
+        assert len(got) == len(points)
+        for r in got:
+            fits = [o for lo, hi, o in rules if r.asn is not None and lo <= r.asn <= hi]
+            assert r.ord == min(fits, default=None)

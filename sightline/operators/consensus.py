@@ -75,15 +75,14 @@ def resolver_consensus(answers: DataFrame, k: int = 2) -> DataFrame:
     """Best answer set per question and its status.
 
     ``answers``: (question, resolver, status, type, pref, data); a resolver with no record has one row with NULL data. TTL plays no part.
-    An answer set is known by a digest that does not depend on order and merges on the map side (number, sum and exclusive-or of two
+    An answer set is known by a digest that does not depend on order and merges on the map side (number and exclusive-or of two
     hashes of its distinct records), so no set is gathered to be compared; the text is made for the sets with most votes alone, from
     the records of one resolver each.
     """
     part = F.when(F.col("data").isNotNull(), F.concat_ws(":", F.col("type"), F.coalesce("pref", F.lit(0)).cast("string"), F.col("data")))
-    rows = answers.select("question", "resolver", "status", part.alias("part")).distinct()
-    records = rows.groupBy("question", "resolver", "part").agg(F.max("status").alias("status"))
+    records = answers.select("question", "resolver", "status", part.alias("part")).groupBy("question", "resolver", "part").agg(F.max("status").alias("status"))
     per = records.groupBy("question", "resolver").agg(
-        F.max("status").alias("status"), F.count("part").alias("records"), F.sum(F.when(F.col("part").isNotNull(), F.xxhash64("part").cast("decimal(20,0)"))).alias("h1"),
+        F.max("status").alias("status"), F.count("part").alias("records"), F.bit_xor(F.when(F.col("part").isNotNull(), F.xxhash64("part"))).alias("h1"),
         F.bit_xor(F.when(F.col("part").isNotNull(), F.xxhash64(F.lit("set"), "part"))).alias("h2"))
     status = per.groupBy("question").agg(
         F.count_if((F.col("status") != 0) & (F.col("status") != 3)).alias("failed"),

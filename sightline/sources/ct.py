@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline.functions.bind import fenced, trim_ws
 from sightline.functions import names
+from sightline.sources.elements import elements
 
 A_ROW = ("issuer_ca_id LONG, issuer_name STRING, issuer_org STRING, common_name STRING, name_value STRING, "
          "id LONG, cert_id LONG, serial_number STRING, entry_timestamp STRING, not_before STRING, "
@@ -63,9 +64,16 @@ def _struct(ddl: str) -> str:
     return ", ".join(out)
 
 
-def read_ct_a(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ct_a(spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw"))
+def _raw(spark: SparkSession, path: str, one_per_line: bool) -> DataFrame:
+    """Array texts of files; with ``one_per_line`` every element is an array of its own, so that files are read in splits."""
+    if one_per_line:
+        return elements(spark, path).select(F.concat(F.lit("["), F.col("element"), F.lit("]")).alias("raw"))
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
 
 
-def read_ct_b(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ct_b(spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw"))
+def read_ct_a(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return parse_ct_a(_raw(spark, path, one_per_line))
+
+
+def read_ct_b(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return parse_ct_b(_raw(spark, path, one_per_line))

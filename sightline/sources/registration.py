@@ -115,7 +115,7 @@ def merge_registration(registry: DataFrame, registrar: DataFrame, key: str = "do
 
 # --- registry JSON -----------------------------------------------------------------------
 
-_ENTITY1 = "handle: STRING, roles: ARRAY<STRING>, vcardArray: STRING"
+_ENTITY1 = "handle: STRING, roles: ARRAY<STRING>, vcardArray: VARIANT"
 _ENTITY = f"STRUCT<{_ENTITY1}, entities: ARRAY<STRUCT<{_ENTITY1}>>>"
 RDAP = (
     "objectClassName STRING, handle STRING, ldhName STRING, unicodeName STRING, name STRING, country STRING, "
@@ -127,27 +127,27 @@ RDAP = (
     "remarks ARRAY<STRUCT<title: STRING, description: ARRAY<STRING>>>")
 
 
-def card_values(card: Column, prop: str) -> Column:
-    """Every value of one property of a jCard given as JSON text; component arrays joined."""
-    def flat(text: Column) -> Column:
-        def value(x: Column) -> Column:
-            parts = F.from_json(x, "array<string>")
-            return F.when(x.startswith("["), F.array_join(F.filter(F.transform(parts, lambda p: trim_ws(p)), lambda p: p != ""), ", ")).otherwise(trim_ws(x))
-        return value(text)
+def card_properties(card: Column) -> Column:
+    """(name, value) of every complete property of a jCard, given as a VARIANT: parsed once, read by path. Component arrays are joined."""
+    def value(p: Column) -> Column:
+        parts = F.try_variant_get(p, "$[3]", "array<string>")
+        joined = F.array_join(F.filter(F.transform(parts, lambda x: trim_ws(x)), lambda x: x != ""), ", ")
+        return F.when(parts.isNotNull(), joined).otherwise(F.coalesce(trim_ws(F.try_variant_get(p, "$[3]", "string")), F.lit("")))
 
-    outer = F.from_json(card, "array<string>")
+    whole = F.filter(F.try_variant_get(card, "$[1]", "array<variant>"), lambda p: F.try_variant_get(p, "$[3]", "variant").isNotNull())
+    named = F.transform(whole, lambda p: F.struct(F.lower(trim_ws(F.try_variant_get(p, "$[0]", "string"))).alias("name"), value(p).alias("value")))
+    return F.when(F.try_variant_get(card, "$[0]", "string") == "vcard", named)
 
-    def of(o: Column) -> Column:
-        props = F.from_json(F.get(o, F.lit(1)), "array<array<string>>")
-        mine = F.filter(props, lambda p: (F.size(p) >= 4) & (F.lower(trim_ws(F.get(p, F.lit(0)))) == prop))
-        return F.when(F.get(o, F.lit(0)) == "vcard",
-                      F.transform(mine, lambda p: F.coalesce(flat(F.get(p, F.lit(3))), F.lit(""))))
-    return F.coalesce(let(outer, of), F.array().cast("array<string>"))
 
+def card_values(properties: Column, prop: str) -> Column:
+    """Every value of one property, from :func:`card_properties`."""
+    mine = F.transform(F.filter(properties, lambda p: p["name"] == prop), lambda p: p["value"])
+    return F.coalesce(mine, F.array().cast("array<string>"))
 
-def card_emails(card: Column) -> Column:
+
+def card_emails(properties: Column) -> Column:
     """Distinct addresses (ignoring case), placeholders left out, first spelling kept."""
-    listed = F.filter(F.transform(card_values(card, "email"), lambda e: trim_ws(e)), lambda e: ~names.placeholder(e) | (F.lower(e) == "privacy redacted"))
+    listed = F.filter(F.transform(card_values(properties, "email"), lambda e: trim_ws(e)), lambda e: ~names.placeholder(e) | (F.lower(e) == "privacy redacted"))
 
     def first_spelling(xs: Column) -> Column:
         low = F.transform(xs, lambda x: F.lower(x))
@@ -155,18 +155,21 @@ def card_emails(card: Column) -> Column:
     return let(listed, first_spelling)
 
 
-def card_name(card: Column) -> Column:
-    pick = lambda p: let(F.get(card_values(card, p), F.lit(0)), lambda v: F.when(trim_ws(v) != "", trim_ws(v)))
+def card_name(properties: Column) -> Column:
+    pick = lambda p: let(F.get(card_values(properties, p), F.lit(0)), lambda v: F.when(trim_ws(v) != "", trim_ws(v)))
     return F.coalesce(pick("fn"), pick("org"), pick("n"))
 
 
-def card_phones(card: Column) -> Column:
-    return F.filter(F.transform(card_values(card, "tel"), lambda p: F.regexp_replace(trim_ws(p), "^tel:", "")), lambda p: p != "")
+def card_phones(properties: Column) -> Column:
+    return F.filter(F.transform(card_values(properties, "tel"), lambda p: F.regexp_replace(trim_ws(p), "^tel:", "")), lambda p: p != "")
 
 
 def vcard_cols(df: DataFrame, col: str = "vcard") -> DataFrame:
-    return (df.withColumn("card_name", card_name(F.col(col))).withColumn("card_emails", card_emails(F.col(col)))
-            .withColumn("card_phones", card_phones(F.col(col))))
+    """Name, addresses and numbers of a jCard column (JSON text)."""
+    props = F.col("__card")
+    df = df.withColumn("__card", fenced(card_properties(F.try_parse_json(F.col(col)))))
+    return (df.withColumn("card_name", card_name(props)).withColumn("card_emails", card_emails(props))
+            .withColumn("card_phones", card_phones(props)).drop("__card"))
 
 
 def _with_role(entities: Column, role: str) -> Column:
@@ -176,7 +179,7 @@ def _with_role(entities: Column, role: str) -> Column:
 def abuse_emails(entities: Column) -> Column:
     """Addresses of the abuse contact: abuse role, else nested under the registrar, else the registrar."""
     def some(cards: Column) -> Column:
-        found = F.filter(F.transform(cards, lambda e: card_emails(e["vcardArray"])), lambda m: F.size(m) > 0)
+        found = F.filter(F.transform(cards, lambda e: let(card_properties(e["vcardArray"]), card_emails)), lambda m: F.size(m) > 0)
         return F.get(found, F.lit(0))
     registrar = F.get(_with_role(entities, "registrar"), F.lit(0))
     return F.coalesce(some(_with_role(entities, "abuse")),
@@ -218,7 +221,7 @@ def parse_rdap(df: DataFrame, col: str = "raw") -> DataFrame:
         _event("registration").alias("created_at"), _event("expiration").alias("expires_at"),
         _event("last changed").alias("changed_at"), F.coalesce(low_set(ns), none).alias("name_servers"),
         F.coalesce("r.secureDNS.delegationSigned", F.lit(False)).alias("signed"),
-        let(registrar, lambda g: F.coalesce(card_name(g["vcardArray"]), F.when(g["handle"] != "", g["handle"]))).alias("registrar"),
+        let(registrar, lambda g: F.coalesce(let(card_properties(g["vcardArray"]), card_name), F.when(g["handle"] != "", g["handle"]))).alias("registrar"),
         F.coalesce(abuse_emails(ent), none).alias("abuse_emails"), F.coalesce(red, none).alias("redacted"),
         F.coalesce(how, none).alias("redaction_methods"), F.coalesce(F.array_join(remarks, "\n"), F.lit("")).alias("remarks"))
     return out.withColumn("severity", names.hold_severity(F.col("status"), registry=True))

@@ -98,6 +98,35 @@ def test_capture_and_certificate_files(spark, tmp_path):
     assert sorted(r.names for r in ct.read_ct_a(spark, str(tmp_path / "ct.json")).collect()) == [["a.example", "*.a.example"], ["b.example"]]
 
 
+def test_large_answers_are_read_in_splits(spark, tmp_path):
+    rows = [{"id": i, "name_value": f"n{i}.example\n*.n{i}.example", "issuer_name": "O=CA, [x]"} for i in range(400)]
+    (tmp_path / "a.json").write_text("[" + ",\n".join(json.dumps(r) for r in rows) + "]")
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    want = sorted(map(tuple, ct.read_ct_a(spark, str(tmp_path / "a.json")).select("names").collect()))
+    caps = [["original", "timestamp", "statuscode"], *([f"http://a.example/{i}?x[]=[1]", "20200101000000", "200"] for i in range(400)), ["x"], []]
+    (tmp_path / "c.json").write_text("[" + ",\n ".join(json.dumps(r) for r in caps) + "]")
+    (tmp_path / "c2.json").write_text("[\n" + ",\n".join(json.dumps(r) for r in [["timestamp", "Original"], ["2", "http://b.example/"]]) + "\n]\n")
+    seen = sorted(map(tuple, captures.read_cdx(spark, str(tmp_path / "c.json")).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name in ("a.json", "a.jsonl"):
+            lines = ct.read_ct_a(spark, str(tmp_path / name), one_per_line=True)
+            assert lines.rdd.getNumPartitions() > 3
+            assert sorted(map(tuple, lines.select("names").collect())) == want
+        assert sorted(map(tuple, captures.read_cdx(spark, str(tmp_path / "c.json"), one_per_line=True).collect())) == seen and len(seen) == 401
+        both = captures.read_cdx(spark, str(tmp_path / "c*.json"), one_per_line=True)
+        assert both.count() == 402 and both.where("original = 'http://b.example/' AND stamp = '2'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_audit_folders_are_cut_file_by_file(spark, tmp_path):
+    line = lambda i: json.dumps({"seq": i, "at": "2024-01-01T00:00:00Z", "actor": "a", "action": "x", "detail": {}, "prev_hash": "p", "hash": "h"})
+    (tmp_path / "a.jsonl").write_text("\n".join([line(1), '{"seq"', line(2)]))
+    (tmp_path / "b.jsonl").write_text("\n".join([line(3), line(4)]))
+    assert sorted(r.seq for r in logs.read_audit(spark, str(tmp_path)).collect()) == [1, 3, 4]
+
+
 def test_observation_identity_ignores_time_but_not_validity(spark):
     df = spark.createDataFrame([("s", "p", "o", "m", T0, None), ("s", "p", "o", "m", T0 + dt.timedelta(1), None), ("s", "p", "o", "m", T0, T0)],
                                "subject string, predicate string, object_key string, source string, observed_at timestamp, valid_from timestamp")

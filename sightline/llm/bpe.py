@@ -60,7 +60,10 @@ class Units:
         inside[edge] = False
         inside[edge - 1] = False
         blank, line = np.flatnonzero(inside & (raw == 0x20)), np.flatnonzero(inside & (raw == 0x0A))
-        starts = np.unique(np.concatenate([p.off[:-1][np.diff(p.off) > 0], blank, line, line + 1]))
+        begins = np.zeros(n, bool)
+        for some in (p.off[:-1][np.diff(p.off) > 0], blank, line, line + 1):
+            begins[some] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
         h = span_hash(p.raw, starts, ends)
         uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)

@@ -17,22 +17,28 @@ def _good_key(k: Column) -> Column:
     return k.rlike("^[A-Za-z0-9 /_.\\-]+$") & k.rlike("[A-Za-z]")
 
 
-def key_values(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, key, value) of every field line; comments and prose are dropped."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
-    lines = lines.withColumn("line", trim_ws(F.regexp_replace("raw", "\\r$", "")))
-    lines = lines.where((F.col("line") != "") & ~F.col("line").rlike("^[%#]"))
+def _field_of(line: Column) -> Column:
+    """struct(key, value) of a field line, NULL for prose."""
+    def cut(rx: str) -> Column:
+        return let(trim_ws(F.regexp_extract(line, rx, 1)), lambda k: F.when(_good_key(k) & (F.octet_length(k) <= 48), F.struct(
+            k.alias("key"), trim_ws(F.regexp_extract(line, rx, 2)).alias("value"))))
+
+    # the first form whose key is good decides, also where that key is too long
+    colon, tab, blank = "^([^:]+):(.*)$", "^([^\\t]+)\\t(.*)$", "^(\\S+)\\s+(.*)$"
+    good = lambda rx: _good_key(trim_ws(F.regexp_extract(line, rx, 1)))
+    return F.when(good(colon), cut(colon)).when(good(tab), cut(tab)).when(F.length(F.regexp_extract(line, "^(\\S+)", 1)) <= 48, cut(blank))
 
-    def pick(line: Column) -> Column:
-        def cut(rx: str) -> Column:
-            return let(trim_ws(F.regexp_extract(line, rx, 1)), lambda k: F.when(_good_key(k), F.struct(
-                k.alias("key"), trim_ws(F.regexp_extract(line, rx, 2)).alias("value"))))
-        word = F.when(F.length(F.regexp_extract(line, "^(\\S+)", 1)) <= 48, cut("^(\\S+)\\s+(.*)$"))
-        return F.coalesce(cut("^([^:]+):(.*)$"), cut("^([^\\t]+)\\t(.*)$"), word)
 
-    kv = lines.withColumn("kv", fenced(let(F.col("line"), pick))).where(F.col("kv").isNotNull())
-    return kv.select(id_col, "line_no", F.col("kv.key").alias("key"), F.col("kv.value").alias("value")) \
-             .where(F.octet_length("key") <= 48)
+def fields_of(text: Column) -> Column:
+    """Array of struct(key, value) of a text's field lines, in their order; comments and prose are dropped."""
+    lines = F.transform(F.split(text, "\n"), lambda x: trim_ws(F.regexp_replace(x, "\\r$", "")))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike("^[%#]"))
+    return F.filter(F.transform(kept, _field_of), lambda f: f.isNotNull())
+
+
+def key_values(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, key, value) of every field line; ``line_no`` counts field lines."""
+    return df.select(id_col, F.posexplode(fields_of(F.col(text_col))).alias("line_no", "kv")).select(id_col, "line_no", "kv.key", "kv.value")
 
 
 def _concept(key: Column) -> Column:
@@ -47,45 +53,43 @@ def _clean(v: Column) -> Column:
         x.rlike("^.+? \\(.*\\)$"), trim_ws(F.regexp_extract(x, "^(.+?) \\(", 1))).otherwise(x)), '^"+|"+$', "")
 
 
-def parse_registration_text(df: DataFrame, id_col: str = "response_id", text_col: str = "text") -> DataFrame:
-    """One record per response.
-
-    The synonym table is fixed and small, so it is a comparison chain, and the field
-    rows of a response meet again in one aggregate of first values and distinct sets.
-    """
-    kv = key_values(df, id_col, text_col).withColumn("nkey", normal_key(F.col("key")))
-    kv = kv.withColumn("concept", fenced(_concept(F.col("nkey")))).where(F.col("concept").isNotNull())
-    v = F.col("value")
-    c = F.col("concept")
-    hidden = names.withheld(v)
-    kv = kv.withColumn("mail", F.when((c == "email") & ~hidden, names.extract_email(v)))
-    red = hidden | ((c == "email") & F.col("mail").isNull() & names.masked(v))
-    hosts = F.filter(
+def _hosts_in(v: Column) -> Column:
+    return F.filter(
         F.transform(F.split(F.regexp_replace(v, ",", " "), "\\s+"),
                     lambda h: F.regexp_replace(F.lower(F.regexp_replace(h, "^[\\[\\]]+|[\\[\\]]+$", "")), "\\.$", "")),
         lambda h: h.contains(".") & ~h.rlike(net.V4) & ~h.contains(":"))
-    open_ = ~hidden
-    first = lambda cond, val: F.min(F.when(cond, F.struct(F.col("line_no"), val.alias("v"))))["v"]
-    blank = lambda x: x != ""
-    cleaned = F.when(c.isin("registrar", "registrar_host", "domain_name"), _clean(v))
-    agg = kv.withColumn("red", red).withColumn("hosts", F.when((c == "name_server") & open_, hosts)) \
-            .withColumn("clean", cleaned).groupBy(id_col).agg(
-        first((c == "registrar") & open_ & blank(F.col("clean")), F.col("clean")).alias("registrar"),
-        first((c == "registrar_host") & open_ & blank(F.col("clean")), F.col("clean")).alias("registrar_host"),
-        first((c == "domain_name") & open_ & blank(F.col("clean")), F.lower(F.col("clean"))).alias("domain_name"),
-        first((c == "created") & open_ & blank(v), v).alias("created"),
-        first((c == "expires") & open_ & blank(v), v).alias("expires"),
-        first((c == "updated") & open_ & blank(v), v).alias("updated"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hosts")))).alias("name_servers"),
-        F.array_sort(F.collect_set(F.when((c == "status") & open_ & blank(v), v))).alias("status"),
-        F.array_sort(F.array_distinct(F.collect_list(
-            F.when(F.col("mail").isNotNull(), F.struct(F.col("nkey").alias("field"), F.col("mail").alias("address")))))).alias("emails"),
-        F.array_sort(F.collect_set(F.when(F.col("red"), F.col("nkey")))).alias("redacted"))
-    out = df.select(id_col, text_col).join(agg, id_col, "left")
-    empty = lambda n, t: F.coalesce(n, F.array().cast(t)).alias(n)
-    out = out.select(id_col, text_col, "registrar", "registrar_host", "domain_name", "created", "expires", "updated",
-                     empty("name_servers", "array<string>"), empty("status", "array<string>"),
-                     empty("emails", "array<struct<field:string,address:string>>"), empty("redacted", "array<string>"))
+
+
+def parse_registration_text(df: DataFrame, id_col: str = "response_id", text_col: str = "text") -> DataFrame:
+    """One record per response, in its own row: no line leaves the response it came from.
+
+    The synonym table is fixed and small, so it is a comparison chain. First values are the first that a filter over the fields leaves.
+    """
+    named = F.transform(fields_of(F.col(text_col)), lambda f: let(normal_key(f["key"]), lambda k: F.struct(
+        k.alias("k"), _concept(k).alias("c"), f["value"].alias("v"))))
+    rows = df.select(id_col, text_col).withColumn("__named", fenced(F.filter(named, lambda f: f["c"].isNotNull())))
+    rows = rows.withColumn("__seen", fenced(F.transform("__named", lambda f: let(names.withheld(f["v"]), lambda hidden: F.struct(
+        f["k"].alias("k"), f["c"].alias("c"), f["v"].alias("v"), hidden.alias("hidden"),
+        F.when((f["c"] == "email") & ~hidden, names.extract_email(f["v"])).alias("mail"))))))
+
+    def mine(concept: str) -> Column:
+        return F.filter("__seen", lambda f: (f["c"] == concept) & ~f["hidden"])
+
+    def first(concept: str, clean: bool = False) -> Column:
+        values = F.transform(mine(concept), lambda f: _clean(f["v"]) if clean else f["v"])
+        return F.get(F.filter(values, lambda v: v != ""), F.lit(0))
+
+    distinct = lambda xs: F.array_sort(F.array_distinct(xs))
+    mails = F.transform(F.filter("__seen", lambda f: f["mail"].isNotNull()), lambda f: F.struct(f["k"].alias("field"), f["mail"].alias("address")))
+    masked = F.filter("__seen", lambda f: f["hidden"] | ((f["c"] == "email") & f["mail"].isNull() & names.masked(f["v"])))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    out = rows.select(
+        id_col, text_col, first("registrar", True).alias("registrar"), first("registrar_host", True).alias("registrar_host"),
+        F.lower(first("domain_name", True)).alias("domain_name"), first("created").alias("created"), first("expires").alias("expires"), first("updated").alias("updated"),
+        none(distinct(F.flatten(F.transform(mine("name_server"), lambda f: _hosts_in(f["v"])))), "array<string>").alias("name_servers"),
+        none(distinct(F.filter(F.transform(mine("status"), lambda f: f["v"]), lambda v: v != "")), "array<string>").alias("status"),
+        none(distinct(mails), "array<struct<field:string,address:string>>").alias("emails"),
+        none(distinct(F.transform(masked, lambda f: f["k"])), "array<string>").alias("redacted"))
     thick = (F.size("name_servers") > 0) | (F.size("emails") > 0) | F.col("created").isNotNull() | F.col("expires").isNotNull()
     return (out.withColumn("response_class", names.response_class(F.col(text_col), thick))
             .withColumn("created_at", names.parse_reg_date(F.col("created")))

@@ -206,6 +206,17 @@ def d07b(spark, sf):
     return kept["relations"].select("from_id", "to_id")
 
 
+@query("d07_purge", "WITH " + views.EDGES + "," + _SEED + "," + ",".join(_hop(i) for i in range(1, 5)) + """
+SELECT 'entities' AS table_name, count(*) AS erased FROM v4 UNION ALL SELECT 'relations', count(*) FROM edges WHERE from_id IN (SELECT id FROM v4) OR to_id IN (SELECT id FROM v4)
+UNION ALL SELECT 'tags', count(*) FROM customer WHERE 'c' || c_custkey IN (SELECT id FROM v4)""")
+def d07c(spark, sf):
+    rels = views.edges(spark, sf)
+    ids = rels.select(F.col("from_id").alias("id")).unionByName(rels.select(F.col("to_id").alias("id"))).distinct()
+    tags = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("entity_id"), F.col("c_mktsegment").alias("tag"))
+    graph_ = {"entities": ids.select("id", F.lit("username").alias("type"), F.col("id").alias("value")), "relations": rels, "tags": tags}
+    return change.purge(graph_, subject="s3")[0]
+
+
 @query("d08_retention", """
 SELECT 'observations' AS table_name, count(*) AS n FROM lineitem WHERE epoch(l_shipdate) < epoch(TIMESTAMP '2000-01-01') - 86400 * CASE WHEN l_linenumber = 2 THEN 90 ELSE 730 END
 UNION ALL SELECT 'evidence', count(*) FROM orders WHERE epoch(o_orderdate) < epoch(TIMESTAMP '2000-01-01') - 86400 * 365

@@ -284,24 +284,49 @@ def p08c(spark, sf):
     return scope.scope_asns(o, rules).select("o_orderkey", "allowed", "rule")
 
 
+_OTHER_SQL = """
+SELECT 'email' AS type, c_custkey AS k, CASE WHEN c_custkey % 19 = 0 THEN 'invalid' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allow.email_domains' ELSE 'no-allow-rule' END AS rule FROM customer
+UNION ALL SELECT 'org', p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'invalid' WHEN contains(lower(p_name), 'ring') OR contains('red widget co', lower(p_name)) THEN 'allow.orgs' ELSE 'no-allow-rule' END FROM part
+UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'weird' END, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'not-network-target' ELSE 'unknown-type' END FROM supplier"""
+
+
+def _other_rows(spark, sf):
+    mail_of = F.concat(F.when(F.col("c_custkey") % 19 == 0, "u").otherwise("u@"), F.lower("c_mktsegment"), F.lit(".example"))
+    return (table(spark, sf, "customer").select(F.lit("email").alias("type"), F.col("c_custkey").alias("k"), mail_of.alias("value"))
+            .unionByName(table(spark, sf, "part").select(F.lit("org").alias("type"), F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 17 == 0, " ").otherwise(F.upper("p_name")).alias("value")))
+            .unionByName(table(spark, sf, "supplier").select(views.pick(["person", "weird", None], F.col("s_suppkey") % 3).alias("type"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))))
+
+
+def _mail_rules(spark):
+    return spark.createDataFrame([("building.example",), (" Machinery.EXAMPLE",)], "pattern string")
+
+
 @query("p09_scope_other", f"""
 SELECT 'url' AS type, page_id AS k, CASE WHEN {_SCOPE_SQL} <> 'allow.domains' THEN 'allow.domains (via url host)'
    WHEN starts_with(url, 'https://blog.tiontion.example.com/en') OR starts_with(url, 'http://therha.example.com/') THEN 'allow.url_prefixes' ELSE 'no-url-prefix' END AS rule
    FROM (SELECT page_id, url, {_HOST} AS h FROM pages)
-UNION ALL SELECT 'email', c_custkey, CASE WHEN c_custkey % 19 = 0 THEN 'invalid' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allow.email_domains' ELSE 'no-allow-rule' END FROM customer
-UNION ALL SELECT 'org', p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'invalid' WHEN contains(lower(p_name), 'ring') OR contains('red widget co', lower(p_name)) THEN 'allow.orgs' ELSE 'no-allow-rule' END FROM part
-UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'weird' END, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'not-network-target' ELSE 'unknown-type' END FROM supplier""")
+UNION ALL {_OTHER_SQL}""")
 def p09(spark, sf):
-    mail_of = F.concat(F.when(F.col("c_custkey") % 19 == 0, "u").otherwise("u@"), F.lower("c_mktsegment"), F.lit(".example"))
-    mixed = (table(spark, sf, "pages").select(F.lit("url").alias("type"), F.col("page_id").alias("k"), F.col("url").alias("value"))
-             .unionByName(table(spark, sf, "customer").select(F.lit("email").alias("type"), F.col("c_custkey").alias("k"), mail_of.alias("value")))
-             .unionByName(table(spark, sf, "part").select(F.lit("org").alias("type"), F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 17 == 0, " ").otherwise(F.upper("p_name")).alias("value")))
-             .unionByName(table(spark, sf, "supplier").select(views.pick(["person", "weird", None], F.col("s_suppkey") % 3).alias("type"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))))
-    mail = spark.createDataFrame([("building.example",), (" Machinery.EXAMPLE",)], "pattern string")
-    return scope.scope_other(mixed, _rules(spark), ["HTTPS://blog.tiontion.example.com:443/en", "http://therha.example.com/"], mail, ["Ring", "red widget co"],
+    mixed = _other_rows(spark, sf).unionByName(table(spark, sf, "pages").select(F.lit("url").alias("type"), F.col("page_id").alias("k"), F.col("url").alias("value")))
+    return scope.scope_other(mixed, _rules(spark), ["HTTPS://blog.tiontion.example.com:443/en", "http://therha.example.com/"], _mail_rules(spark), ["Ring", "red widget co"],
                              deny_regex=["pills"]).select("type", "k", "rule")
 
 
+@query("p09_scope_all", "WITH " + views.ADDRESSES + "," + _NET_SQL + f""",
+w AS (SELECT addr, bool_or(action = 'deny') AS denied FROM (SELECT DISTINCT addr, ipn FROM addresses) JOIN nr ON ipn BETWEEN lo AND hi GROUP BY 1)
+SELECT 'domain' AS type, page_id AS k, {_SCOPE_SQL} AS rule FROM (SELECT page_id, {_HOST} AS h FROM pages)
+UNION ALL SELECT 'ip', l_orderkey * 10 + l_linenumber, CASE WHEN denied THEN 'deny.cidrs' WHEN NOT denied THEN 'allow.cidrs' ELSE 'no-allow-rule' END FROM addresses LEFT JOIN w USING (addr)
+UNION ALL SELECT 'asn', o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 'invalid' WHEN o_custkey % 10 IN (3, 4) THEN 'allow.asns' ELSE 'no-allow-rule' END FROM orders
+UNION ALL {_OTHER_SQL}""")
+def p09b(spark, sf):
+    mixed = (_other_rows(spark, sf).unionByName(views.hosts(spark, sf).select(F.lit("domain").alias("type"), F.col("page_id").alias("k"), F.col("host").alias("value")))
+             .unionByName(views.addresses(spark, sf).select(F.lit("ip").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("addr").alias("value")))
+             .unionByName(table(spark, sf, "orders").select(F.lit("asn").alias("type"), F.col("o_orderkey").alias("k"), F.concat(F.lit("AS"), F.col("o_custkey") % 10).alias("value"))))
+    rules = scope.ScopeRules(_rules(spark), spark.createDataFrame(_NET_RULES, "action string, pattern string"), spark.createDataFrame([("as3",), (" AS4",)], "pattern string"),
+                             _mail_rules(spark), orgs=["Ring", "red widget co"], deny_regex=["pills"])
+    return scope.scope_all(mixed, rules).select("type", "k", "rule")
+
+
 _POLICY = scope.Policy(deny_modules=["banned"], allowed_purposes=["incident response", "audit"])
 
 

@@ -86,11 +86,15 @@ def looked_up(points: DataFrame, marks: DataFrame, slot_digits: dict[int, int])
     kind = m.schema["mark"].dataType
     p = points.select(F.col("space").cast("int"), "pos", F.lit(POINT).alias("kind"), F.lit(None).cast(kind).alias("mark"), *[F.col(c).alias(f"__p_{c}") for c in own])
     line = m.select(*[m[c] if not c.startswith("__p_") else F.lit(None).cast(dict(p.dtypes)[c]).alias(c) for c in p.columns]).unionByName(p)
-    line = line.withColumn("slot", F.left("pos", digits))
+    # dealt once: both uses below read this exchange, so they have to ask for the same columns
+    line = line.withColumn("slot", F.left("pos", digits)).repartition("space", "slot")
     inside = Window.partitionBy("space", "slot").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
     filled = line.withColumn("mark", F.last("mark", ignorenulls=True).over(inside)).where(F.col("kind") == POINT)
     # what each slot inherits: the last marker of the slots before it
-    ends = line.groupBy("space", "slot").agg(F.max_by("mark", F.when(F.col("kind") != POINT, F.struct("pos", "kind"))).alias("last"))
+    every = [F.count(f"__p_{c}").alias(f"__n_{c}") for c in own]
+    ends = line.groupBy("space", "slot").agg(F.max_by("mark", F.when(F.col("kind") != POINT, F.struct("pos", "kind"))).alias("last"), *every)
+    for c in own:
+        ends = ends.where(F.col(f"__n_{c}") >= 0)
     before = Window.partitionBy("space").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     inherited = ends.select("space", "slot", F.last("last", ignorenulls=True).over(before).alias("carry"))
     out = filled.join(inherited, ["space", "slot"], "left").withColumn("mark", F.coalesce("mark", "carry"))

@@ -135,6 +135,15 @@ def test_repeated_passages(spark):
         assert span["other_id"] == other and abs(span["start"] - start) <= 1 and abs(span["n_words"] - size) <= 2
 
 
+def test_of_equal_texts_one_row_stays(spark):
+    rng = random.Random(21)
+    text, other, short = prose(rng, 80), prose(rng, 70), "only a few words"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (None, other), (7, short), (7, short)]
+    docs = table(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    out = sorted(((r["doc_id"], r["text"]) for r in compact_windows.remove_repeats(docs).collect()), key=repr)
+    assert out == sorted([(1, text), (None, other), (7, short), (7, short)], key=repr)
+
+
 def test_remove_repeats_keeps_one_occurrence(spark):
     texts = passage_corpus()
     docs = documents(spark, texts)

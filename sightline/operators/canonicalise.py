@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
-from sightline.functions import canon, keys
+from sightline.functions import canon, keys, net
 from sightline.functions.bind import fenced
 from sightline.operators.skew import attach
 
@@ -77,9 +77,12 @@ def infer_type(df: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:
     v = F.col("__v")
     df = df.withColumn("__v", fenced(F.regexp_replace(F.col(col), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")))
     picked = F.coalesce(*[F.when(v.rlike(shape), F.concat(F.lit(f"{name}\x01"), form(v))) for name, shape, form in _TRIED])
+    trimmed = df
     df = df.withColumn("__pick", fenced(F.when(v != "", picked)))
     df = df.withColumns({"__t": F.substring_index("__pick", "\x01", 1), "__c": F.expr("substr(__pick, instr(__pick, '\x01') + 1)")})
     df = df.withColumn("__h", F.when(F.col("__t") == "host", F.col("__c")))
-    hosts = with_registrable(df.select("__h").where("__h IS NOT NULL").distinct(), "__h", suffixes).select("__h", F.col("host_class").alias("__class"))
+    # names that look like hosts: a few more than those typed so, told without typing every value a second time
+    looks = trimmed.select(F.when(v.rlike("[.]") & ~net.is_v4(v), _host_like(v)).alias("__h")).where("__h IS NOT NULL").distinct()
+    hosts = with_registrable(looks, "__h", suffixes).select("__h", F.col("host_class").alias("__class"))
     return (attach(df, hosts, "__h").withColumn("inferred_type", F.when(F.col("__t") == "host", F.col("__class")).otherwise(F.col("__t")))
             .withColumn("canonical", F.col("__c")).drop("__v", "__c", "__t", "__h", "__class", "__pick"))

@@ -50,7 +50,7 @@ def test_canonical_forms_ids_and_quarantine(spark):
 
 def test_type_inference(spark):
     cases = [("1.2.3.4", "ip"), ("AS5", "asn"), ("10.0.0.0/8", "cidr"), ("btc:xyz12345", "wallet"), ("CVE-2020-1234", "cve"),
-             ("a@b.com", "email"), ("+62812345-6789", "phone"), ("www.example.co.uk", "subdomain"), ("example.co.uk", "domain"), ("foo bar", None)]
+             ("a@b.com", "email"), ("+62812345-6789", "phone"), ("www.example.co.uk", "subdomain"), ("example.co.uk", "domain"), ("foo bar", None), ("1.2.3", "subdomain"), ("2.3", "domain"), ("Mail.Example.com.", "subdomain")]
     got = {r.v: r.inferred_type for r in infer_type(spark.createDataFrame([(a,) for a, _ in cases], "v string"), "v",
                                                      suffix.suffix_rules(spark.createDataFrame([("com",), ("co.uk",)], "value string"))).collect()}
     assert got == dict(cases)

@@ -62,13 +62,16 @@ def _host_like(v: Column) -> Column:
     return F.when(v.rlike("^[A-Za-z0-9.-]+$"), canon.domain(v))
 
 
+#: A dotted name with a letter, as ``h1000000.example.com``; its digits are no telephone number.
+_NAMED = "(?=[^.]*[.])[0-9.-]*[A-Za-z][A-Za-z0-9.-]*$"
+
 #: (type, pattern a value needs for it, canonical form), in the order in which they are tried.
 _TRIED = (("ip", "[.:]", canon.ip), ("asn", "^(?i)as[0-9]", canon.asn), ("cidr", "/", canon.cidr), ("wallet", "^[^:]+:|^[0-9A-Za-z]{8,128}$", canon.wallet),
-          ("cve", "^(?i)cve-", canon.cve), ("email", "@", canon.email), ("phone", "(?:\\p{Nd}\\P{Nd}*){7}", canon.phone), ("host", "[.]", _host_like))
+          ("cve", "^(?i)cve-", canon.cve), ("email", "@", canon.email), ("phone", f"^(?!{_NAMED})(?:\\P{{Nd}}*\\p{{Nd}}){{7}}", canon.phone), ("host", "[.]", _host_like))
 
 
 def infer_type(df: DataFrame, col: str, suffixes: DataFrame) -> DataFrame:
-    """Type an untyped value: ip, asn, cidr, wallet, cve, email, phone, then host name.
+    """Type an untyped value: ip, asn, cidr, wallet, cve, email, phone, then host name (a dotted name with a letter is no phone).
 
     A cheap pattern stands before each form, and type and form are one text, so a value pays for its own branch alone. Host names are
     split into apex and subdomain by the public-suffix rules of ``suffixes`` (see :mod:`sightline.operators.suffix`).

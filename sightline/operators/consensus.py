@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline import fixed
-from sightline.operators.skew import attach
+from sightline.operators.skew import attach, spread
 
 
-def _votes(claims: DataFrame, fields: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
-    totals = claims.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    long = claims.select(key, F.explode(F.array(*[
+def _votes(claims: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
+    """(key, field, value, n, total) of every answer, empty ones too.
+
+    Equal rows are counted first, so a key with very many claims meets as its distinct rows; from there all of a key is one place's work.
+    """
+    rows = spread(claims.select(key, *fields), key, *fields).groupBy(key, *fields).agg(F.count(F.lit(1)).alias("__n"))
+    rows = spread(rows, key).withColumn("total", F.sum("__n").over(Window.partitionBy(key)))
+    long = rows.select(key, "total", "__n", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.trim(F.col(f)).alias("value")) for f in fields])).alias("s"))
-    counts = (long.select(key, "s.field", "s.value").where(F.col("value") != "")
-              .groupBy(key, "field", "value").agg(F.count(F.lit(1)).alias("n")))
-    return totals, counts
+    return long.groupBy(key, F.col("s.field").alias("field"), F.col("s.value").alias("value"), "total").agg(F.sum("__n").alias("n"))
+
+
+def _wins(key: str) -> Column:
+    return F.col(key).isNotNull() & (F.coalesce("value", F.lit("")) != "") & (F.col("n") * 2 > F.col("total"))
 
 
 def agree_credibility(agreeing: Column, total: Column) -> Column:
@@ -24,25 +31,16 @@ def agree_credibility(agreeing: Column, total: Column) -> Column:
 
 
 def field_consensus(claims: DataFrame, fields: Sequence[str], key: str = "addr") -> DataFrame:
-    """Value a strict majority of the answering providers gave, per field.
-
-    Ties go to the smaller value, though a tie can never be a majority.
-    """
-    totals, counts = _votes(claims, fields, key)
-    best = counts.groupBy(key, "field").agg(
-        F.min_by(F.struct("value", "n"), F.struct(-F.col("n"), F.col("value"))).alias("b"))
-    return (best.join(totals, key)
-            .select(key, "field", F.col("b.value").alias("value"), F.col("b.n").alias("agreeing"), "total")
-            .where(F.col("agreeing") * 2 > F.col("total"))
+    """Value a strict majority of the answering providers gave, per field; there can be one at most."""
+    return (_votes(claims, fields, key).where(_wins(key))
+            .select(key, "field", "value", F.col("n").alias("agreeing"), "total")
             .withColumn("credibility", agree_credibility(F.col("agreeing"), F.col("total"))))
 
 
 def disputed_fields(claims: DataFrame, fields: Sequence[str], key: str = "addr") -> DataFrame:
     """(key, field) pairs without a majority, one row each."""
-    agreed = field_consensus(claims, fields, key).select(key, "field")
-    every = (claims.select(key).distinct()
-             .withColumn("field", F.explode(F.array(*[F.lit(f) for f in sorted(fields)]))))
-    return every.join(agreed, [key, "field"], "left_anti")
+    return (_votes(claims, fields, key).groupBy(key, "field").agg(F.bool_or(_wins(key)).alias("__won"))
+            .where(~F.col("__won")).drop("__won"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline import fixed
 from sightline.functions.bind import decimal_number, let, trim_ws, whole_number
+from sightline.operators.skew import spread
 
 
 def pivot_tags(tags: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per file, one column per wanted (ifd, tag); an aggregate with map-side combine."""
+    """One row per file, one column per wanted (ifd, tag). Files have a few wanted tags each, so their rows are spread before the aggregate."""
     only = tags.where(F.concat_ws(".", "ifd", "tag").isin([".".join(x) for x in wanted.values()]))
-    return only.groupBy("file_id").agg(*[
+    return spread(only, "file_id").groupBy("file_id").agg(*[
         F.max(F.when((F.col("ifd") == ifd) & (F.col("tag") == tag), F.col("value"))).alias(name)
         for name, (ifd, tag) in wanted.items()])
 

@@ -6,8 +6,9 @@
 2. A loose candidate that overlaps a base span of its kind is a positive, any other a negative. Features say how it is built (digits, groups,
    separators, check digit) and what stands around it; what only the exact rule tells (a plus sign and its country code, a plain @ or dot) is taken out
    first, so that candidates written otherwise look like the positives they resemble.
-3. Boosted trees, one forest per kind, on at most about SAMPLE candidates of a kind, a fifth of them held out: equal feature rows are counted
-   first; each level is one histogram aggregate over (kind, node, feature, value) and its best split by window sums. Trees become CASE expressions.
+3. Boosted trees, one forest per kind, on all candidates, a fifth of them held out: equal feature rows are counted first; each level is one
+   histogram aggregate over (kind, node, feature, value) and its best split by window sums. Probabilities are rounded to multiples of 2 ** -20, so
+   sums are exact in any order (up to some 2 ** 33 candidates of a kind). Trees become CASE expressions.
 4. A kind's threshold is the lowest score above which at least PRECISION of the held-out candidates are positive (of no less than LEAST).
    Candidates above it are taken if no base span overlaps; of candidates that overlap each other the best stays.
 
@@ -23,7 +24,7 @@ from sightline.llm.words import stage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
-SAMPLE, TREES, DEPTH, RATE, SHRINK, LEAST_WEIGHT = 10_000, 8, 3, 0.5, 1.0, 1.0
+TREES, DEPTH, RATE, SHRINK, LEAST_WEIGHT = 8, 3, 0.5, 1.0, 1.0
 PRECISION, LEAST = 0.95, 20
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -148,7 +149,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _split_tree(rows: DataFrame, kinds: list[int]) -> dict[int, str]:
-    """One tree of every kind as a CASE expression; ``rows``: kind, g, h and features, one small partition."""
+    """One tree of every kind as a CASE expression; ``rows``: kind, g, h and features."""
     stacked = "stack({}, {}) AS (feature, value)".format(len(FEATURES), ", ".join(f"'f_{f}', f_{f}" for f in FEATURES))
     splits: dict[tuple[int, int], tuple] = {}
     leaves: dict[tuple[int, int], float] = {}
@@ -186,7 +187,11 @@ def _split_tree(rows: DataFrame, kinds: list[int]) -> dict[int, str]:
     return {k: leaf(k, 1) for k in kinds}
 
 
-def train(found: DataFrame, sample: int = SAMPLE) -> tuple[str, dict[int, float]]:
+def _exact(p: Column) -> Column:
+    return F.round(p * (1 << 20)) / (1 << 20)
+
+
+def train(found: DataFrame) -> tuple[str, dict[int, float]]:
     """(score expression over kind and features, threshold of each kind that has one), from the loose candidates of ``candidates``."""
     loose = found.where("kind IS NOT NULL AND NOT base")
     by_kind = {r.kind: r for r in loose.groupBy("kind").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()}  # one row per kind
@@ -194,17 +199,16 @@ def train(found: DataFrame, sample: int = SAMPLE) -> tuple[str, dict[int, float]
     if not kinds:
         return "0D", {}
     dice = F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(1_000_003))
-    share = "CASE kind " + " ".join(f"WHEN {k} THEN {min(1.0, sample / by_kind[k].n) * 1_000_003!r}D" for k in kinds) + " ELSE 0D END"
     names = [f"f_{f}" for f in FEATURES]
-    some = (loose.withColumn("dice", dice).where(F.col("dice") < F.expr(share)).withColumn("held_out", F.pmod(F.xxhash64("dice", F.lit("fold")), F.lit(5)) == 0)
+    some = (loose.where(F.col("kind").isin(kinds)).withColumn("held_out", F.pmod(F.xxhash64(dice, F.lit("fold")), F.lit(5)) == 0)
             .groupBy("kind", "label", "held_out", *names).agg(F.count("*").alias("w")))
     some = stage(some)
-    fit, held = (some.where(c).coalesce(1) for c in ("NOT held_out", "held_out"))
+    fit, held = (some.where(c) for c in ("NOT held_out", "held_out"))
     score = {k: "0D" for k in kinds}
     as_case = lambda by: "CASE kind " + " ".join(f"WHEN {k} THEN {e}" for k, e in by.items()) + " ELSE 0D END"
     for _ in range(TREES):
-        p = F.expr(f"1D / (1D + exp(-({as_case(score)})))")
-        rows = fit.withColumn("p", p).select("kind", *names, (F.col("w") * (F.col("label") - F.col("p"))).alias("g"), (F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"))
+        p = _exact(F.expr(f"1D / (1D + exp(-({as_case(score)})))"))
+        rows = fit.withColumn("p", p).select("kind", *names, (F.col("w") * (F.col("label") - F.col("p"))).alias("g"), (F.col("w") * _exact(F.col("p") * (1 - F.col("p")))).alias("h"))
         tree = _split_tree(rows, kinds)
         score = {k: f"{score[k]} + {tree[k]}" for k in kinds}
     expression = as_case(score)
@@ -216,13 +220,13 @@ def train(found: DataFrame, sample: int = SAMPLE) -> tuple[str, dict[int, float]
     return expression, {r.kind: r.t for r in cutoff.collect()}
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, kind, start, end, base, probability): every span to redact; a row without any has one line with a null kind.
 
     Offsets are code points, the end exclusive; ``row`` tells repeated ids apart.
     """
     found = candidates(docs, id_col, text_col)
-    expression, cutoff = train(found, sample)
+    expression, cutoff = train(found)
     above = F.expr("CASE kind " + " ".join(f"WHEN {k} THEN score >= {t!r}D" for k, t in cutoff.items()) + " ELSE false END") if cutoff else F.lit(False)
     chosen = (found.withColumn("score", F.when(~F.col("base"), F.expr(expression)))
               .withColumn("kind", F.when(F.col("base") | ((F.col("label") == 0) & above), F.col("kind"))))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sightline.llm.personal_data import KINDS, personal_spans, redact
+from sightline.llm.personal_data import FEATURES, KINDS, personal_spans, redact, train
 
 SCHEMA = "doc_id long, text string, kind string, start long, row string"
 
@@ -81,3 +81,15 @@ def test_empty_tables_and_native_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
     twice = frame(spark, ["a@b.c"]).select(F.lit(None).cast("long").alias("doc_id"), "text").unionAll(spark.createDataFrame([(None, "a@b.c")], "doc_id long, text string"))
     assert [r.spans for r in redact(twice).collect()] == ["email:0:5"] * 2
+
+
+def test_trees_and_thresholds_use_every_candidate(spark):
+    """One candidate in 150 is positive: the held-out ones are too few for a threshold unless all candidates count."""
+    made = {f: "0" for f in FEATURES} | {"digits": "9 + int(label)", "groups": "int(id % 7)"}
+    found = (spark.range(24_000).selectExpr("id AS row", "id AS doc_id", "3 AS kind", "false AS base", "id % 30 AS start", "id % 30 + 9 AS end", "int(id % 150 = 0) AS label", "id")
+             .selectExpr("*", *[f"CAST({e} AS TINYINT) AS f_{f}" for f, e in made.items()]))
+    score, cutoff = train(found)
+    assert list(cutoff) == [3]
+    marked = found.selectExpr("label", f"{score} >= {cutoff[3]!r}D AS above").groupBy("label", "above").count().collect()
+    assert {(r["label"], r["above"]): r["count"] for r in marked} == {(1, True): 160, (0, False): 23_840}
+    assert train(found.repartition(7)) == (score, cutoff)

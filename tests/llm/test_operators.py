@@ -207,6 +207,21 @@ def test_a_part_of_a_run_is_found():
         assert len(got) == 1 and got[0][0] == 0 and got[0][1] >= 190 and got[0][4] >= 0.8
 
 
+def test_a_part_with_many_repeated_shingles_is_found():
+    """Few different shingles, a sixth of the places changed: by places the part is too unlike, by its sets it is not."""
+    rng = random.Random(1194)
+    v = rng.randrange(5, 40)
+    a = [rng.randrange(v) for _ in range(rng.randrange(60, 120))]
+    b = [x if rng.random() > .15 else 1000 + rng.randrange(5) for x in a]
+    same = [i for i in range(len(a)) if a[i] == b[i]]
+    place = same[len(same) // 2]
+    got = compact_windows.passages_of(np.array(a, np.uint64), np.array(b, np.uint64), np.array([place << 32 | place]), 46, 0.8)
+    assert len(got) == 1
+    start_b, n_b, start_a, n_a, similarity = got[0]
+    x, y = set(a[start_a:start_a + n_a]), set(b[start_b:start_b + n_b])
+    assert min(n_a, n_b) >= 46 and similarity == len(x & y) / len(x | y) >= 0.8
+
+
 # ------------------------------------------------------------------ 3
 def brute_licenses(text, templates, threshold):
     norm = lambda s: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(s))

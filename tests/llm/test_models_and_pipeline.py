@@ -191,3 +191,13 @@ def test_pipeline_against_planted_cases(spark, tmp_path):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_dealt_rows_stay_where_they_are(spark):
+    from sightline.llm.words import dealt
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    rows = dealt(spark.range(300).withColumnRenamed("id", "pack"), "pack")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    plan = rows._jdf.queryExecution().sparkPlan()
+    assert plan.outputPartitioning().toString().startswith("hashpartitioning(pack") and "pack" in plan.outputOrdering().toString()
+    assert sorted(r.pack for r in rows.collect()) == list(range(300))

@@ -58,8 +58,11 @@ def insert_observations(old: DataFrame, new: DataFrame, link: DataFrame, scan_id
 
 def merge_relations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Strongest confidence; verified wins over heuristic for good; newest support list."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.groupBy("id").agg(
+    return strongest_relations(old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))), ["id"])
+
+
+def strongest_relations(both: DataFrame, by: list[str]) -> DataFrame:
+    return both.groupBy(*by).agg(
         F.first("from_id").alias("from_id"), F.first("to_id").alias("to_id"), F.first("type").alias("type"),
         F.max("confidence").alias("confidence"), F.bool_and("heuristic").alias("heuristic"),
         F.max_by("obs", F.struct("__new", F.size("obs"))).alias("obs"))

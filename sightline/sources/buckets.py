@@ -37,7 +37,27 @@ def touched(rows: DataFrame) -> list[int]:
 
 def overwrite(rows: DataFrame, path: str) -> None:
     """Replace the buckets that ``rows`` hold; one file for each."""
-    (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    _write(rows.repartition("bucket"), path)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    # ids are hexadecimal text, which zstd writes in half the bytes
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
+
+
+def reduce_into(new: DataFrame, path: str, schema: str, keys: Sequence[str], reduce: Callable[[DataFrame, Sequence[str]], DataFrame],
+                buckets: int = BUCKETS) -> None:
+    """``reduce(rows, by)`` over the touched buckets, one row for each ``by``: the bucket, its part and the keys. ``__new`` tells new rows (1) from old ones (0).
+
+    Rows are dealt by bucket and part before they are grouped, so they are shuffled once, in their shortest form, and written by the task that
+    groups them. Few buckets have several parts (and files) each, up to BUCKETS in all, and no task sorts a whole bucket.
+    """
+    at = {"bucket": bucket_of(keys, buckets), "part": F.pmod(F.hash(*keys), F.lit(max(BUCKETS // buckets, 1)))}
+    own = touched(new.select(at["bucket"].alias("bucket")))
+    if own:
+        old = read(new.sparkSession, path, schema, own).drop("bucket")
+        both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))).withColumns(at)
+        _write(reduce(both.repartition("bucket", "part"), ["bucket", "part", *keys]).drop("part"), path)
 
 
 def merge_into(new: DataFrame, path: str, schema: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame],

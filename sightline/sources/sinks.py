@@ -22,8 +22,6 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def merge_table(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     if name == "entities":
         return merge.merge_entities(old, new)
-    if name == "relations":
-        return merge.merge_relations(old, new)
     order = None
     if name in ("observations", "findings"):
         # of two rows with one id the earlier stays, then the one with the smaller content
@@ -37,8 +35,12 @@ def save_graph(batch: Mapping[str, DataFrame], directory: str, n_buckets: int =
     """Merge a batch into the nine keyed tables; only buckets of its keys are read and written. Saving a batch again changes nothing."""
     for name, new in batch.items():
         schema = schemas.GRAPH_TABLES[name]
-        columns = new.sparkSession.createDataFrame([], schema).columns
-        buckets.merge_into(new.select(*columns), _path(directory, name), schema, schemas.GRAPH_KEYS[name],
+        columns, keys, path = new.sparkSession.createDataFrame([], schema).columns, schemas.GRAPH_KEYS[name], _path(directory, name)
+        if name == "relations" or set(columns) == set(keys):
+            reduce = merge.strongest_relations if name == "relations" else (lambda both, by: both.select(*by).distinct())
+            buckets.reduce_into(new.select(*columns), path, schema, keys, lambda both, by, reduce=reduce, columns=columns: reduce(both, by).select("bucket", "part", *columns), n_buckets)
+            continue
+        buckets.merge_into(new.select(*columns), path, schema, keys,
                            lambda old, rows, name=name, columns=columns: merge_table(name, old, rows).select(*columns), n_buckets)
 
 

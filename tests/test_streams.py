@@ -102,3 +102,16 @@ def test_chain_heads_are_carried_and_replays_repeat_nothing(spark, tmp_path):
     got = [(r.id, r.problem) for r in spark.read.parquet(f"{d}/breaks").collect()]
     assert got == [("e017", "link")]
     assert [r.head for r in spark.read.parquet(f"{d}/heads").collect()] == [rows[-1][12]]
+
+
+def test_saved_relations_are_shuffled_once(spark, tmp_path, monkeypatch):
+    plans = []
+    write = buckets._write
+    monkeypatch.setattr(buckets, "_write", lambda rows, path: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, path)))
+    rel = lambda ids, x: spark.createDataFrame([(str(i), "a", f"b{i}", "t", x, False, []) for i in ids], sinks.schemas.RELATIONS)
+    for ids, x in ((range(40), 0.2), (range(30, 60), 0.7), (range(40), 0.2)):
+        sinks.save_graph({"relations": rel([*ids, *ids], x), "tags": rel(ids, x).selectExpr("id entity_id", "type tag")}, str(tmp_path), 4)
+    assert len(plans) == 6 and all(p.count("Exchange") == 1 for p in plans)
+    got = {r.id: (r.confidence, r.to_id) for r in sinks.load_table(spark, str(tmp_path), "relations").collect()}
+    assert got == {str(i): (0.2 if i < 30 else 0.7, f"b{i}") for i in range(60)}
+    assert sinks.load_table(spark, str(tmp_path), "relations").count() == 60 == sinks.load_table(spark, str(tmp_path), "tags").count()

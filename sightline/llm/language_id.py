@@ -27,7 +27,7 @@ ROUNDS, PRIOR, UNKNOWN, LONGEST, LONGEST_WORD = 2, 0.05, 1e-7, 10, 64
 BEGIN = "▁"
 PARTING = np.ones(256, bool)
 PARTING[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 _SLOT = np.uint64(64 - 20)
 
 

@@ -201,3 +201,23 @@ def test_dealt_rows_stay_where_they_are(spark):
     plan = rows._jdf.queryExecution().sparkPlan()
     assert plan.outputPartitioning().toString().startswith("hashpartitioning(pack") and "pack" in plan.outputOrdering().toString()
     assert sorted(r.pack for r in rows.collect()) == list(range(300))
+
+
+def test_language_scores_of_a_batch_fit_a_small_worker():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    from sightline.llm import language_id
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = language_id.vocabulary(path)[2]
+    probs = np.full((2, v + 1), 1 / v)
+    context = type("Context", (), {"broadcast": staticmethod(lambda x: type("Sent", (), {"value": x}))})
+    predict = language_id.predictor(type("Session", (), {"sparkContext": context}), language_id.Model(["a", "b"], probs), path)
+    texts = pa.array(["some words of a text that is long " * 60] * 6000)
+    tracemalloc.start()
+    names, _ = predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(names) == 6000 and peak < 150e6

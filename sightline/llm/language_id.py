@@ -27,7 +27,7 @@ ROUNDS, PRIOR, UNKNOWN, LONGEST, LONGEST_WORD = 2, 0.05, 1e-7, 10, 64
 BEGIN = "▁"
 PARTING = np.ones(256, bool)
 PARTING[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-PIECE_BYTES = 4 << 20
+PIECE_BYTES, WORDS_AT_ONCE, KNOWN_WORDS = 1 << 20, 4_000, 200_000
 _SLOT = np.uint64(64 - 20)
 
 
@@ -101,8 +101,8 @@ def log_likelihood(words: list[str], vocab, probs: np.ndarray) -> np.ndarray:
     """log P(word | language) of each word, languages in columns. ``probs``: languages x (pieces + 1), the last for unknown characters."""
     out = np.zeros((len(words), probs.shape[0]))
     by = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(words), 20_000):
-        rows_of = by[at:at + 20_000]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        rows_of = by[at:at + WORDS_AT_ONCE]
         points, size = _matrix([words[i] for i in rows_of])
         alpha = np.zeros((points.shape[1] + 1, len(rows_of), probs.shape[0]))
         alpha[0] = 1
@@ -136,16 +136,49 @@ def expected_counts(words: list[str], weight: np.ndarray, vocab, probs: np.ndarr
     return total
 
 
+def _spelled(p, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words of a piece, lower-cased, and which of them have a letter."""
+    data = memoryview(p.raw)
+    words = [str(data[a:b], "utf-8", "replace").lower() for a, b in zip(p.ws[at].tolist(), p.we[at].tolist())]
+    return words, np.array([w.isalpha() or any(map(str.isalpha, w)) for w in words], bool)
+
+
 def _distinct(p) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-cased words of a piece, which of them each word is, and which have a letter. Long runs are cut."""
-    h = p.hashes()
-    _, at, inv = np.unique(h, return_index=True, return_inverse=True)
-    data = p.raw.tobytes()
-    words = [data[a:b].decode("utf-8", "replace").lower() for a, b in zip(p.ws[at].tolist(), p.we[at].tolist())]
-    letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in words], bool)
+    _, at, inv = np.unique(p.hashes(), return_index=True, return_inverse=True)
+    words, letters = _spelled(p, at)
     return words, inv, letters
 
 
+class Scored:
+    """Log-likelihoods (0 without a letter) and letter marks of the words scored so far, by hash; begun anew before it holds more than KNOWN_WORDS and a piece's own."""
+
+    def __init__(self, vocab, probs: np.ndarray):
+        self.vocab, self.probs = vocab, probs
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.table, self.letters = np.zeros(0, np.uint64), np.zeros((0, self.probs.shape[0])), np.zeros(0, bool)
+
+    def of(self, p) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and marks of some words, and which of them each word of the piece is."""
+        uniq, at, inv = np.unique(p.hashes(), return_index=True, return_inverse=True)
+        if len(self.hashes) > KNOWN_WORDS:
+            self._forget()
+        place = np.searchsorted(self.hashes, uniq)
+        new = np.ones(len(uniq), bool)
+        inside = np.flatnonzero(place < len(self.hashes))
+        new[inside] = self.hashes[place[inside]] != uniq[inside]
+        if new.any():
+            words, letters = _spelled(p, at[new])
+            table = _score_words(words, self.vocab, self.probs) * letters[:, None]
+            where = place[new]
+            self.hashes = np.insert(self.hashes, where, uniq[new])
+            self.table, self.letters = np.insert(self.table, where, table, axis=0), np.insert(self.letters, where, letters)
+        rows = np.searchsorted(self.hashes, uniq)
+        return self.table[rows], self.letters[rows], inv
+
+
 def _score_words(words: list[str], vocab, probs: np.ndarray) -> np.ndarray:
     long = [i for i, w in enumerate(words) if len(w) > LONGEST_WORD]
     if not long:
@@ -217,18 +250,19 @@ def train_languages(docs: DataFrame, learn: Column, vocab_path: str, text_col: s
 def predictor(spark, model: Model, vocab_path: str):
     """A function of a column of texts (Arrow) giving languages and scores, to be used inside tasks."""
     sent = spark.sparkContext.broadcast((model.langs, model.probs))
+    held: list[Scored] = []  # one in each task
 
     def predict(texts) -> tuple[list[str], np.ndarray]:
         langs, probs = sent.value
-        vocab = vocabulary(vocab_path)
+        if not held:
+            held.append(Scored(vocabulary(vocab_path), probs))
         names, scores = [], []
         for p in pieces(texts, False, PIECE_BYTES, PARTING):
-            words, inv, letters = _distinct(p)
-            if not langs or not len(words):
+            if not langs or not len(p.ws):
                 names += ["und"] * p.n
                 scores.append(np.zeros(p.n))
                 continue
-            table = _score_words(words, vocab, probs) * letters[:, None]
+            table, letters, inv = held[0].of(p)
             n = p.words_per_text(letters[inv].astype(np.int64))
             total = np.stack([p.words_per_text(table[inv, k]) for k in range(len(langs))], 1)
             z = total / np.sqrt(np.maximum(n, 1))[:, None]

@@ -493,6 +493,37 @@ def test_seating_follows_the_restaurant_rule():
     assert many == pytest.approx(sum(5.0 / (5.0 + n) for n in range(1, 100_000)) + 1, rel=0.03)
 
 
+def test_contexts_are_seated_against_the_sampled_parent(spark):
+    """A word that is frequent after one word only has few tables, whatever its count: it is not likely after other words."""
+    text = " ".join(["a x"] * 1500 + [f"b{i % 40} y{i % 97}" for i in range(600)])
+    asked = " ".join(f"b{i} x" for i in range(40))
+    docs = spark.createDataFrame([(0, text), (1, asked)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs, F.col("doc_id") == 0, bucket=400).collect()}
+    d, th, d0, th0 = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    ws = [*text.split(), "$"]
+    pairs, counts = Counter(zip(["$", *ws], ws)), Counter(ws)
+    words, n, v = {w: i for i, w in enumerate(counts)}, len(ws), len(counts)
+    u, w, c = (np.array(x) for x in zip(*((words[x], words[y], k) for (x, y), k in pairs.items())))
+    n_u = np.bincount(u, c)
+    first = (np.array([*counts.values()]) + 1) / (n + v + 1)
+
+    def reference(seed, alternate):
+        rng = np.random.default_rng(seed)
+        parent, t, probs = first, np.ones(len(c)), []
+        for sweep in range(pitman_yor.BURN + pitman_yor.SAMPLES):
+            t = pitman_yor.seat(c, (th + d * np.maximum(np.bincount(u, t, v)[u] - t, 0)) * (parent if alternate else first)[w], d, rng)
+            customers, root = np.bincount(w, t, v), np.zeros(v)
+            for _ in range(pitman_yor.BURN + 1):
+                root = pitman_yor.seat(customers.astype(int), (th0 + d0 * np.maximum(root.sum() - root, 0)) / (v + 1), d0, rng)
+            parent = (customers - d0 * root + (th0 + d0 * root.sum()) / (v + 1)) / (th0 + customers.sum())
+            probs.append(lambda x, y, t=t, p=parent: (c[(u == x) & (w == y)].sum() - d * t[(u == x) & (w == y)].sum() + (th + d * t[u == x].sum()) * p[y]) / (th + n_u[x]))
+        ask = [*asked.split(), "$"]
+        return sum(np.log10(np.mean([p(words[x], words[y]) for p in probs[pitman_yor.BURN:]])) for x, y in zip(["$", *ask], ask))
+    want, frozen = (np.array([reference(seed, x) for seed in range(8)]) for x in (True, False))
+    assert abs(want.mean() - frozen.mean()) > 6 * max(want.std(), 0.5)  # the two models are told apart
+    assert abs(got[1] - want.mean()) < abs(want.mean() - frozen.mean()) / 4
+
+
 def test_held_out_text_beats_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = pitman_yor.score_texts(docs, learn()).where(~learn()).agg(F.sum("score"), F.sum("base_score")).first()

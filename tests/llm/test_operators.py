@@ -197,6 +197,48 @@ def test_fragments_hide_no_passage(spark):
     assert Counter(tuple(w[j:j + 50]) for w in out for j in range(len(w) - 49)).most_common(1)[0][1] == 1
 
 
+def test_a_common_fragment_makes_no_pairs(spark, monkeypatch):
+    """Texts that share fewer words than a passage has are not compared with each other, only with the first text of a key."""
+    rng = random.Random(31)
+    fragment = prose(rng, 44)
+    texts = [f"{prose(rng, 60, 10 ** 6)} {fragment} {prose(rng, 60, 10 ** 6)}" for _ in range(60)]
+    long = prose(rng, 120, 10 ** 6).split()
+    near = [" ".join("changed" if i == 70 else w for i, w in enumerate(long)), " ".join(long)]  # these two hold the fragment and a passage
+    texts += [f"{prose(rng, 60, 10 ** 6)} {fragment} {x}" for x in near]
+    compared, verify = spark.sparkContext.accumulator(0), compact_windows._verify
+
+    def counting(*args):
+        run = verify(*args)
+
+        def counted(batches):
+            for batch in batches:
+                compared.add(batch.num_rows)
+                yield batch
+        return lambda batches: run(counted(batches))
+    monkeypatch.setattr(compact_windows, "_verify", counting)
+    src = compact_windows.text_ids(documents(spark, texts))
+    ids = {r["tid"]: r["doc_id"] for r in src.select("tid", "doc_id").collect()}
+    found = compact_windows.passage_pairs(src).collect()
+    assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in found} == {(60, 61)}
+    assert compared.value < 4 * len(texts) < len(texts) * (len(texts) - 1) / 2
+
+
+def test_run_length_of_marks():
+    rng = np.random.default_rng(32)
+    marks = rng.random((300, 41)) < 0.25
+
+    def slow(mark, gap):
+        total = 1
+        for side in (range(21, 41), range(19, -1, -1)):
+            end = 20
+            for j in side:
+                if mark[j] and abs(j - end) <= gap + 1:
+                    end = j
+            total += abs(end - 20)
+        return total
+    assert compact_windows._run_length(marks, 4).tolist() == [slow(m, 4) for m in marks]
+
+
 def test_a_part_of_a_run_is_found():
     """200 words with a changed word in 48 pass alone; 60 words with a changed word in 8 follow."""
     a = list(range(260))
